@@ -23,11 +23,29 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; ``count(case when … then 1 end)`` is
+    BIGINT like Spark's ``count_if``."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth = j + len(tok), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"count(case when {_bigint_count_if(sql[j + len(tok):k - 1])} then 1 end)")
+        i = k
+
+
 def register(name: str, operator: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, operator)
+        REGISTRY[name] = Query(name, fn, None if sql is None else _bigint_count_if(sql), operator)
         return fn
 
     return deco

@@ -28,6 +28,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_SPARK2DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+               "DateType": "DATE", "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP",
+               "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT"}
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -63,6 +68,11 @@ def check(spark, con, q, sf_dir: str) -> tuple[bool, str]:
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
+    s_types = {f.name: _SPARK2DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in sdf.schema.fields}
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    tdiff = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+    if tdiff:
+        return False, f"types differ: {tdiff}"
     if len(s_rows) != len(d_rows):
         return False, f"row count spark={len(s_rows)} duck={len(d_rows)}"
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
