@@ -126,3 +126,63 @@ def with_posts(sql: str, text: bool = False, wide: bool = False) -> str:
     if stripped[:5].lower() == "with ":
         return f"with posts as ({body}),\n{stripped[5:]}"
     return f"with posts as ({body})\n{sql}"
+
+
+# FIXED VALUES — aspect spellings cycled through by the messy variant
+MESSY_ASPECTS = ["none", "", " Unspecified ", "App/UX", "app_ux", None, "Store Staff", "delivery"]
+
+
+def messy_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a messily typed post: date strings in four layouts (one
+    unparseable), epoch seconds and milliseconds, null / upper-case labels,
+    aspect spellings, and a ``text_clean`` that is null or empty on some rows.
+    A projection: no event is dropped."""
+    ev = read_table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    fmt = (F.when(i % 4 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+           .when(i % 4 == 1, F.date_format("ts", "MMM-dd-yyyy"))
+           .when(i % 4 == 2, F.date_format("ts", "MM/dd/yyyy"))
+           .otherwise(F.lit("abc")))
+    label = _sentiment_from_event(F.col("event_type"))
+    label = F.when(i % 17 == 0, F.lit(None).cast("string")).when(i % 19 == 0, F.upper(label)).otherwise(label)
+    asp = F.element_at(F.array(*[F.lit(a) for a in MESSY_ASPECTS]), (i % len(MESSY_ASPECTS) + 1).cast("int"))
+    return ev.select(
+        i.alias("id"),
+        fmt.alias("created_at"),
+        F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("created_epoch"),
+        F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("created_ms"),
+        F.col("ts"),
+        label.alias("sentiment_label"),
+        asp.alias("aspect_dominant"),
+        F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 3 == 1, F.lit(""))
+        .otherwise(F.col("props")).alias("text_clean"),
+        F.col("props").alias("fulltext"),
+    )
+
+
+def _messy_aspects_sql() -> str:
+    vals = ", ".join("null" if a is None else "'" + a + "'" for a in MESSY_ASPECTS)
+    return f"[{vals}][(event_id % {len(MESSY_ASPECTS)}) + 1]"
+
+
+MESSY_SQL = f"""
+select event_id as id,
+  case event_id % 4 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(ts, '%b-%d-%Y')
+       when 2 then strftime(ts, '%m/%d/%Y') else 'abc' end as created_at,
+  date_diff('second', timestamp '1970-01-01 00:00:00', ts) as created_epoch,
+  date_diff('millisecond', timestamp '1970-01-01 00:00:00', ts) as created_ms,
+  ts,
+  case when event_id % 17 = 0 then null when event_id % 19 = 0 then upper({_SENT_SQL.replace('e.', '')})
+       else {_SENT_SQL.replace('e.', '')} end as sentiment_label,
+  {_messy_aspects_sql()} as aspect_dominant,
+  case when event_id % 3 = 0 then null when event_id % 3 = 1 then '' else props end as text_clean,
+  props as fulltext
+from events
+"""
+
+
+def with_messy(sql: str) -> str:
+    stripped = sql.lstrip()
+    if stripped[:5].lower() == "with ":
+        return f"with messy as ({MESSY_SQL}),\n{stripped[5:]}"
+    return f"with messy as ({MESSY_SQL})\n{sql}"
