@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import wordlists as W
@@ -79,16 +79,14 @@ def title_words(t: Column | str) -> Column:
     return F.transform(raw, lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", ""))
 
 
-def is_meaningless(t: Column | str) -> Column:
-    """Generic word-subset patterns, generic halves around the first
-    ``and``, or fewer than three meaningful words."""
-    words = title_words(t)
+def meaningless_from_words(words: Column) -> Column:
+    """C9 on an already split word array (see :func:`title_words`)."""
     patterns = F.array(*[_lits(p) for p in W.MEANINGLESS_PATTERNS])
     by_pattern = F.exists(patterns, lambda p: F.forall(p, lambda x: F.array_contains(words, x)))
     pos = F.array_position(words, "and")
     n = F.size(words)
     part1 = F.array_join(F.slice(words, F.lit(1), F.greatest(pos - 1, F.lit(1))), " ")
-    part2 = F.array_join(F.slice(words, F.least(pos + 1, n), F.greatest(n - pos, F.lit(1))), " ")
+    part2 = F.array_join(F.slice(words, F.greatest(F.least(pos + 1, n), F.lit(1)), F.greatest(n - pos, F.lit(1))), " ")
     split_ok = (pos > 1) & (pos < n)
     halves = split_ok & (
         part1.isin(*W.GENERIC_SINGLE)
@@ -101,15 +99,37 @@ def is_meaningless(t: Column | str) -> Column:
     return by_pattern | halves | (meaningful < 3)
 
 
-def is_valid_title(t: Column | str) -> Column:
-    """Non-empty, not meaningless, no banned word, and contains one of the
-    taxonomy terms (case-insensitive substring)."""
-    t = F.coalesce(_c(t), F.lit(""))
-    words = title_words(t)
+def valid_from(t: Column, words: Column, meaningless: Column) -> Column:
+    """C10 given the title, its words and its C9 flag."""
     banned = F.exists(words, lambda w: w.isin(*W.BANNED_TITLE_WORDS))
     tl = F.lower(t)
     in_taxonomy = F.exists(_lits([x.lower() for x in W.THEME_TAXONOMY]), lambda term: F.instr(tl, term) > 0)
-    return (t != "") & ~is_meaningless(t) & ~banned & in_taxonomy
+    return (t != "") & ~meaningless & ~banned & in_taxonomy
+
+
+def with_title_checks(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
+    """Add ``<prefix>_words``, ``<prefix>_meaningless`` (C9) and
+    ``<prefix>_valid`` (C10) for the title column ``col``.  Each step is its
+    own projection, so no sub-expression is copied into the next one."""
+    p = prefix or col
+    t = F.coalesce(F.col(col), F.lit(""))
+    out = df.withColumn(f"{p}_words", title_words(t))
+    out = out.withColumn(f"{p}_meaningless", meaningless_from_words(F.col(f"{p}_words")))
+    return out.withColumn(f"{p}_valid", valid_from(t, F.col(f"{p}_words"), F.col(f"{p}_meaningless")))
+
+
+def is_meaningless(t: Column | str) -> Column:
+    """C9 as one Column (fine for a single use; use :func:`with_title_checks`
+    when the result feeds further title rules)."""
+    return meaningless_from_words(title_words(t))
+
+
+def is_valid_title(t: Column | str) -> Column:
+    """C10 as one Column: non-empty, not meaningless, no banned word, and one
+    of the taxonomy terms as a case-insensitive substring."""
+    t = F.coalesce(_c(t), F.lit(""))
+    words = title_words(t)
+    return valid_from(t, words, meaningless_from_words(words))
 
 
 def clean_title(t: Column | str) -> Column:
@@ -122,11 +142,19 @@ def clean_title(t: Column | str) -> Column:
     return F.regexp_replace(x, r"\s+", " ")
 
 
-def sanitize_title(primary: Column | str, fallback: Column | str, default: str = W.DEFAULT_TITLE) -> Column:
+def _drop_prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def with_sanitized_title(df: DataFrame, primary: str, fallback: Column | str, out_col: str,
+                         default: str = W.DEFAULT_TITLE) -> DataFrame:
     """C11: cleaned primary if valid, else cleaned fallback if valid, else the
     default title."""
-    p, f = clean_title(primary), clean_title(fallback)
-    return F.when(is_valid_title(p), p).when(is_valid_title(f), f).otherwise(F.lit(default))
+    out = df.withColumn("__sp", clean_title(F.col(primary))).withColumn("__sf", clean_title(_c(fallback)))
+    out = with_title_checks(with_title_checks(out, "__sp"), "__sf")
+    out = out.withColumn(out_col, F.when(F.col("__sp_valid"), F.col("__sp"))
+                         .when(F.col("__sf_valid"), F.col("__sf")).otherwise(F.lit(default)))
+    return _drop_prefixed(out, "__s")
 
 
 # ---------------------------------------------------------------------------
@@ -147,15 +175,17 @@ def prompt_keywords(kws: Column | str, limit: int = 8) -> Column:
     return F.slice(kept, 1, limit)
 
 
-def fallback_title(kws: Column | str, default: str = W.DEFAULT_TITLE) -> Column:
+def with_fallback_title(df: DataFrame, kws: str, out_col: str, default: str = W.DEFAULT_TITLE) -> DataFrame:
     """Compose a title from up to four keywords through the business
-    dictionary, then sanitise it (C11)."""
-    clean = prompt_keywords(kws, 8)
-    filt = F.filter(clean, lambda k: ~F.lower(k).isin(*W.THEME_STOPWORDS) & (F.length(k) > 2))
+    dictionary (``A and B`` / ``A Concerns`` / ``A Issues`` / ``A and
+    Customer Experience``), then sanitise it (C11)."""
     kmap = _keyword_map()
+    out = df.withColumn("__fk_clean", prompt_keywords(F.col(kws), 8))
+    out = out.withColumn("__fk_filt", F.filter(F.col("__fk_clean"),
+                                               lambda k: ~F.lower(k).isin(*W.THEME_STOPWORDS) & (F.length(k) > 2)))
 
     def step(acc, kw):
-        mapped = F.element_at(kmap, F.lower(kw))
+        mapped = F.try_element_at(kmap, F.lower(kw))
         titled_ok = ~is_noise(kw) & (F.length(kw) > 4) & is_alpha(kw) & (kw != F.upper(kw))
         return (
             F.when(mapped.isNotNull(),
@@ -164,62 +194,63 @@ def fallback_title(kws: Column | str, default: str = W.DEFAULT_TITLE) -> Column:
             .otherwise(acc)
         )
 
-    terms = F.aggregate(F.slice(filt, 1, 4), F.array().cast("array<string>"), step)
-    m0, m1 = F.element_at(terms, 1), F.element_at(terms, 2)
-    pair = F.concat_ws(" and ", m0, m1)
-    after_pair = (
-        F.when(~is_meaningless(pair), pair)
-        .when(m0.isin(*W.CONCERN_TERMS), F.concat(m0, F.lit(" Concerns")))
-        .when(m0.isin(*W.ISSUE_TERMS), F.concat(m0, F.lit(" Issues")))
-        .otherwise(F.concat(m0, F.lit(" and Customer Experience")))
-    )
-    single = (
-        F.when(m0.isin(*W.CONCERN_TERMS), F.concat(m0, F.lit(" Concerns")))
-        .when(m0.isin(*W.ISSUE_TERMS), F.concat(m0, F.lit(" Issues")))
-        .when(m0.isin(*W.STANDALONE_TERMS), m0)
-        .otherwise(F.concat(m0, F.lit(" and Customer Experience")))
-    )
-    valid2 = F.filter(F.slice(filt, 1, 2), lambda k: ~is_noise(k) & (F.length(k) > 3))
-    v0, v1 = F.element_at(valid2, 1), F.element_at(valid2, 2)
-    raw_pair = F.concat_ws(" and ", F.coalesce(F.element_at(kmap, F.lower(v0)), _title_case(v0)),
-                           F.coalesce(F.element_at(kmap, F.lower(v1)), _title_case(v1)))
-    from_raw = F.when(F.size(valid2) >= 2, F.when(is_meaningless(raw_pair), F.lit(default)).otherwise(raw_pair)) \
-        .otherwise(F.lit(default))
-    title = (
-        F.when(F.size(terms) >= 2, after_pair)
-        .when(F.size(terms) == 1, single)
-        .when(F.size(filt) > 0, from_raw)
-        .otherwise(F.lit(default))
-    )
-    return sanitize_title(title, F.lit(default), default)
-
-
-def postprocess_generated_title(gen: Column | str, fallback: Column | str) -> Column:
+    out = out.withColumn("__fk_terms", F.aggregate(F.slice(F.col("__fk_filt"), 1, 4),
+                                                   F.array().cast("array<string>"), step))
+    m0, m1 = F.try_element_at(F.col("__fk_terms"), F.lit(1)), F.try_element_at(F.col("__fk_terms"), F.lit(2))
+    out = out.withColumn("__fk_m0", m0).withColumn("__fk_pair", F.concat_ws(" and ", m0, m1))
+    out = with_title_checks(out, "__fk_pair")
+    m0 = F.col("__fk_m0")
+    out = out.withColumn("__fk_after_pair", F.when(~F.col("__fk_pair_meaningless"), F.col("__fk_pair"))
+                         .when(m0.isin(*W.CONCERN_TERMS), F.concat(m0, F.lit(" Concerns")))
+                         .when(m0.isin(*W.ISSUE_TERMS), F.concat(m0, F.lit(" Issues")))
+                         .otherwise(F.concat(m0, F.lit(" and Customer Experience"))))
+    out = out.withColumn("__fk_single", F.when(m0.isin(*W.CONCERN_TERMS), F.concat(m0, F.lit(" Concerns")))
+                         .when(m0.isin(*W.ISSUE_TERMS), F.concat(m0, F.lit(" Issues")))
+                         .when(m0.isin(*W.STANDALONE_TERMS), m0)
+                         .otherwise(F.concat(m0, F.lit(" and Customer Experience"))))
+    out = out.withColumn("__fk_valid2", F.filter(F.slice(F.col("__fk_filt"), 1, 2),
+                                                 lambda k: ~is_noise(k) & (F.length(k) > 3)))
+    v0, v1 = F.try_element_at(F.col("__fk_valid2"), F.lit(1)), F.try_element_at(F.col("__fk_valid2"), F.lit(2))
+    out = out.withColumn("__fk_raw", F.concat_ws(" and ", F.coalesce(F.try_element_at(kmap, F.lower(v0)), _title_case(v0)),
+                                                 F.coalesce(F.try_element_at(kmap, F.lower(v1)), _title_case(v1))))
+    out = with_title_checks(out, "__fk_raw")
+    out = out.withColumn("__fk_title", F.when(F.size("__fk_terms") >= 2, F.col("__fk_after_pair"))
+                         .when(F.size("__fk_terms") == 1, F.col("__fk_single"))
+                         .when((F.size("__fk_filt") > 0) & (F.size("__fk_valid2") >= 2) & ~F.col("__fk_raw_meaningless"),
+                               F.col("__fk_raw"))
+                         .otherwise(F.lit(default)))
+    out = with_sanitized_title(out, "__fk_title", F.lit(default), out_col, default)
+    return _drop_prefixed(out, "__fk")
+
+
+def with_generated_title(df: DataFrame, gen: str, fallback: str, out_col: str) -> DataFrame:
     """Strip quotes and ``Theme:``/``Title:``/``Name:``/``*`` markers, drop
-    noise words, reject noisy or meaningless text (→ fallback), title-case with
-    small words kept lower, then sanitise against the fallback."""
-    t = F.regexp_replace(F.coalesce(_c(gen), F.lit("")), r"^\s+|\s+$", "")
-    t = F.regexp_replace(t, r"^\"+|\"+$", "")
+    noise words, reject short, noisy or meaningless text (→ fallback),
+    title-case with small words kept lower, then sanitise against the
+    fallback."""
+    t = F.regexp_replace(F.coalesce(F.col(gen), F.lit("")), r"^\s+|\s+$", "")
+    t = F.regexp_replace(t, r'^"+|"+$', "")
     t = F.regexp_replace(t, r"^'+|'+$", "")
     for marker in ("Theme: ", "Title: ", "Name: ", "**", "*"):
         t = F.replace(t, F.lit(marker), F.lit(""))
-    t = F.regexp_replace(t, r"^\s+|\s+$", "")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~is_noise(F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")))
-    t2 = F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(t)
-    words2 = F.filter(F.split(t2, r"\s+"), lambda w: w != "")
-    noisy = F.exists(words2, lambda w: is_noise(F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")))
-    cased = F.array_join(
-        F.transform(words2, lambda w, i: F.when((i == 0) | ~F.lower(w).isin(*W.SMALL_WORDS), _title_case(w))
-                    .otherwise(F.lower(w))), " ")
-    fb = _c(fallback)
-    return (
-        F.when(F.length(t2) <= 5, fb)
-        .when(noisy, fb)
-        .when(is_meaningless(t2), fb)
-        .when(is_meaningless(cased), fb)
-        .otherwise(sanitize_title(cased, fb))
-    )
+    out = df.withColumn("__g_t", F.regexp_replace(t, r"^\s+|\s+$", ""))
+    strip = lambda w: F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")
+    out = out.withColumn("__g_kept", F.filter(F.filter(F.split(F.col("__g_t"), r"\s+"), lambda w: w != ""),
+                                              lambda w: ~is_noise(strip(w))))
+    out = out.withColumn("__g_t2", F.when(F.size("__g_kept") > 0, F.array_join("__g_kept", " "))
+                         .otherwise(F.col("__g_t")))
+    out = out.withColumn("__g_w2", F.filter(F.split(F.col("__g_t2"), r"\s+"), lambda w: w != ""))
+    out = out.withColumn("__g_noisy", F.exists("__g_w2", lambda w: is_noise(strip(w))))
+    out = out.withColumn("__g_cased", F.array_join(F.transform(
+        "__g_w2", lambda w, i: F.when((i == 0) | ~F.lower(w).isin(*W.SMALL_WORDS), _title_case(w))
+        .otherwise(F.lower(w))), " "))
+    out = with_title_checks(with_title_checks(out, "__g_t2"), "__g_cased")
+    out = with_sanitized_title(out, "__g_cased", F.col(fallback), "__g_sane")
+    fb = F.col(fallback)
+    out = out.withColumn(out_col, F.when(F.length("__g_t2") <= 5, fb).when(F.col("__g_noisy"), fb)
+                         .when(F.col("__g_t2_meaningless"), fb).when(F.col("__g_cased_meaningless"), fb)
+                         .otherwise(F.col("__g_sane")))
+    return _drop_prefixed(out, "__g")
 
 
 def display_theme_name(raw: Column | str, overrides: dict[str, str] | None = None) -> Column:
@@ -233,7 +264,7 @@ def display_theme_name(raw: Column | str, overrides: dict[str, str] | None = Non
         return x
     keys = [k.lower() for k in ov]
     m = F.map_from_arrays(_lits(keys), _lits(list(ov.values())))
-    return F.coalesce(F.element_at(m, F.lower(x)), x)
+    return F.coalesce(F.try_element_at(m, F.lower(x)), x)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

@@ -130,18 +130,20 @@ def ngram_terms(text: Column, stopwords: Sequence[str], ngram_max: int = 2) -> C
 
 
 def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = None,
-          max_features: int = 3000, stopwords: Sequence[str] | None = None, ngram_max: int = 2) -> DataFrame:
+          max_features: int = 3000, stopwords: Sequence[str] | None = None, ngram_max: int = 2,
+          docs_are_groups: bool = False) -> DataFrame:
     """C7 (SQL form) / C8 building block: L2-normalised TF-IDF rows
     ``(group?, doc, term, weight)`` with tf = raw count and
     idf = ln((1+N)/(1+df)) + 1, vocabulary = the ``max_features`` terms with
     the highest total count (per group when ``group_col`` is given; ties by
-    term).  N counts every document, including ones without a term."""
+    term).  N counts every document, including ones without a term.  With
+    ``docs_are_groups`` several rows form one document (their counts add up)."""
     stop = list(spark_english_stopwords() if stopwords is None else stopwords)
     keys = ([group_col] if group_col else []) + [doc_col]
     gkey = [group_col] if group_col else []
     docs = df.select(*keys, text_col)
-    n_docs = docs.groupBy(*gkey).agg(F.count("*").alias("n_docs")) if gkey else \
-        docs.agg(F.count("*").alias("n_docs"))
+    n_expr = F.countDistinct(doc_col) if docs_are_groups else F.count("*")
+    n_docs = docs.groupBy(*gkey).agg(n_expr.alias("n_docs")) if gkey else docs.agg(n_expr.alias("n_docs"))
     tf = (docs.select(*keys, F.explode(ngram_terms(F.col(text_col), stop, ngram_max)).alias("term"))
           .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
     stats = tf.groupBy(*gkey, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
