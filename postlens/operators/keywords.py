@@ -22,6 +22,7 @@ from postlens.functions.text import is_noise, normalize_text, tokens
 
 # Unicode words of two or more characters (the sklearn default token pattern)
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
+NON_WORD_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
 @functools.lru_cache(maxsize=1)
@@ -38,6 +39,14 @@ def spark_english_stopwords() -> tuple[str, ...]:
     raise FileNotFoundError("spark-mllib jar with English stop words not found")
 
 
+def _text_partitions(df: DataFrame) -> int:
+    """Partition count for text-heavy stages: the session's shuffle
+    partitions, at least the cluster's default parallelism."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(n, spark.sparkContext.defaultParallelism)
+
+
 # ---------------------------------------------------------------------------
 # C2 / C3 / G6
 # ---------------------------------------------------------------------------
@@ -119,8 +128,10 @@ def weighted_keywords(df: DataFrame, text_col: str = "text", k: int = 8,
 # ---------------------------------------------------------------------------
 def ngram_terms(text: Column, stopwords: Sequence[str], ngram_max: int = 2) -> Column:
     """Word 1..n-grams of lower-cased text after stop-word removal."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), 0),
-                     lambda w: ~w.isin(*stopwords))
+    # runs of word characters of length ≥ 2 (same tokens as WORD_PATTERN);
+    # splitting on non-word runs is cheaper than extracting matches
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD_PATTERN)
+    words = F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
     grams = words
     if ngram_max >= 2:
         bigrams = F.zip_with(words, F.slice(words, 2, 1 << 30),
@@ -131,7 +142,7 @@ def ngram_terms(text: Column, stopwords: Sequence[str], ngram_max: int = 2) -> C
 
 def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = None,
           max_features: int = 3000, stopwords: Sequence[str] | None = None, ngram_max: int = 2,
-          docs_are_groups: bool = False) -> DataFrame:
+          docs_are_groups: bool = False, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """C7 (SQL form) / C8 building block: L2-normalised TF-IDF rows
     ``(group?, doc, term, weight)`` with tf = raw count and
     idf = ln((1+N)/(1+df)) + 1, vocabulary = the ``max_features`` terms with
@@ -141,7 +152,14 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
     stop = list(spark_english_stopwords() if stopwords is None else stopwords)
     keys = ([group_col] if group_col else []) + [doc_col]
     gkey = [group_col] if group_col else []
+    # Documents are hash-partitioned by their key *before* the text is
+    # exploded: per-document term counts and norms then need no exchange, and
+    # only the raw text is shuffled, never the exploded n-gram rows.
+    # An explicit partition count keeps AQE from coalescing this (small in
+    # bytes, heavy in CPU) shuffle into a few tasks.
     docs = df.select(*keys, text_col)
+    if not docs_are_groups:
+        docs = docs.repartition(_text_partitions(df), *keys)
     n_expr = F.countDistinct(doc_col) if docs_are_groups else F.count("*")
     n_docs = docs.groupBy(*gkey).agg(n_expr.alias("n_docs")) if gkey else docs.agg(n_expr.alias("n_docs"))
     tf = (docs.select(*keys, F.explode(ngram_terms(F.col(text_col), stop, ngram_max)).alias("term"))
@@ -151,6 +169,11 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
         rk = F.row_number().over(Window.partitionBy(*gkey).orderBy(F.col("total").desc(), "term"))
         vocab = stats.withColumn("rk", rk).where(F.col("rk") <= max_features)
         vocab = vocab.join(n_docs, gkey)
+        # the vocabulary has at most max_features rows per group: broadcast it
+        # (keeping tf partitioned by document) when that bound is small enough
+        n_groups = n_docs.count()
+        if n_groups * max_features <= max_broadcast_rows:
+            vocab = F.broadcast(vocab)
     else:
         # per-partition top-k + merge; the result is bounded by max_features
         vocab = stats.orderBy(F.col("total").desc(), "term").limit(max_features).withColumn("_g", F.lit(0))
