@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import wordlists as W
 from postlens.functions.text import is_noise, normalize_text, tokens
+from postlens.session import cut_lineage
 
 # Unicode words of two or more characters (the sklearn default token pattern)
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -142,7 +143,8 @@ def ngram_terms(text: Column, stopwords: Sequence[str], ngram_max: int = 2) -> C
 
 def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = None,
           max_features: int = 3000, stopwords: Sequence[str] | None = None, ngram_max: int = 2,
-          docs_are_groups: bool = False, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+          docs_are_groups: bool = False, max_broadcast_rows: int = 2_000_000,
+          tf_cache: list | None = None) -> DataFrame:
     """C7 (SQL form) / C8 building block: L2-normalised TF-IDF rows
     ``(group?, doc, term, weight)`` with tf = raw count and
     idf = ln((1+N)/(1+df)) + 1, vocabulary = the ``max_features`` terms with
@@ -164,6 +166,12 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
     n_docs = docs.groupBy(*gkey).agg(n_expr.alias("n_docs")) if gkey else docs.agg(n_expr.alias("n_docs"))
     tf = (docs.select(*keys, F.explode(ngram_terms(F.col(text_col), stop, ngram_max)).alias("term"))
           .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
+    if tf_cache is not None:
+        # the counts feed two passes (statistics, then weights): compute once
+        from pyspark import StorageLevel
+
+        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
+        tf_cache.append(tf)
     stats = tf.groupBy(*gkey, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if gkey:
         rk = F.row_number().over(Window.partitionBy(*gkey).orderBy(F.col("total").desc(), "term"))
@@ -189,19 +197,22 @@ def theme_keywords(df: DataFrame, theme_col: str = "theme", doc_col: str = "id",
                    max_features: int = 500, top: int = 10, keep: int = 6,
                    max_docs_per_theme: int | None = None, order_col: str | None = None,
                    drop_first_words: Sequence[str] = tuple(W.THEME_STOPWORDS) + tuple(W.KEYWORD_EXTRA_DROP),
-                   stopwords: Sequence[str] | None = None) -> DataFrame:
+                   stopwords: Sequence[str] | None = None, eager: bool = True) -> DataFrame:
     """TF-IDF fitted inside each theme; mean weight over the theme's
     documents; top ``top`` terms, drop those whose first word is a stop or
     extra-drop word, keep ``keep`` → ``(theme, rank, keyword, score)``.
     ``max_docs_per_theme`` (off by default) keeps the first documents by
-    ``order_col``."""
+    ``order_col``.  ``eager`` (default) runs the job now with the per-document
+    counts computed once, and returns the small checkpointed result."""
     src = df.select(F.col(theme_col).alias("theme"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text"),
                     *([F.col(order_col).alias("_o")] if order_col else []))
     if max_docs_per_theme:
         o = F.col("_o") if order_col else F.col("doc")
         src = src.withColumn("_r", F.row_number().over(Window.partitionBy("theme").orderBy(o, "doc"))) \
             .where(F.col("_r") <= max_docs_per_theme)
-    rows = tfidf(src, "doc", "text", group_col="theme", max_features=max_features, stopwords=stopwords)
+    cache: list = []
+    rows = tfidf(src, "doc", "text", group_col="theme", max_features=max_features, stopwords=stopwords,
+                 tf_cache=cache if eager else None)
     # rounded before ranking so equal scores tie exactly in any summation order
     mean = rows.groupBy("theme", "term").agg(F.round(F.sum("weight") / F.first("n_docs"), 9).alias("score"))
     rk = Window.partitionBy("theme").orderBy(F.col("score").desc(), F.col("term"))
@@ -210,7 +221,14 @@ def theme_keywords(df: DataFrame, theme_col: str = "theme", doc_col: str = "id",
     kept = top_t.where(~F.lower(first).isin(*drop_first_words))
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("theme").orderBy("rk"))) \
         .where(F.col("rank") <= keep)
-    return kept.select("theme", "rank", F.col("term").alias("keyword"), F.round("score", 6).alias("score"))
+    out = kept.select("theme", "rank", F.col("term").alias("keyword"), F.round("score", 6).alias("score"))
+    if eager:
+        # a few rows per theme: materialise them in the shared checkpoint
+        # folder (lineage cut, survives executor loss), then free the counts
+        out = cut_lineage(out)
+        for c in cache:
+            c.unpersist()
+    return out
 
 
 def keywords_per_group(kw: DataFrame, group_col: str = "theme") -> DataFrame:
