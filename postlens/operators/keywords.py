@@ -144,7 +144,8 @@ def ngram_terms(text: Column, stopwords: Sequence[str], ngram_max: int = 2) -> C
 def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = None,
           max_features: int = 3000, stopwords: Sequence[str] | None = None, ngram_max: int = 2,
           docs_are_groups: bool = False, max_broadcast_rows: int = 2_000_000,
-          tf_cache: list | None = None) -> DataFrame:
+          tf_cache: list | None = None, terms_col: str | None = None,
+          partitioned_by_doc: bool = False) -> DataFrame:
     """C7 (SQL form) / C8 building block: L2-normalised TF-IDF rows
     ``(group?, doc, term, weight)`` with tf = raw count and
     idf = ln((1+N)/(1+df)) + 1, vocabulary = the ``max_features`` terms with
@@ -159,18 +160,22 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
     # only the raw text is shuffled, never the exploded n-gram rows.
     # An explicit partition count keeps AQE from coalescing this (small in
     # bytes, heavy in CPU) shuffle into a few tasks.
-    docs = df.select(*keys, text_col)
-    if not docs_are_groups:
-        docs = docs.repartition(_text_partitions(df), *keys)
+    # ``terms_col``: an array of terms computed upstream (same tokens as
+    # ``ngram_terms``); ``partitioned_by_doc``: the caller guarantees the
+    # input is already hash-partitioned by the document key.
+    src_col = terms_col or text_col
+    docs = df.select(*keys, src_col)
+    if not docs_are_groups and not partitioned_by_doc:
+        docs = docs.repartition(_text_partitions(df), doc_col)
     n_expr = F.countDistinct(doc_col) if docs_are_groups else F.count("*")
     n_docs = docs.groupBy(*gkey).agg(n_expr.alias("n_docs")) if gkey else docs.agg(n_expr.alias("n_docs"))
-    tf = (docs.select(*keys, F.explode(ngram_terms(F.col(text_col), stop, ngram_max)).alias("term"))
+    terms = F.col(terms_col) if terms_col else ngram_terms(F.col(text_col), stop, ngram_max)
+    tf = (docs.select(*keys, F.explode(terms).alias("term"))
           .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
     if tf_cache is not None:
         # the counts feed two passes (statistics, then weights): compute once
-        from pyspark import StorageLevel
-
-        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
+        # written once to the shared checkpoint folder (lineage cut there)
+        tf = cut_lineage(tf)
         tf_cache.append(tf)
     stats = tf.groupBy(*gkey, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if gkey:
@@ -197,14 +202,16 @@ def theme_keywords(df: DataFrame, theme_col: str = "theme", doc_col: str = "id",
                    max_features: int = 500, top: int = 10, keep: int = 6,
                    max_docs_per_theme: int | None = None, order_col: str | None = None,
                    drop_first_words: Sequence[str] = tuple(W.THEME_STOPWORDS) + tuple(W.KEYWORD_EXTRA_DROP),
-                   stopwords: Sequence[str] | None = None, eager: bool = True) -> DataFrame:
+                   stopwords: Sequence[str] | None = None, eager: bool = True, terms_col: str | None = None,
+                   partitioned_by_doc: bool = False) -> DataFrame:
     """TF-IDF fitted inside each theme; mean weight over the theme's
     documents; top ``top`` terms, drop those whose first word is a stop or
     extra-drop word, keep ``keep`` → ``(theme, rank, keyword, score)``.
     ``max_docs_per_theme`` (off by default) keeps the first documents by
     ``order_col``.  ``eager`` (default) runs the job now with the per-document
     counts computed once, and returns the small checkpointed result."""
-    src = df.select(F.col(theme_col).alias("theme"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text"),
+    src = df.select(F.col(theme_col).alias("theme"), F.col(doc_col).alias("doc"),
+                    F.col(terms_col or text_col).alias("terms" if terms_col else "text"),
                     *([F.col(order_col).alias("_o")] if order_col else []))
     if max_docs_per_theme:
         o = F.col("_o") if order_col else F.col("doc")
@@ -212,7 +219,8 @@ def theme_keywords(df: DataFrame, theme_col: str = "theme", doc_col: str = "id",
             .where(F.col("_r") <= max_docs_per_theme)
     cache: list = []
     rows = tfidf(src, "doc", "text", group_col="theme", max_features=max_features, stopwords=stopwords,
-                 tf_cache=cache if eager else None)
+                 tf_cache=cache if eager else None, terms_col="terms" if terms_col else None,
+                 partitioned_by_doc=partitioned_by_doc and not max_docs_per_theme)
     # rounded before ranking so equal scores tie exactly in any summation order
     mean = rows.groupBy("theme", "term").agg(F.round(F.sum("weight") / F.first("n_docs"), 9).alias("score"))
     rk = Window.partitionBy("theme").orderBy(F.col("score").desc(), F.col("term"))

@@ -210,27 +210,36 @@ def callable_embedder(factory: Callable[[], Callable[[list[str]], list]], batch_
     return _embed
 
 
-def tfidf_features(df: DataFrame, text_col: str, vocab_size: int = 3000, min_df: float = 1.0,
-                   stopwords: Sequence[str] | None = None, out_col: str = "features"):
-    """D6 (default backend, ML form of C7): RegexTokenizer → StopWordsRemover
-    → 1- and 2-grams → CountVectorizer(vocab_size) → IDF → L2 Normalizer.
-    Returns ``(fitted PipelineModel, transformed DataFrame)``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import (IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-                                    StopWordsRemover)
-
-    from postlens.operators.keywords import spark_english_stopwords
-
-    stop = list(spark_english_stopwords() if stopwords is None else stopwords)
-    stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="__w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-        StopWordsRemover(inputCol="__w", outputCol="__ws", stopWords=stop),
-        NGram(n=2, inputCol="__ws", outputCol="__bi"),
-        SQLTransformer(statement="SELECT *, concat(__ws, __bi) AS __terms FROM __THIS__"),
-        CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size, minDF=min_df),
-        IDF(inputCol="__tf", outputCol="__idf"),
-        Normalizer(inputCol="__idf", outputCol=out_col, p=2.0),
-    ]
-    model = Pipeline(stages=stages).fit(df)
-    out = model.transform(df).drop("__w", "__ws", "__bi", "__terms", "__tf", "__idf")
-    return model, out
+def tfidf_features(df: DataFrame, terms_col: str, vocab_size: int = 3000, id_col: str = "id",
+                   out_col: str = "features", partitioned_by_doc: bool = True):
+    """D6 (default backend, ML form of C7) on a precomputed array of 1- and
+    2-gram terms (:func:`postlens.operators.keywords.ngram_terms`).
+
+    The vocabulary — the ``vocab_size`` terms with the highest total count
+    (ties by term) — and each term's document frequency come from one
+    DataFrame aggregation; only those ≤ ``vocab_size`` rows reach the driver.
+    Vectors are term counts over that vocabulary × idf = ln((1+N)/(1+df)) + 1,
+    L2-normalised.  Returns ``(featurize, df_with_features)``; ``featurize``
+    applies the same vectoriser to any frame with ``terms_col``."""
+    import math
+
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    src = df.select(id_col, terms_col)
+    if not partitioned_by_doc:
+        src = src.repartition(id_col)
+    tf = src.select(id_col, F.explode(terms_col).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    top = stats.orderBy(F.col("total").desc(), "term").limit(int(vocab_size)).collect()
+    n_docs = df.count()
+    vocab = [r["term"] for r in top] or ["__empty__"]
+    idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in top] or [0.0]
+    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=terms_col, outputCol="__tf")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__idf")
+    norm = Normalizer(inputCol="__idf", outputCol=out_col, p=2.0)
+
+    def featurize(frame: DataFrame) -> DataFrame:
+        return norm.transform(scale.transform(cv.transform(frame))).drop("__tf", "__idf")
+
+    return featurize, featurize(df)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,8 @@ from postlens.functions.columns import resolve, sentiment_key
 from postlens.functions.text import normalize_text, with_fallback_title, with_generated_title
 from postlens.operators.cleaning import drop_duplicate_posts
 from postlens.operators.filters import timestamp_window
-from postlens.operators.keywords import keywords_per_group, theme_keywords, tfidf
+from postlens.operators.keywords import (_text_partitions, keywords_per_group, ngram_terms, spark_english_stopwords,
+                                        theme_keywords, tfidf)
 from postlens.operators.metrics import label_counts
 from postlens.operators.sampling import newest_rows, seeded_sample
 from postlens.operators.scoring import tfidf_features
@@ -39,25 +41,27 @@ THEME_SCHEMA = T.StructType([
 # ---------------------------------------------------------------------------
 def kmeans_assign(features: DataFrame, k: int, seed: int = 42, features_col: str = "features",
                   fit_sample: int | None = None, id_col: str = "id", max_iter: int = 20,
-                  retry_if_short: bool = True, out_col: str = "theme") -> DataFrame:
+                  retry_if_short: bool = True, out_col: str = "theme"):
     """KMeans with ``k = max(2, k)`` and a fixed seed, fitted on all
-    rows (or on a reproducible ``fit_sample``), every row assigned by the
-    model; when fewer than k clusters are non-empty, refit once on all rows
-    with the next seed."""
+    rows (or on a reproducible ``fit_sample``); when fewer than k clusters
+    are non-empty, refit once on all rows with the next seed.  Returns the
+    fitted model; ``model.transform`` assigns every row (D8)."""
     from pyspark.ml.clustering import KMeans
 
     k = max(2, int(k))
-    data = features.orderBy(id_col).persist()
+    # fixed row order inside each (hash-determined) partition keeps the
+    # seeded k-means|| initialisation reproducible without a global sort
+    data = features.select(id_col, features_col).sortWithinPartitions(id_col).persist()
     try:
         train = seeded_sample(data, fit_sample, seed=seed, id_col=id_col) if fit_sample else data
         km = KMeans(k=k, seed=seed, featuresCol=features_col, predictionCol=out_col, maxIter=max_iter)
-        pred = km.fit(train).transform(data)
+        model = km.fit(train)
         if retry_if_short:
-            used = pred.select(out_col).distinct().count()
+            used = model.transform(data).select(out_col).distinct().count()
             if used < k:
                 km2 = KMeans(k=k, seed=seed + 1, featuresCol=features_col, predictionCol=out_col, maxIter=max_iter)
-                pred = km2.fit(data).transform(data)
-        return pred.withColumn(out_col, F.col(out_col).cast("int"))
+                model = km2.fit(data)
+        return model
     finally:
         data.unpersist(blocking=False)
 
@@ -290,15 +294,22 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
                                                         "source_row_count long")
         return {"themes": empty_themes(spark), "posts": data.withColumn("theme", F.lit(None).cast("int")),
                 "run": run}
+    # one shuffle by post id; everything per post below (terms, vectors,
+    # assignment, per-theme term counts) then runs without another exchange
+    data = data.repartition(_text_partitions(data), "id")
+    data = data.withColumn("__terms", ngram_terms(F.col(text_col), list(spark_english_stopwords())))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     if features is None:
-        _, feats = tfidf_features(data.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
-                                  "__text", vocab_size=vocab_size)
-        feats = feats.drop("__text")
+        featurize, feats = tfidf_features(data, "__terms", vocab_size=vocab_size)
     else:
-        feats = data.join(features, "id")
-    assigned = kmeans_assign(feats, n_clusters, seed=seed, fit_sample=fit_sample).drop("features")
-    assigned = assigned.persist()
-    kws = keywords_per_group(theme_keywords(assigned, "theme", "id", text_col))
+        feats = data.join(features.select("id", "features"), "id")
+        featurize = None
+    model = kmeans_assign(feats, n_clusters, seed=seed, fit_sample=fit_sample)
+    scored = featurize(data) if featurize is not None else feats
+    assigned = model.transform(scored).drop("features").withColumn("theme", F.col("theme").cast("int"))
+    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
+    kws = keywords_per_group(theme_keywords(assigned, "theme", "id", text_col, terms_col="__terms",
+                                            partitioned_by_doc=features is None))
     key = sentiment_key(F.col("sentiment_label")) if "sentiment_label" in assigned.columns else F.lit(None)
     counts = assigned.groupBy("theme").agg(F.count("*").alias("tweet_count"), *label_counts(key))
     t = counts.join(kws, "theme", "left")
@@ -319,4 +330,5 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
     n_rows = assigned.count()
     run = spark.createDataFrame([(now, used_llm, n_rows)],
                                 "updated_at timestamp_ntz, used_llm boolean, source_row_count long")
-    return {"themes": final, "posts": assigned, "run": run}
+    data.unpersist(blocking=False)
+    return {"themes": final, "posts": assigned.drop("__terms"), "run": run}
