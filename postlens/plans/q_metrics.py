@@ -239,7 +239,7 @@ def q_theme_sentiment(spark, d):
     return M.theme_sentiment(_p(spark, d))
 
 
-@register("day_drilldown", "F19", with_posts(f"""
+@register("day_drilldown", "F19,E10", with_posts(f"""
 with g as (select {ADISP} as aspect, {counts3()} from posts where date = date '{DAY}' group by 1),
 s as (select aspect, 'all' as section, positive + neutral + negative as count from g
   union all select aspect, 'positive', positive from g union all select aspect, 'neutral', neutral from g

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postlens.functions.text import prompt_keywords, with_fallback_title
+from postlens.functions.text import (display_theme_name, prompt_keywords, with_fallback_title, with_generated_title,
+                                     with_sanitized_title, with_title_checks)
 from postlens.operators import scoring as S
 from postlens.operators import themes as J
 from postlens.operators.keywords import explode_tokens, basic_token_filter
@@ -126,7 +127,7 @@ def q_logistic(spark, d):
         "doc_id", "sentiment_label", "sentiment_score")
 
 
-@register("kmeans_themes", "D6,D7,D8,D9,J4,J5,C8,C12,D10,J6")
+@register("kmeans_themes", "D6,D7,D8,D9,J4,J5,C8,C12,D10,J6,P4,P7")
 def q_kmeans_themes(spark, d):
     return J.compute_themes(posts(spark, d, with_text=True), n_clusters=12)["themes"]
 
@@ -185,3 +186,16 @@ def q_fallback_titles(spark, d):
 
 
 _ = with_posts
+
+
+@register("title_rules_conversations", "C9,C10,C11,C13,C15")
+def q_title_rules(spark, d):
+    """Every conversation turn treated as a candidate theme title: C9/C10
+    flags, C11 sanitised title, C13 clean-up as if it were generated text,
+    C15 display name."""
+    c = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    c = with_title_checks(c, "text", "t")
+    c = with_sanitized_title(c, "text", F.lit("Order Fulfillment Issues"), "sanitized")
+    c = with_generated_title(c, "text", "sanitized", "cleaned")
+    return c.select("conv_id", "turn", F.col("t_meaningless").alias("meaningless"), F.col("t_valid").alias("valid"),
+                    "sanitized", "cleaned", display_theme_name(F.col("text")).alias("display"))

@@ -69,7 +69,7 @@ def q_epoch_s(spark, d):
     return B.parse_date_column(messy_posts(spark, d), "created_epoch").select("id", "created_epoch", "date")
 
 
-@register("standardize_columns", "B5", with_messy("""
+@register("standardize_columns", "B5,B6", with_messy("""
 select coalesce(text_clean, '') as clean_tweet, 'en' as lang, false as has_url, false as has_mention,
   false as has_hashtag, id, sentiment_label, text_clean from messy
 """))
