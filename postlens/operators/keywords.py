@@ -40,6 +40,14 @@ def spark_english_stopwords() -> tuple[str, ...]:
     raise FileNotFoundError("spark-mllib jar with English stop words not found")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Before CPU-heavy per-row text work: when the input arrives in fewer
+    partitions than the cluster's parallelism (e.g. one small file), spread
+    it round-robin; otherwise leave it as is (no shuffle at scale)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def _text_partitions(df: DataFrame) -> int:
     """Partition count for text-heavy stages: the session's shuffle
     partitions, at least the cluster's default parallelism."""
@@ -53,7 +61,7 @@ def _text_partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------------------
 def explode_tokens(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per whitespace token of the normalised text."""
-    return df.select(*keep, F.explode(tokens(text_col)).alias("token"))
+    return spread(df.select(*keep, text_col)).select(*keep, F.explode(tokens(text_col)).alias("token"))
 
 
 def basic_token_filter(tok: Column, stopwords: Sequence[str] = W.SUMMARY_STOPWORDS) -> Column:
