@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.operators.metrics import vocab_frame
+from postlens.operators.metrics import align_counts, vocab_frame
 
 
 def rows_not_in(df: DataFrame, sample: DataFrame, key: str = "id") -> DataFrame:
@@ -22,10 +22,8 @@ def rows_not_in(df: DataFrame, sample: DataFrame, key: str = "id") -> DataFrame:
 
 def align_to_vocabulary(counts: DataFrame, vocab: Sequence[str], key: str, fill_cols: Sequence[str]) -> DataFrame:
     """One row per vocabulary value in vocabulary order (``ord``), missing
-    counts → 0."""
-    voc = vocab_frame(counts.sparkSession, vocab, key)
-    out = voc.join(F.broadcast(counts), key, "left")
-    return out.select(key, "ord", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in fill_cols])
+    counts → 0 (union of zero rows + re-aggregate: no join)."""
+    return align_counts(counts, vocab, key, fill_cols)
 
 
 def with_theme_text(facts: DataFrame, themes: DataFrame, id_col: str = "id") -> DataFrame:

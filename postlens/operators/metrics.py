@@ -34,6 +34,18 @@ def vocab_frame(spark: SparkSession, values: Sequence[str], name: str, order_col
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def align_counts(counts: DataFrame, vocab: Sequence[str], key: str, cols: Sequence[str]) -> DataFrame:
+    """G2 without a join: add a zero row per vocabulary value, re-aggregate,
+    keep only vocabulary keys, and number them in vocabulary order (``ord``).
+    Nothing is broadcast and nothing grows with the data."""
+    zeros = vocab_frame(counts.sparkSession, vocab, key).select(
+        key, *[F.lit(0).cast("long").alias(c) for c in cols])
+    merged = counts.select(key, *[F.col(c).cast("long").alias(c) for c in cols]).unionByName(zeros)
+    merged = merged.where(F.col(key).isin(*vocab)).groupBy(key).agg(*[F.sum(c).alias(c) for c in cols])
+    order = (F.array_position(F.array(*[F.lit(v) for v in vocab]), F.col(key)) - 1).cast("int")
+    return merged.select(key, order.alias("ord"), *cols)
+
+
 def pct(n: Column | str, total: Column | str, digits: int | None) -> Column:
     """``round(100*n/total, digits)``; 0.0 when total is 0."""
     n = F.col(n) if isinstance(n, str) else n
@@ -147,9 +159,7 @@ def aspect_distribution(df: DataFrame, start=None, end=None, aspects: Sequence[s
     percent over the vocabulary only; zeros when empty."""
     sub = date_window(df, start, end)
     counts = sub.groupBy(aspect_api_key(F.col("aspect_dominant")).alias("aspect")).agg(F.count("*").alias("count"))
-    voc = vocab_frame(df.sparkSession, aspects, "aspect")
-    out = voc.join(F.broadcast(counts), "aspect", "left").select(
-        "aspect", "ord", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+    out = align_counts(counts, aspects, "aspect", ["count"])
     out = out.withColumn("total", F.sum("count").over(_all()))
     return out.select("aspect", "ord", "count", "total", pct("count", "total", digits).alias("percent"))
 
@@ -201,9 +211,7 @@ def aspect_sentiment_split(df: DataFrame, start=None, end=None, aspects: Sequenc
 def _split_from_counts(spark: SparkSession, counts: DataFrame, aspects: Sequence[str], include_others: bool,
                        digits: int) -> DataFrame:
     labels = list(aspects) + (["others"] if include_others else [])
-    voc = vocab_frame(spark, labels, "aspect")
-    out = voc.join(F.broadcast(counts), "aspect", "left").select(
-        "aspect", "ord", *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in W.SENTIMENTS])
+    out = align_counts(counts, labels, "aspect", W.SENTIMENTS)
     return _split_percent(out, digits)
 
 
@@ -248,8 +256,9 @@ def top_aspects(df: DataFrame, start=None, end=None, k: int = 6) -> DataFrame:
         F.count_if(key == "negative").alias("neg"),
         F.count_if(key == "neutral").alias("neu"),
     )
-    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("aspect"))))
-    return ranked.where((F.col("rank") <= k) & (aspect_display(F.col("aspect")) != W.ASPECT_FALLBACK))
+    top = g.orderBy(F.col("count").desc(), F.col("aspect")).limit(int(k))  # per-partition top-k, then merge
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("aspect"))))
+    return ranked.where(aspect_display(F.col("aspect")) != W.ASPECT_FALLBACK)
 
 
 # ---------------------------------------------------------------------------
@@ -291,9 +300,12 @@ def basic_stats(df: DataFrame, aspect_col: str = "aspect", keywords_col: str = "
         key = F.when(F.col(f"_g_{n}") == 0, F.col(n)).otherwise(key)
     long = g.select(metric.alias("metric"), key.alias("key"), "value")
     long = long.where(~((F.col("metric") != "n_tweets") & (F.col("metric") != "sentiment") & F.col("key").isNull()))
+    fixed = long.where(F.col("metric").isin("n_tweets", "sentiment")).withColumn("rank", F.lit(0))
+    ranked = long.where(F.col("metric").isin("aspect", "topic_keywords"))
     rk = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("key")))
-    long = long.withColumn("rank", F.when(F.col("metric").isin("aspect", "topic_keywords"), rk).otherwise(F.lit(0)))
-    return long.where(F.col("rank") <= top)
+    # filtering on the rank itself lets Spark cut to `top` rows per metric map-side
+    ranked = ranked.withColumn("rank", rk).where(F.col("rank") <= top)
+    return fixed.unionByName(ranked)
 
 
 def date_range(df: DataFrame, date_col: str = "date") -> DataFrame:

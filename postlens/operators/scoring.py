@@ -167,7 +167,7 @@ def prototype_vectors(vectors: DataFrame, vec_col: str = "embedding", label_col:
 
 
 def cosine_scores(vectors: DataFrame, prototypes: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                  label_col: str = "label") -> DataFrame:
+                  label_col: str = "label", max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """D3 (embedding backend) / D8 assignment: cosine of every row vector to
     every prototype → ``(id, label, cosine)``.  Vectors are exploded by
     dimension and equi-joined to the (broadcast, labels × dims) prototypes,
@@ -176,7 +176,9 @@ def cosine_scores(vectors: DataFrame, prototypes: DataFrame, id_col: str = "vec_
     pn = prototypes.groupBy(label_col).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("pnorm"))
     proto = prototypes.join(pn, label_col)
     rn = ex.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v").cast("double") * F.col("v").cast("double"))).alias("rnorm"))
-    dots = ex.join(F.broadcast(proto), "dim").groupBy(id_col, label_col, "pnorm").agg(
+    # prototypes are labels × dims rows: broadcast only under the size limit
+    proto = F.broadcast(proto) if prototypes.count() <= max_broadcast_rows else proto
+    dots = ex.join(proto, "dim").groupBy(id_col, label_col, "pnorm").agg(
         F.sum(F.col("v").cast("double") * F.col("value")).alias("dot"))
     out = dots.join(rn, id_col)
     return out.select(id_col, label_col, (F.col("dot") / (F.col("rnorm") * F.col("pnorm"))).alias("cosine"))
