@@ -48,10 +48,14 @@ def windowed_trend(posts: DataFrame, window: str = "1 day", watermark: str = "1
 
 
 def start(df: DataFrame, name: str, sink: str = "memory", output_mode: str = "append",
-          path: str | None = None, foreach_batch: Callable | None = None) -> StreamingQuery:
-    """Start a streaming query with its checkpoint under the shared folder."""
+          path: str | None = None, foreach_batch: Callable | None = None,
+          available_now: bool = False) -> StreamingQuery:
+    """Start a streaming query with its checkpoint under the shared folder;
+    ``available_now`` processes everything present, then stops."""
     ckpt = os.path.join(ensure_checkpoint_dir(df.sparkSession), "streams", name)
     w = df.writeStream.queryName(name).outputMode(output_mode).option("checkpointLocation", ckpt)
+    if available_now:
+        w = w.trigger(availableNow=True)
     if foreach_batch is not None:
         return w.foreachBatch(foreach_batch).start()
     if sink == "parquet":
