@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
+    """A fresh sub-folder of the shared checkpoint folder for a written table
+    (unique per call, so a lazily read result is never overwritten by a later
+    run of the same job)."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    return os.path.join(base, "postlens", f"{name}-{uuid.uuid4().hex[:12]}")
