@@ -36,14 +36,16 @@ def vocab_frame(spark: SparkSession, values: Sequence[str], name: str, order_col
 
 def align_counts(counts: DataFrame, vocab: Sequence[str], key: str, cols: Sequence[str]) -> DataFrame:
     """G2 without a join: add a zero row per vocabulary value, re-aggregate,
-    keep only vocabulary keys, and number them in vocabulary order (``ord``).
-    Nothing is broadcast and nothing grows with the data."""
-    zeros = vocab_frame(counts.sparkSession, vocab, key).select(
-        key, *[F.lit(0).cast("long").alias(c) for c in cols])
+    keep the vocabulary keys and number them in vocabulary order (``ord``).
+    Membership is computed inside the aggregate, so the filter stays on the
+    small aggregated rows instead of being pushed into the scan (where it
+    would re-evaluate a possibly large key expression per input row)."""
+    voc = vocab_frame(counts.sparkSession, vocab, key)
+    zeros = voc.select(key, *[F.lit(0).cast("long").alias(c) for c in cols])
     merged = counts.select(key, *[F.col(c).cast("long").alias(c) for c in cols]).unionByName(zeros)
-    merged = merged.where(F.col(key).isin(*vocab)).groupBy(key).agg(*[F.sum(c).alias(c) for c in cols])
-    order = (F.array_position(F.array(*[F.lit(v) for v in vocab]), F.col(key)) - 1).cast("int")
-    return merged.select(key, order.alias("ord"), *cols)
+    order = F.array_position(F.array(*[F.lit(v) for v in vocab]), F.col(key))
+    merged = merged.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols], F.max(order).alias("_pos"))
+    return merged.where(F.col("_pos") > 0).select(key, (F.col("_pos") - 1).cast("int").alias("ord"), *cols)
 
 
 def pct(n: Column | str, total: Column | str, digits: int | None) -> Column:
