@@ -91,9 +91,9 @@ def dominant_aspect(
 ) -> Column:
     """Name of the highest score (first wins on ties); fallback when the
     maximum is below ``threshold``.  Missing scores count as 0.0."""
-    scores = {k: F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0.0)) for k, v in score_cols.items()}
-    top = F.greatest(*scores.values())
-    expr = F.when(top < F.lit(threshold), F.lit(fallback))
-    for name, c in scores.items():
-        expr = expr.when(c == top, F.lit(name))
-    return expr
+    scores = F.array(*[F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0.0)).cast("double")
+                       for v in score_cols.values()])
+    top = F.array_max(scores)
+    # array_position finds the first maximum: ties go to the earlier aspect
+    name = F.element_at(F.array(*[F.lit(k) for k in score_cols]), F.array_position(scores, top).cast("int"))
+    return F.when(top < F.lit(threshold), F.lit(fallback)).otherwise(name)
