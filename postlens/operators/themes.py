@@ -41,10 +41,11 @@ THEME_SCHEMA = T.StructType([
 # ---------------------------------------------------------------------------
 def kmeans_assign(features: DataFrame, k: int, seed: int = 42, features_col: str = "features",
                   fit_sample: int | None = None, id_col: str = "id", max_iter: int = 20,
-                  retry_if_short: bool = True, out_col: str = "theme"):
+                  retry_if_short: bool = True, out_col: str = "theme", n_init: int = 1):
     """KMeans with ``k = max(2, k)`` and a fixed seed, fitted on all
     rows (or on a reproducible ``fit_sample``); when fewer than k clusters
-    are non-empty, refit once on all rows with the next seed.  Returns the
+    are non-empty, refit once on all rows with the next seed.  ``n_init``
+    runs that many seeds and keeps the fit with the lowest cost.  Returns the
     fitted model; ``model.transform`` assigns every row (D8)."""
     from pyspark.ml.clustering import KMeans
 
@@ -54,8 +55,13 @@ def kmeans_assign(features: DataFrame, k: int, seed: int = 42, features_col: str
     data = features.select(id_col, features_col).sortWithinPartitions(id_col).persist()
     try:
         train = seeded_sample(data, fit_sample, seed=seed, id_col=id_col) if fit_sample else data
-        km = KMeans(k=k, seed=seed, featuresCol=features_col, predictionCol=out_col, maxIter=max_iter)
-        model = km.fit(train)
+        # n_init > 1: several seeded fits, keep the lowest within-cluster cost
+        model = None
+        for i in range(max(1, int(n_init))):
+            km = KMeans(k=k, seed=seed + i, featuresCol=features_col, predictionCol=out_col, maxIter=max_iter)
+            m = km.fit(train)
+            if model is None or m.summary.trainingCost < model.summary.trainingCost:
+                model = m
         if retry_if_short:
             used = model.transform(data).select(out_col).distinct().count()
             if used < k:
@@ -267,7 +273,7 @@ def generate_text(df: DataFrame, prompt_col: str, generate_fn: Callable[[str], s
 def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, max_rows: int | None = None,
                    fit_sample: int | None = None, merge_similar: bool = True, keep_merged: bool = False,
                    generate_fn: Callable[[str], str] | None = None, seed: int = 42,
-                   vocab_size: int = 3000, features: DataFrame | None = None) -> dict:
+                   vocab_size: int = 3000, features: DataFrame | None = None, n_init: int = 1) -> dict:
     """Dedupe → window → newest rows → vectors → KMeans → keywords →
     counts → names/summaries → final set.  Returns ``{"themes": DataFrame,
     "posts": DataFrame (with theme), "run": one-row DataFrame}``."""
@@ -304,7 +310,7 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
     else:
         feats = data.join(features.select("id", "features"), "id")
         featurize = None
-    model = kmeans_assign(feats, n_clusters, seed=seed, fit_sample=fit_sample)
+    model = kmeans_assign(feats, n_clusters, seed=seed, fit_sample=fit_sample, n_init=n_init)
     scored = featurize(data) if featurize is not None else feats
     assigned = model.transform(scored).drop("features").withColumn("theme", F.col("theme").cast("int"))
     assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)

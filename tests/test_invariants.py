@@ -114,3 +114,18 @@ def test_logistic_probabilities(spark):
     out = S.apply_logistic_sentiment(model, docs, {0: "negative", 1: "positive"})
     stats = out.agg(F.min("sentiment_score").alias("lo"), F.max("sentiment_score").alias("hi")).first()
     assert 0.5 <= stats["lo"] <= stats["hi"] <= 1.0
+
+
+def test_notebook_variant_stages(spark, tmp_path):
+    """P6 end to end on sf0.001: every stage written, every post themed."""
+    from postlens.plans import stages as P
+    from postlens.plans.q_models import ASPECT_LEXICONS, NEGATIVE, POSITIVE
+
+    src = posts(spark, SF_SMALL, with_text=True).select("id", "createdat", "text")
+    res = P.notebook_variant(spark, src, str(tmp_path), {"positive": POSITIVE, "negative": NEGATIVE},
+                             ASPECT_LEXICONS, n_clusters=3)
+    assert res["posts"].count() == src.count()
+    s2 = spark.read.parquet(str(tmp_path / "stage2_aspects"))
+    assert s2.where(F.col("aspect_dominant") == "Other").count() == 0
+    assert s2.select("sentiment_label").distinct().count() >= 1
+    assert spark.read.json(str(tmp_path / "themes")).count() == res["themes"].count()
