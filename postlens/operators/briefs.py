@@ -67,6 +67,9 @@ def extract_brief_json(text: Column | str) -> Column:
     return F.struct(*[F.coalesce(parsed[k], empty).alias(k) for k in BRIEF_SCHEMA.fieldNames()])
 
 
+# FIXED VALUES — the structured-brief prompt (C17); the sentence templates of
+# K1, K2 and K4 below are likewise the reference's output texts, kept verbatim
+# inside the Column expressions that fill them.
 BRIEF_PROMPT_HEAD = (
     "You are an analytics copilot generating an **executive brief** of Twitter/X chatter about Walmart.\n\n"
     "TIME WINDOW: {start} → {end}\nKEYWORD FILTER: {keyword}\n\n"

@@ -129,3 +129,20 @@ def test_notebook_variant_stages(spark, tmp_path):
     assert s2.where(F.col("aspect_dominant") == "Other").count() == 0
     assert s2.select("sentiment_label").distinct().count() >= 1
     assert spark.read.json(str(tmp_path / "themes")).count() == res["themes"].count()
+
+
+def test_run_all_from_csv(spark, tmp_path):
+    """P5: CSV → date parse → standardise → sentiment → aspects → topic
+    defaults → parquet; one row per input row."""
+    from postlens.plans import stages as P
+    from postlens.plans.q_models import ASPECT_LEXICONS, NEGATIVE, POSITIVE
+
+    src = posts(spark, SF_SMALL, with_text=True).select(
+        "id", F.date_format("createdat", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "text")
+    csv = str(tmp_path / "in.csv")
+    src.write.option("header", True).option("escape", '"').csv(csv)
+    out = P.run_all(spark, csv, str(tmp_path / "out"), {"positive": POSITIVE, "negative": NEGATIVE},
+                    ASPECT_LEXICONS)
+    assert out.count() == src.count()
+    assert {"clean_tweet", "sentiment_label", "aspect_dominant", "topic_id", "date"} <= set(out.columns)
+    assert out.where(F.col("date").isNull()).count() == 0
