@@ -182,8 +182,11 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
           .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
     if tf_cache is not None:
         # the counts feed two passes (statistics, then weights): compute once
-        # written once to the shared checkpoint folder (lineage cut there)
-        tf = cut_lineage(tf)
+        # kept in executor storage for the two passes, released by the caller;
+        # a lost block is recomputed from lineage
+        from pyspark import StorageLevel
+
+        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
         tf_cache.append(tf)
     stats = tf.groupBy(*gkey, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if gkey:
@@ -225,11 +228,11 @@ def theme_keywords(df: DataFrame, theme_col: str = "theme", doc_col: str = "id",
         o = F.col("_o") if order_col else F.col("doc")
         src = src.withColumn("_r", F.row_number().over(Window.partitionBy("theme").orderBy(o, "doc"))) \
             .where(F.col("_r") <= max_docs_per_theme)
-    # the per-document counts feed two passes; recomputing them measured as
-    # fast as materialising them, so they are not written anywhere
+    # the per-document counts feed two passes (statistics, weights): persisted
+    # once, released after the small result is checkpointed
     cache: list = []
     rows = tfidf(src, "doc", "text", group_col="theme", max_features=max_features, stopwords=stopwords,
-                 tf_cache=None, terms_col="terms" if terms_col else None,
+                 tf_cache=cache if eager else None, terms_col="terms" if terms_col else None,
                  partitioned_by_doc=partitioned_by_doc and not max_docs_per_theme)
     # rounded before ranking so equal scores tie exactly in any summation order
     mean = rows.groupBy("theme", "term").agg(F.round(F.sum("weight") / F.first("n_docs"), 9).alias("score"))
