@@ -9,10 +9,7 @@ joins of bounded lists, and top-k cuts use ``orderBy().limit()``
 
 from __future__ import annotations
 
-import functools
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,28 +23,6 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 NON_WORD_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
-@functools.lru_cache(maxsize=1)
-def spark_english_stopwords() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list (read from the MLlib jar, so
-    no JVM is needed to build a plan)."""
-    import pyspark
-
-    jars = Path(pyspark.__file__).parent / "jars"
-    for jar in sorted(jars.glob("spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            data = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return tuple(w.strip() for w in data.splitlines() if w.strip())
-    raise FileNotFoundError("spark-mllib jar with English stop words not found")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Before CPU-heavy per-row text work: when the input arrives in fewer
-    partitions than the cluster's parallelism (e.g. one small file), spread
-    it round-robin; otherwise leave it as is (no shuffle at scale)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
-
-
 def _text_partitions(df: DataFrame) -> int:
     """Partition count for text-heavy stages: the session's shuffle
     partitions, at least the cluster's default parallelism."""
@@ -61,7 +36,7 @@ def _text_partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------------------
 def explode_tokens(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per whitespace token of the normalised text."""
-    return spread(df.select(*keep, text_col)).select(*keep, F.explode(tokens(text_col)).alias("token"))
+    return df.select(*keep, F.explode(tokens(text_col)).alias("token"))
 
 
 def basic_token_filter(tok: Column, stopwords: Sequence[str] = W.SUMMARY_STOPWORDS) -> Column:
@@ -160,7 +135,7 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
     the highest total count (per group when ``group_col`` is given; ties by
     term).  N counts every document, including ones without a term.  With
     ``docs_are_groups`` several rows form one document (their counts add up)."""
-    stop = list(spark_english_stopwords() if stopwords is None else stopwords)
+    stop = list(W.ENGLISH_STOPWORDS if stopwords is None else stopwords)
     keys = ([group_col] if group_col else []) + [doc_col]
     gkey = [group_col] if group_col else []
     # Documents are hash-partitioned by their key *before* the text is

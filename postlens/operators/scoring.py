@@ -71,9 +71,7 @@ def run_sentiment(df: DataFrame, text_col: str = "clean_tweet", scorer: Column |
         s = scorer
     else:
         s = callable_scorer(scorer, batch_size)(F.col(text_col))
-    from postlens.operators.keywords import spread
-
-    out = spread(df).withColumn("__s", s)
+    out = df.withColumn("__s", s)
     return out.withColumn("sentiment_label", map_model_label(F.col("__s.label"))) \
         .withColumn("sentiment_score", F.col("__s.score")).drop("__s")
 
@@ -151,9 +149,7 @@ def run_aspects(df: DataFrame, text_col: str = "clean_tweet", lexicons: Mapping[
         if lexicons is None:
             raise ValueError("no aspect backend: pass lexicons= or scores=")
         scores = lexicon_aspect_scores(F.col(text_col), lexicons)
-    from postlens.operators.keywords import spread
-
-    out = spread(df)
+    out = df
     for a in aspects:
         out = out.withColumn(f"aspect_{a}", F.coalesce(scores.get(a, F.lit(0.0)), F.lit(0.0)).cast("double"))
     return out.withColumn("aspect_dominant",

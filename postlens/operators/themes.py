@@ -22,8 +22,7 @@ from postlens.functions.columns import resolve, sentiment_key
 from postlens.functions.text import normalize_text, with_fallback_title, with_generated_title
 from postlens.operators.cleaning import drop_duplicate_posts
 from postlens.operators.filters import timestamp_window
-from postlens.operators.keywords import (_text_partitions, keywords_per_group, ngram_terms, spark_english_stopwords,
-                                        theme_keywords, tfidf)
+from postlens.operators.keywords import (_text_partitions, keywords_per_group, ngram_terms, theme_keywords, tfidf)
 from postlens.operators.metrics import label_counts
 from postlens.operators.sampling import newest_rows, seeded_sample
 from postlens.operators.scoring import tfidf_features
@@ -303,7 +302,7 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
     # one shuffle by post id; everything per post below (terms, vectors,
     # assignment, per-theme term counts) then runs without another exchange
     data = data.repartition(_text_partitions(data), "id")
-    data = data.withColumn("__terms", ngram_terms(F.col(text_col), list(spark_english_stopwords())))
+    data = data.withColumn("__terms", ngram_terms(F.col(text_col), list(W.ENGLISH_STOPWORDS)))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     if features is None:
         featurize, feats = tfidf_features(data, "__terms", vocab_size=vocab_size)

@@ -121,7 +121,7 @@ tf as (select {keys}, term, count(*) as tf from g group by all)
 
 
 def _stop():
-    return K.spark_english_stopwords()
+    return W.ENGLISH_STOPWORDS
 
 
 @register("tfidf_documents", "C7", f"""

@@ -16,9 +16,16 @@ Builder = Callable[[SparkSession, str], DataFrame]
 class Query:
     name: str
     build: Builder
-    sql: str | None
+    twin: str | Callable[[], str] | None  # DuckDB text, or what makes it
     operator: str  # SURVEY §2 id(s)
 
+    @property
+    def sql(self) -> str | None:
+        """The DuckDB twin, put together only when it is asked for."""
+        if self.twin is None:
+            return None
+        return _bigint_count_if(self.twin if isinstance(self.twin, str) else self.twin())
+
 
 REGISTRY: dict[str, Query] = {}
 
@@ -41,11 +48,11 @@ def _bigint_count_if(sql: str) -> str:
         i = k
 
 
-def register(name: str, operator: str, sql: str | None = None):
+def register(name: str, operator: str, sql: str | Callable[[], str] | None = None):
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, None if sql is None else _bigint_count_if(sql), operator)
+        REGISTRY[name] = Query(name, fn, sql, operator)
         return fn
 
     return deco
