@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import bpe, html_template, langid, licenses, mixing, pii, quality, repetition, syncmers
+from postlens.llm import bpe, html_template, langid, licenses, mixing, ngram_join, pii, quality, repetition, syncmers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_id, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_quality_rules,
+    op1_ngram_jaccard_join, op2_language_id, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_quality_rules,
     op7_document_fingerprints, op8_license_scan, op9_pii, op10_html_extraction)}
 
 ORACLE_SQL = {"op3_source_mixing": mixing.SQL, "op8_license_scan": licenses.sql()}
