@@ -251,13 +251,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.withColumn(ids, encoded(F.col(text), path, pattern))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` and the SHA-256 of their ids and of the bytes decoded from these, both in
-    lower-case hex.  Columns of these names are replaced."""
+    lower-case hex, and the packed ids themselves as column ``keep``, if named.  Columns of these names are replaced."""
     ids, back = fresh(docs, "ids"), fresh(docs, "bytes")
     out = encode(docs, path, pattern, text, ids)
     out = out.withColumn(back, decoded(F.col(ids), path))
-    return out.withColumns({
+    out = out.withColumns({
         "n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(F.col(ids), 256),
         "decoded_sha256": F.sha2(F.col(back), 256),
-    }).drop(ids, back)
+    } | ({keep: F.col(ids)} if keep else {}))
+    return out.drop(*{ids, back} - {keep})

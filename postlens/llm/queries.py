@@ -56,8 +56,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(_read(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_language_id, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_quality_rules,
-    op7_document_fingerprints, op8_license_scan, op9_pii, op10_html_extraction)}
+    op7_document_fingerprints, op8_license_scan, op9_pii, op10_html_extraction, pipeline)}
 
 ORACLE_SQL = {"op3_source_mixing": mixing.SQL, "op8_license_scan": licenses.sql()}
