@@ -8,7 +8,7 @@ user generator runs in the executors through ``mapInPandas`` (D10).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +31,8 @@ def _one(df: DataFrame) -> DataFrame:
 
 
 def _join_rows(*dfs: DataFrame) -> DataFrame:
-    """Combine one-row aggregates side by side (broadcast equi-join on a
-    constant key; each side has exactly one row)."""
+    """Combine one-row aggregates side by side; each side has exactly one row,
+    so the join that is left of the constant key makes one."""
     out = _one(dfs[0])
     for d in dfs[1:]:
         out = out.join(F.broadcast(_one(d)), "_k")
@@ -102,11 +102,12 @@ def brief_prompt(stats: Column, examples: Column, start: str | None, end: str |
 # K1 period summary (template path, optional generator)
 # ---------------------------------------------------------------------------
 def executive_summary(df: DataFrame, start: str, end: str, aspects_df: DataFrame | None = None,
-                      sample_per_sentiment: int = 250, generate_fn: Callable[[str], str] | None = None,
+                      sample_per_sentiment: int | None = None, generate_fn: Callable[[str], str] | None = None,
                       top_k_aspects: int = 6) -> DataFrame:
-    """K1: window counts (F3), top dominant aspects (F13), balanced samples
-    (H5) → keywords (C5) → one-row summary.  Without a generator, the
-    template text; an empty window gives the empty-period message."""
+    """K1: window counts (F3), top dominant aspects (F13), keywords (C5) of all
+    labelled posts of the window, or of a balanced sample (H5) if
+    ``sample_per_sentiment`` is given → one-row summary.  Without a generator,
+    the template text; an empty window gives the empty-period message."""
     sub = date_window(df, start, end)
     adf = date_window(aspects_df if aspects_df is not None else df, start, end)
     key = sentiment_key(F.col("sentiment_label"))
@@ -117,7 +118,7 @@ def executive_summary(df: DataFrame, start: str, end: str, aspects_df: DataFrame
     top_row = top.agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(
         F.struct((-F.col("n")).alias("o"), F.col("aspect")))), lambda s: s["aspect"]), 1, 4), ", ").alias("aspects"))
     text_col = resolve(df, W.TEXT_THEMES, "text")
-    samples = balanced_sample(sub, sample_per_sentiment)
+    samples = balanced_sample(sub, sample_per_sentiment) if sample_per_sentiment else sub.where(F.col("sentiment_label").isin(*W.SENTIMENTS))
     kw = top_keywords(samples, text_col, k=12)
     kw_row = kw.agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))),
                                                      lambda s: s["keyword"]), 1, 6), ", ").alias("keywords"))
@@ -308,5 +309,3 @@ def rule_based_brief(df: DataFrame, start: str | None, end: str | None, top_n: i
     return ex.select("section", F.posexplode("items").alias("rank", "text")) \
         .select("section", (F.col("rank") + 1).alias("rank"), "text")
 
-
-_ = Sequence

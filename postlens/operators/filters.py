@@ -112,15 +112,9 @@ def include_others(df: DataFrame, include: bool, aspect_col: str = "aspect_domin
     return df.where(aspect_display(F.col(aspect_col)) != F.lit(W.ASPECT_FALLBACK))
 
 
-DEFAULT_FIELDS = [
-    "id", "twitterurl",
-    "text_clean", "text", "fulltext",
-    "sentiment_label", "sentiment_score",
-    "aspect_pricing", "aspect_delivery", "aspect_returns", "aspect_staff",
-    "aspect_app_ux",
-    "aspect_dominant",
-    "createdat", "lang", "has_url", "has_hashtag",
-]
+# FIXED VALUES — columns returned when the caller names none
+DEFAULT_FIELDS = ("id twitterurl text_clean text fulltext sentiment_label sentiment_score aspect_pricing aspect_delivery "
+                  "aspect_returns aspect_staff aspect_app_ux aspect_dominant createdat lang has_url has_hashtag").split()
 
 
 def select_fields(df: DataFrame, fields: Sequence[str] | str | None = None,

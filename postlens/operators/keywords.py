@@ -233,7 +233,3 @@ def keywords_per_group(kw: DataFrame, group_col: str = "theme") -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"])
         .alias("keywords"))
 
-
-def normalized_tokens_table(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """C1 applied to a table: ``(key, norm)``."""
-    return df.select(key_col, normalize_text(text_col).alias("norm"))

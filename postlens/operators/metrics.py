@@ -358,8 +358,7 @@ def aspect_split_for_sentiment(df: DataFrame, sentiment: str, start=None, end=No
     """F11 (others included) for one label: display label, count, percent."""
     s = sentiment.lower()
     split = aspect_sentiment_split_open(df, start, end, include_others=True, digits=digits)
-    label = F.when(F.col("aspect") == "others", F.lit("Others")).otherwise(pretty_label(F.col("aspect"), "none"))
-    return split.select(label.alias("aspect"), F.col(s).alias("count"), F.col(f"{s}_pct").alias("percentage"),
+    return split.select(pretty_label(F.col("aspect"), "none").alias("aspect"), F.col(s).alias("count"), F.col(f"{s}_pct").alias("percentage"),
                         F.lit(s).alias("sentiment"))
 
 

@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 
 from postlens.functions import wordlists as W
 from postlens.functions.columns import first_non_empty, resolve, serialize_rows
+from postlens.session import cut_lineage
 from postlens.operators.filters import (aspect_sentiment_equals, date_window, select_fields, text_search,
                                         theme_equals, timestamp_window)
 
 
+#: Rows up to which Spark plans a partial limit for a ranking window, and parts of a group beyond it.
+PARTIAL_LIMIT, SALTS = 1000, 64
+
+
 def _newest(ts_col: str = "createdat", id_col: str = "id"):
     return [F.col(ts_col).desc(), F.col(id_col)]
 
 
 def theme_posts(df: DataFrame, theme_id: int, limit: int = 20, start=None, end=None, q: str | None = None,
-                fields: Sequence[str] | str | None = None, max_limit: int = 200) -> DataFrame:
-    """H1: newest posts of a theme (limit capped at ``max_limit``), optional
-    whole-day window and text search, caller-chosen fields (E9)."""
-    n = max(1, min(int(limit), max_limit))
+                fields: Sequence[str] | str | None = None) -> DataFrame:
+    """H1: newest ``limit`` posts of a theme, optional whole-day window and
+    text search, caller-chosen fields (E9)."""
+    n = max(1, int(limit))
     sub = text_search(timestamp_window(theme_equals(df, theme_id), start, end), q)
     top = sub.orderBy(*_newest()).limit(n)
     return serialize_rows(select_fields(top, fields))
@@ -38,7 +43,7 @@ def theme_posts(df: DataFrame, theme_id: int, limit: int = 20, start=None, end=N
 def theme_post_items(df: DataFrame, theme_id: int, limit: int = 10, start=None, end=None) -> DataFrame:
     """H1 (item form) with B16/B17: text = first non-empty of the text
     columns, url = first non-empty of the url columns, duplicated aliases."""
-    n = max(1, min(int(limit), 200))
+    n = max(1, int(limit))
     date_col = resolve(df, W.DATE_API, "date", required=False)
     sub = timestamp_window(theme_equals(df, theme_id), start, end, date_col or "createdat")
     top = sub.orderBy(F.col(date_col).desc(), F.col("id")).limit(n) if date_col else sub.limit(n)
@@ -54,16 +59,16 @@ def theme_post_items(df: DataFrame, theme_id: int, limit: int = 10, start=None,
 
 
 def sample_posts(df: DataFrame, aspect: str, sentiment: str, start=None, end=None, limit: int = 10,
-                 max_limit: int = 1000, by_stored_key: bool = False) -> DataFrame:
+                 by_stored_key: bool = False) -> DataFrame:
     """H2: newest posts for an aspect and a label, with ``total_available``
     (all matches) beside each returned row."""
-    n = max(1, min(int(limit), max_limit))
+    n = max(1, int(limit))
     sub = aspect_sentiment_equals(date_window(df, start, end), aspect, sentiment, by_stored_key=by_stored_key)
     text_col = resolve(df, W.TEXT_SAMPLE, "text")
     sub = sub.where(F.col(text_col).isNotNull())
     top = sub.orderBy(*_newest()).limit(n).select("id", "createdat", F.col(text_col).alias("text"))
     total = sub.agg(F.count("*").alias("total_available")).withColumn("_k", F.lit(0))
-    # one-row side: broadcast equi-join on a constant key
+    # both sides are small: at most n rows, and one
     return top.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
 
 
@@ -81,12 +86,30 @@ def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") ->
 
 def first_n_per_group(df: DataFrame, group_col: str, n: int, order: Sequence = None) -> DataFrame:
     """H5/H6 building block: first n rows per group by ``order`` (default
-    oldest first, then id)."""
+    oldest first, then id).  Beyond ``PARTIAL_LIMIT`` rows Spark plans no
+    partial limit; groups are then cut in ``SALTS`` hashed parts first, so a
+    large group is sorted by many tasks and at most n rows of each part meet."""
     order = list(order) if order else [F.col("createdat"), F.col("id")]
+    if n > PARTIAL_LIMIT:
+        part = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+        first = F.row_number().over(Window.partitionBy(group_col, "_part").orderBy(*order))
+        df = df.withColumn("_part", part).withColumn("_rn", first).where(F.col("_rn") <= n).drop("_part", "_rn")
     rn = F.row_number().over(Window.partitionBy(group_col).orderBy(*order))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= n)
 
 
+def numbered(df: DataFrame, order: Sequence, out_col: str) -> DataFrame:
+    """Number all rows 1..n by ``order`` without gathering them: ranges are
+    sorted by as many tasks, and each range starts after the sizes of those
+    before it (a table of one row for each range)."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(starts, "_range").withColumn(out_col, (F.col("_before") + own).cast("int")).drop("_range", "_before")
+
+
 def balanced_sample(df: DataFrame, n: int, labels: Sequence[str] = ("negative", "positive", "neutral")) -> DataFrame:
     """H5: first n posts of each label, labels in the given order → adds
     ``label_order`` and ``pos``."""
@@ -126,25 +149,26 @@ def capped_themes(themes: DataFrame, n: int, count_col: str = "tweet_count") ->
     return top.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
 
 
-def aspect_export(df: DataFrame, aspect: str, start=None, end=None, per_label: int = 1000,
+def aspect_export(df: DataFrame, aspect: str, start=None, end=None, per_label: int | None = None,
                   labels: Sequence[str] = ("positive", "neutral", "negative")) -> DataFrame:
-    """For one aspect, the newest ``per_label`` posts of each label
-    (union of the three sets in label order), numbered 1..n, with aspect,
-    label and the range label."""
+    """For one aspect, all posts (or the newest ``per_label``) of each
+    label, in label order and newest first, numbered 1..n, with aspect, label
+    and the range label."""
     sub = date_window(df, start, end).where(F.lower(F.col("aspect_dominant")) == aspect.lower())
     sub = sub.where(F.lower(F.col("sentiment_label")).isin(*labels))
     text = first_non_empty(*[c for c in ["text_clean", "text", "fulltext"] if c in df.columns])
-    ranked = first_n_per_group(sub.withColumn("_l", F.lower("sentiment_label")), "_l", per_label,
-                               [F.col("createdat").desc(), F.col("id")])
+    sub = sub.withColumn("_l", F.lower("sentiment_label"))
+    newest = [F.col("createdat").desc(), F.col("id")]
+    if per_label:
+        sub = first_n_per_group(sub, "_l", per_label, newest)
     lorder = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("_l"))
-    # ≤ per_label × |labels| rows reach this numbering window
-    num = F.row_number().over(Window.orderBy(lorder, F.col("_rn")))
+    sub = sub.select(text.alias("tweet_text"), F.col("_l").alias("sentiment"), "createdat", "id", lorder.alias("_order"))
     rng = F.concat(F.lit(f"{start} to {end}"))
-    return ranked.select(num.alias("tweet_no"), text.alias("tweet_text"), F.lit(aspect).alias("aspect"),
-                         F.col("_l").alias("sentiment"), rng.alias("date_range"))
+    return numbered(sub, [F.col("_order"), *newest], "tweet_no").select(
+        "tweet_no", "tweet_text", F.lit(aspect).alias("aspect"), "sentiment", rng.alias("date_range"))
 
 
 def aspect_sentiment_export(df: DataFrame, aspect: str, sentiment: str, start=None, end=None,
-                            limit: int = 1000) -> DataFrame:
-    """A10: one aspect and one label, newest ``limit`` posts, numbered."""
+                            limit: int | None = None) -> DataFrame:
+    """A10: one aspect and one label, all posts or the newest ``limit``, numbered."""
     return aspect_export(df, aspect, start, end, per_label=limit, labels=(sentiment.lower(),))

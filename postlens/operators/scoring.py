@@ -162,30 +162,49 @@ def prototype_vectors(vectors: DataFrame, vec_col: str = "embedding", label_col:
     return ex.groupBy(label_col, "dim").agg(F.avg(F.col("v").cast("double")).alias("value"))
 
 
+def prototype_cosines(vec: Column, prototypes: DataFrame, label_col: str = "label", max_rows: int = 2_000_000) -> Column:
+    """An array of (cosine, label) of a vector column and each
+    prototype, labels in order.  Prototypes are a model of labels × dims
+    values, checked against ``max_rows``; they become literals, so scoring is
+    one projection without a join or an explode."""
+    rows = prototypes.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} prototype values")
+    by_label: dict = {}
+    for r in rows:
+        by_label.setdefault(r[label_col], {})[r["dim"]] = float(r["value"])
+    kind = prototypes.schema[label_col].dataType
+    values = F.transform(vec, lambda x: x.cast("double"))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+    norm = F.sqrt(dot(values, values))
+    out = []
+    for label in sorted(by_label):
+        own = [by_label[label].get(i, 0.0) for i in range(max(by_label[label]) + 1)]
+        length = sum(x * x for x in own) ** 0.5
+        cosine = F.try_divide(dot(values, F.array(*[F.lit(x) for x in own])), norm * F.lit(length))
+        out.append(F.struct(cosine.alias("cosine"), F.lit(label).cast(kind).alias("label")))
+    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("label", kind)])))
+    return F.array(*out) if out else empty
+
+
 def cosine_scores(vectors: DataFrame, prototypes: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                  label_col: str = "label", max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """D3 (embedding backend) / D8 assignment: cosine of every row vector to
-    every prototype → ``(id, label, cosine)``.  Vectors are exploded by
-    dimension and equi-joined to the (broadcast, labels × dims) prototypes,
-    so no row × prototype pairs are materialised before the aggregate."""
-    ex = vectors.select(id_col, F.posexplode(vec_col).alias("dim", "v"))
-    pn = prototypes.groupBy(label_col).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("pnorm"))
-    proto = prototypes.join(pn, label_col)
-    rn = ex.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v").cast("double") * F.col("v").cast("double"))).alias("rnorm"))
-    # prototypes are labels × dims rows: broadcast only under the size limit
-    proto = F.broadcast(proto) if prototypes.count() <= max_broadcast_rows else proto
-    dots = ex.join(proto, "dim").groupBy(id_col, label_col, "pnorm").agg(
-        F.sum(F.col("v").cast("double") * F.col("value")).alias("dot"))
-    out = dots.join(rn, id_col)
-    return out.select(id_col, label_col, (F.col("dot") / (F.col("rnorm") * F.col("pnorm"))).alias("cosine"))
-
-
-def nearest_prototype(cos: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
+                  label_col: str = "label") -> DataFrame:
+    """D3 (embedding backend): ``(id, label, cosine)`` rows of :func:`prototype_cosines`."""
+    scores = prototype_cosines(F.col(vec_col), prototypes, label_col)
+    return vectors.select(id_col, F.inline(scores).alias("cosine", label_col)).select(id_col, label_col, "cosine")
+
+
+def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+                      label_col: str = "label") -> DataFrame:
     """D8 (assignment given centroids): the prototype with the highest cosine
-    (ties → smallest label) per row; an aggregate, so skew-safe."""
-    return cos.groupBy(id_col).agg(
-        F.max_by(F.col(label_col), F.struct(F.col("cosine"), -F.col(label_col))).alias("assigned"),
-        F.max("cosine").alias("cosine"))
+    (ties → first label) for each row, ``(id, assigned, cosine)``."""
+    scores = prototype_cosines(F.col(vec_col), prototypes, label_col)
+    best = F.reduce(scores, F.struct(F.lit(None).cast("double").alias("cosine"), F.element_at(scores, 1)["label"].alias("label")),
+                    lambda a, b: F.when(a["cosine"].isNull() | (b["cosine"] > a["cosine"]), b).otherwise(a))
+    return vectors.select(id_col, best.alias("b")).select(id_col, F.col("b.label").alias("assigned"), F.col("b.cosine").alias("cosine"))
 
 
 # ---------------------------------------------------------------------------

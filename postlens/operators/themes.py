@@ -39,7 +39,7 @@ THEME_SCHEMA = T.StructType([
 # D7-D9 clustering
 # ---------------------------------------------------------------------------
 def kmeans_assign(features: DataFrame, k: int, seed: int = 42, features_col: str = "features",
-                  fit_sample: int | None = None, id_col: str = "id", max_iter: int = 20,
+                  fit_sample: int | None = None, id_col: str = "id", max_iter: int = 300,
                   retry_if_short: bool = True, out_col: str = "theme", n_init: int = 1):
     """KMeans with ``k = max(2, k)`` and a fixed seed, fitted on all
     rows (or on a reproducible ``fit_sample``); when fewer than k clusters
@@ -174,23 +174,20 @@ def theme_cosines(posts: DataFrame, theme_col: str = "theme", text_col: str = "t
 
 
 def mmr_order(sizes: dict[int, int], cos: dict[tuple[int, int], float], n: int, lam: float = 0.65) -> list[int]:
-    """J3 greedy walk: score = λ·size/max − (1−λ)·max cosine to the selected;
-    first best wins ties (input order = size desc, id)."""
-    ids = sorted(sizes, key=lambda i: (-sizes[i], i))
-    mx = max(sizes.values()) if sizes else 0
-    norm = {i: (sizes[i] / mx if mx > 0 else 0.0) for i in ids}
-    picked: list[int] = []
-    for _ in range(min(n, len(ids))):
-        best, best_score = None, -1e9
-        for j in ids:
-            if j in picked:
-                continue
-            pen = max((cos.get((j, k), 0.0) for k in picked), default=0.0)
-            score = lam * norm[j] - (1 - lam) * pen
-            if score > best_score:
-                best, best_score = j, score
-        picked.append(best)
-    return picked
+    """The order in which themes are taken, each the one with the largest
+    λ·relative size − (1−λ)·penalty among those left; equal scores go by size,
+    then id.  A theme's penalty is its largest cosine to a taken theme (0 at
+    least) and is raised whenever one is taken."""
+    largest = max(sizes.values(), default=0) or 1
+    penalty = dict.fromkeys(sorted(sizes, key=lambda i: (-sizes[i], i)), 0.0)
+    place = {i: -p for p, i in enumerate(penalty)}
+    order: list[int] = []
+    while penalty and len(order) < n:
+        taken = max(penalty, key=lambda i: (lam * sizes[i] / largest - (1 - lam) * penalty[i], place[i]))
+        del penalty[taken]
+        order.append(taken)
+        penalty = {i: max(p, cos.get((i, taken), 0.0)) for i, p in penalty.items()}
+    return order
 
 
 def mmr_select(themes: DataFrame, posts: DataFrame, n: int, lam: float = 0.65, **kw) -> DataFrame:
@@ -288,9 +285,12 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
         if max_rows:
             data = newest_rows(data, max_rows, date_col, id_col or date_col)
     elif max_rows:
-        data = data.limit(int(max_rows))
+        data = data.orderBy(F.xxhash64(*data.columns), *data.columns).limit(int(max_rows))
     if id_col is None:
-        data = data.withColumn("id", F.monotonically_increasing_id())
+        # an id that every run gives again: the row's hash, and its number among equal rows
+        row = F.xxhash64(*data.columns)
+        again = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+        data = data.withColumn("_row", row).withColumn("id", F.concat_ws("-", "_row", again)).drop("_row")
         id_col = "id"
     data = data.withColumnRenamed(id_col, "id") if id_col != "id" else data
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)

@@ -26,8 +26,7 @@ c as (select count(*) as total, {', '.join(f"count_if({SKEY} = '{s}') as {s}" fo
 ta as (select aspect_dominant as aspect, count(*) as n from w group by 1 order by n desc, aspect limit 6),
 tf as (select *, row_number() over (order by n desc, aspect) as rk from ta where {ADISP.replace('aspect_dominant', 'aspect')} <> 'Other'),
 a as (select coalesce(string_agg(aspect, ', ' order by rk) filter (where rk <= 4), '') as aspects from tf),
-s as (select text from (select text, row_number() over (partition by sentiment_label order by createdat, id) as rn
-      from w where sentiment_label in ('negative', 'positive', 'neutral')) where rn <= 250),
+s as (select text from w where sentiment_label in ('negative', 'positive', 'neutral')),
 n as (select {norm_sql('text')} as norm from s),
 tk as (select unnest(case when norm = '' then [] else string_split(norm, ' ') end) as token from n),
 g as (select token, count(*) as count from tk where {_BASIC} group by 1 order by count desc, token limit 12),

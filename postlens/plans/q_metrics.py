@@ -259,7 +259,7 @@ def q_daily_label_counts(spark, d):
 
 
 @register("aspect_split_negative", "F21", with_posts("with " + _OPEN_SPLIT + f"""
-select case when aspect = 'others' then 'Others' else upper(substr(aspect, 1, 1)) || substr(aspect, 2) end as aspect,
+select upper(substr(aspect, 1, 1)) || substr(aspect, 2) as aspect,
   negative as count, {pct('negative', 'total', 1)} as percentage, 'negative' as sentiment from t
 """))
 def q_split_negative(spark, d):

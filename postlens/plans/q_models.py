@@ -115,7 +115,8 @@ r as (select *, row_number() over (partition by vec_id order by cosine desc, lab
 select vec_id, label as assigned, round(cosine, 6) as cosine from r where rk = 1
 """)
 def q_nearest(spark, d):
-    return S.nearest_prototype(_cos(spark, d)).select("vec_id", "assigned", F.round("cosine", 6).alias("cosine"))
+    emb = read_table(spark, d, "embeddings")
+    return S.nearest_prototype(emb, S.prototype_vectors(emb)).select("vec_id", "assigned", F.round("cosine", 6).alias("cosine"))
 
 
 @register("sentiment_logistic", "D1")
@@ -185,9 +186,6 @@ def q_fallback_titles(spark, d):
     return t.select("id", "prompt_kws", "title", J.template_summary("title", "prompt_kws").alias("summary"))
 
 
-_ = with_posts
-
-
 @register("title_rules_conversations", "C9,C10,C11,C13,C15")
 def q_title_rules(spark, d):
     """Every conversation turn treated as a candidate theme title: C9/C10

@@ -279,11 +279,11 @@ def q_distinct_dates(spark, d):
 
 
 @register("distinct_rows", "H11,A3", """
-select * from (select distinct user_id, event_type from events) order by user_id, event_type limit 15000
+select distinct user_id, event_type from events
 """)
 def q_distinct_rows(spark, d):
     ev = read_table(spark, d, "events").select("user_id", "event_type")
-    return A.default_extraction(H.distinct_rows(ev), key="user_id").orderBy("user_id", "event_type")
+    return A.default_extraction(H.distinct_rows(ev))
 
 
 @register("capped_themes", "H14", with_posts("""
@@ -299,7 +299,7 @@ with f as (select id, createdat, lower(sentiment_label) as l,
              coalesce(nullif(text_clean, ''), nullif(text, ''), nullif(fulltext, ''), '') as tweet_text
            from posts where lower(aspect_dominant) = 'delivery' and lower(sentiment_label) in ('positive', 'neutral', 'negative')),
 r as (select *, row_number() over (partition by l order by createdat desc, id) as rn from f),
-k as (select * from r where rn <= 1000)
+k as (select * from r)
 select cast(row_number() over (order by case l when 'positive' then 1 when 'neutral' then 2 else 3 end, rn) as integer)
   as tweet_no, tweet_text, 'delivery' as aspect, l as sentiment, '{START} to {END}' as date_range from k
 """, wide=True).replace("from posts where lower(aspect_dominant)",
@@ -314,7 +314,7 @@ with f as (select id, createdat, coalesce(nullif(text_clean, ''), nullif(text, '
            and lower(aspect_dominant) = 'staff' and lower(sentiment_label) = 'positive'),
 r as (select *, row_number() over (order by createdat desc, id) as rn from f)
 select cast(rn as integer) as tweet_no, tweet_text, 'staff' as aspect, 'positive' as sentiment,
-  '{START} to {END}' as date_range from r where rn <= 1000
+  '{START} to {END}' as date_range from r
 """, wide=True))
 def q_aspect_sentiment_export(spark, d):
     return H.aspect_sentiment_export(posts_wide(spark, d), "staff", "positive", START, END)

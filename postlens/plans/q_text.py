@@ -125,7 +125,7 @@ def _stop():
 
 
 @register("tfidf_documents", "C7", f"""
-with d as (select doc_id, text from documents where lang = 'en'),
+with d as (select doc_id, text from documents),
 {_grams_sql('d', 'doc_id', _stop())},
 nd as (select count(*) as n_docs from d),
 st as (select term, sum(tf) as total, count(*) as df from tf group by 1),
@@ -135,8 +135,7 @@ x as (select tf.doc_id, tf.term, tf.tf * (ln((1 + n_docs) / (1 + df)) + 1) as ra
 select doc_id, term, round(raw / sqrt(sum(raw * raw) over (partition by doc_id)), 6) as weight from x
 """)
 def q_tfidf(spark, d):
-    docs = _docs(spark, d).where(F.col("lang") == "en")
-    rows = K.tfidf(docs, "doc_id", "text", max_features=3000)
+    rows = K.tfidf(_docs(spark, d), "doc_id", "text", max_features=3000)
     return rows.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
