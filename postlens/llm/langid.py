@@ -130,9 +130,11 @@ class Model:
 def sampled(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray]]:
     """Language and counts of about ``sample`` texts of each language, without held-out ids."""
     known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(~crc_held_out())
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share")) \
-        .select(F.col("lang").alias("of"), "share")
-    chosen = known.join(shares, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= F.col("share") * (1 << 20))
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    bound = F.lit(0)
+    for r in known.groupBy("lang").count().collect():  # a row for each language
+        bound = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, sample / r["count"]) * (1 << 20)) + 1)).otherwise(bound)
+    chosen = known.where(u < bound)
 
     def make():
         def sparse(texts):
