@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import fresh, per_text, struct
 
-#: Entries that a worker remembers before it starts anew.
-REMEMBERED = 1 << 20
+#: Entries of a generation that a worker remembers; it keeps two.
+REMEMBERED = 3 << 16
 ALL = (1 << 64) - 1
 #: A space that starts no piece with what follows it.
 LOOSE_SPACE = re.compile(r" (?!\S)").search
@@ -109,16 +109,21 @@ def _slot(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
 MARKS = "!#$%&*,.:;?|"
 
 
-class _Pairs(dict):
-    """From two entries' ids, as ``left << 32 | right``, to the id of both joined, or -1."""
+class Memory(dict):
+    """What ``make`` has made of a key.  When a generation is full, a new one begins and the one before the last goes;
+    what is still in use moves on."""
 
-    def __init__(self, table: PerfectHash, entries: list[bytes]) -> None:
-        self.find, self.entries = table.find, entries
+    def __init__(self, make) -> None:
+        self.make, self.old = make, {}
 
-    def __missing__(self, key: int) -> int:
-        if len(self) > REMEMBERED:
+    def __missing__(self, key):
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        found = self[key] = self.find(self.entries[key >> 32] + self.entries[key & 0xFFFFFFFF])
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -130,9 +135,12 @@ class Encoder:
         entries = [key for _, key in sorted(zip(table.ids.tolist(), table.keys, strict=True))]
         self.cut = regex.compile(pattern).findall
         self.bytes = [table.find(bytes([b])) for b in range(256)]
-        self.pairs = _Pairs(table, entries)
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        # from two entries' ids, as left << 32 | right, to the id of both joined, or -1
+        self.pairs = Memory(lambda key: table.find(entries[key >> 32] + entries[key & 0xFFFFFFFF]))
+        own = self.bytes
+        self.first = [table.find(entries[a] + entries[b]) for a in own for b in own]  # joins of two bytes
+        self.pieces = Memory(self._piece)
+        self.parts = Memory(self._part)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece that is no entry itself.
@@ -140,14 +148,17 @@ class Encoder:
         ``joins[i]`` is the rank of the pair that begins at byte i; a heap
         item holds for as long as its rank stands there."""
         pairs, n = self.pairs, len(piece)
-        ids = [self.bytes[b] for b in piece]
+        first, own = self.first, self.bytes
+        ids = [own[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        joins = [pairs[a << 32 | b] for a, b in zip(ids, ids[1:])]
+        joins = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
         heap = [r * n + i for i, r in enumerate(joins) if r >= 0]
         joins.append(-1)
         heapify(heap)
         while heap:
-            rank, i = divmod(heappop(heap), n)
+            item = heappop(heap)
+            i = item % n
+            rank = item // n
             if joins[i] != rank:
                 continue
             j = after[i]
@@ -167,24 +178,23 @@ class Encoder:
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        if (packed := self.pieces.get(piece)) is None:
-            raw = piece.encode("utf-8", "replace")
-            i = self.find(raw)
-            ids = [i] if i >= 0 else self.merge(raw)
-            packed = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
-        return packed
+        raw = piece.encode("utf-8", "replace")
+        i = self.find(raw)
+        ids = [i] if i >= 0 else self.merge(raw)
+        return pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
         """The packed ids of a space and a part."""
         letters = part.rstrip(MARKS)
         if letters.isalpha():
-            packed = self._piece(" " + letters)
-            return packed + self._piece(part[len(letters):]) if len(letters) < len(part) else packed
+            if len(letters) == len(part):
+                return self._piece(" " + part)
+            return self.parts[letters] + self.pieces[part[len(letters):]]
         return self._run(" " + part)
 
     def _run(self, text: str) -> bytes:
         """The packed ids of a text that is cut by the pattern as it stands."""
-        return b"".join(map(self._piece, self.cut(text)))
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -192,9 +202,6 @@ class Encoder:
         A space before other than white space always starts a piece, and no
         piece depends on what precedes it; so texts are cut there first, and
         each such part is looked up by itself."""
-        for kept in (self.pieces, self.spaced):
-            if len(kept) > REMEMBERED:
-                kept.clear()
         out = []
         for t in texts:
             if not t:
@@ -203,9 +210,7 @@ class Encoder:
                 out.append(self._run(t))
             else:
                 first, *rest = t.split(" ")
-                for part in set(rest).difference(self.spaced):
-                    self.spaced[part] = self._part(part)
-                out.append(self._run(first) + b"".join(map(self.spaced.__getitem__, rest)))
+                out.append(self._run(first) + b"".join(map(self.parts.__getitem__, rest)))
         return out
 
 
@@ -253,12 +258,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` and the SHA-256 of their ids and of the bytes decoded from these, both in
-    lower-case hex, and the packed ids themselves as column ``keep``, if named.  Columns of these names are replaced."""
-    ids, back = fresh(docs, "ids"), fresh(docs, "bytes")
-    out = encode(docs, path, pattern, text, ids)
-    out = out.withColumn(back, decoded(F.col(ids), path))
-    out = out.withColumns({
-        "n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(F.col(ids), 256),
-        "decoded_sha256": F.sha2(F.col(back), 256),
-    } | ({keep: F.col(ids)} if keep else {}))
-    return out.drop(*{ids, back} - {keep})
+    lower-case hex, and the packed ids themselves as column ``keep``, if named.  Columns of these names are replaced.
+    Encoding and decoding share one pass and one Python worker."""
+    entries = read_ranks(path)
+    table = PerfectHash(entries)
+
+    def make():
+        encoder = _encoder(table, pattern)
+
+        def both(texts):
+            ids = encoder.encode(texts)
+            return {"ids": ids, "bytes": decode(entries, ids)}
+        return both
+
+    both = fresh(docs, "round_trip")
+    out = docs.withColumn(both, per_text(make, struct(ids="binary", bytes="binary"), F.col(text)))
+    ids = F.col(both)["ids"]
+    return out.withColumns({
+        "n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(ids, 256),
+        "decoded_sha256": F.sha2(F.col(both)["bytes"], 256),
+    } | ({keep: ids} if keep else {})).drop(both)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that are worked on at a time.
+SLICE = 1000
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,8 +39,11 @@ def per_text(make: Callable[[], Callable[[list], dict]], schema: T.StructType, t
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = make()
         for batch in batches:
-            out = work([None if x is None or x != x else x for x in batch.tolist()])
-            yield pd.DataFrame({f.name: pd.Series(out[f.name], dtype=_dtype(f.dataType)) for f in schema.fields})
+            values = [None if x is None or x != x else x for x in batch.tolist()]
+            # results go back in smaller batches, so that few of them are held
+            for lo in range(0, max(1, len(values)), SLICE):
+                out = work(values[lo:lo + SLICE])
+                yield pd.DataFrame({f.name: pd.Series(out[f.name], dtype=_dtype(f.dataType)) for f in schema.fields})
 
     return run(text)
 
