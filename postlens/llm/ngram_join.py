@@ -17,8 +17,9 @@ Buckets begin two steps below the root.  Small ones are compared by brute
 force.  Larger ones are split by a further step, unless their parts together
 hold more pairs than they do; these, and what is left at ``DEPTH``, are compared
 whole, in pairs of blocks of bounded size, so no bucket is capped or skipped.
-Buckets with the same members are compared once.  The brute force computes
-exact intersections of whole sets, and a pair that meets in several buckets
+Buckets with the same members are compared once.  The brute force intersects
+whole sets, of 32-bit hashes there (a pair's count is off by one with a
+probability below the product of its sizes over 2**32), and a pair that meets in several buckets
 counts only in the first of them.  Within a bucket, links become counts and one
 edge from each node to the least node of its connected part; pairs never
 become rows.  Classes are the connected parts of all edges, found by
@@ -51,7 +52,9 @@ from postlens.session import cut_lineage
 
 N, SIMILARITY, RECALL, SPREAD = 5, 0.8, 0.9999, 2.0
 #: Steps at most; nodes of a bucket that is compared without further steps; nodes and tokens of a block.
-DEPTH, SMALL, BLOCK, BLOCK_TOKENS = 6, 64, 512, 2_000_000
+DEPTH, SMALL, BLOCK, BLOCK_TOKENS = 6, 2048, 2048, 2_000_000
+#: A token of at most so many nodes of a bucket is counted by its pairs, others by matrix products.
+RARE = 12
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,6 +85,11 @@ def tokens(text: str | None) -> np.ndarray:
         return np.unique(_mixed(total + np.uint64(min(N, len(h)))))
 
 
+def shortened(own: np.ndarray) -> bytes:
+    """The sorted upper halves of the hashes, as they are kept for steps and comparisons."""
+    return np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
 def step(places: np.ndarray, own: np.ndarray, spread: float = SPREAD) -> list[np.ndarray]:
     """For each place in the tree, the places that a set is passed on to."""
     limit = np.uint64(min(1.0, spread / (SIMILARITY * len(own))) * (2**64 - 2**12))
@@ -118,16 +126,19 @@ def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of texts that still have the wanted digest."""
+    """The sets, in place of their texts, of rows whose text still has the wanted digest."""
     for batch in batches:
-        keep, found = [], []
-        for i, (text, node) in enumerate(zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True)):
-            own = tokens(text)
-            if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == node:
-                keep.append(i)
-                found.append(own.tobytes())
-        rest = batch.select(["node", "short", "copies"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], names=["node", "short", "copies", "tokens"])
+        for lo in range(0, batch.num_rows, 500):  # few sets are held at a time
+            part = batch.slice(lo, 500)
+            keep, found = [], []
+            for i, (text, node) in enumerate(zip(part.column("text").to_pylist(), part.column("node").to_pylist(), strict=True)):
+                own = tokens(text)
+                if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == node:
+                    keep.append(i)
+                    found.append(shortened(own))
+            rest = [n for n in part.schema.names if n != "text"]
+            kept = part.select(rest).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], names=[*rest, "tokens"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +146,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parents, parts, shorts, sizes = [], [], [], []
         for short, raw, buckets in zip(*(batch.column(c).to_pylist() for c in ("short", "tokens", "buckets")), strict=True):
-            own = np.frombuffer(raw, np.uint64)
+            own = np.frombuffer(raw, np.uint32).astype(np.uint64)
             places = np.array(buckets, np.int64)
             for parent, more in zip(buckets, step(places.view(np.uint64), own), strict=True):
                 more = _signed(np.unique(more)).tolist()
@@ -152,23 +163,29 @@ def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, buckets
     one where they meet.  If ``left`` is ``right``, each pair comes once."""
     same = left is right
     use = left if same else np.concatenate([left, right])
-    sizes = np.array([len(sets[i]) for i in range(len(sets))])
-    flat = np.concatenate([sets[i] for i in use])
-    _, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1  # other tokens are in no intersection
-    column = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(use)), sizes[use])
-    ok = shared[ids]
-    row, col = row[ok], column[ids[ok]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    n_left = len(left)
-    common = np.zeros((n_left, len(right)), np.float32)
-    width = 4096
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(col, [lo, lo + width])
-        m = np.zeros((len(use), min(width, int(shared.sum()) - lo)), np.float32)
-        m[row[a:b], col[a:b] - lo] = 1
+    n_left, n_right = len(left), len(right)
+    sizes = np.array([len(own) for own in sets])
+    _, ids, times = np.unique(np.concatenate([sets[i] for i in use]), return_inverse=True, return_counts=True)
+    order = np.argsort(ids, kind="stable")
+    row = np.repeat(np.arange(len(use)), sizes[use])[order]  # the nodes of each token, in order
+    start = np.cumsum(times) - times
+    common = np.zeros(n_left * n_right, np.float32)
+    for n in range(2, RARE + 1):
+        at = start[times == n]
+        for i in range(n) if len(at) else ():
+            for j in range(i + 1, n):
+                x, y = row[at + i], row[at + j] - (0 if same else n_left)
+                if not same:
+                    ok = (x < n_left) & (y >= 0)
+                    x, y = x[ok], y[ok]
+                np.add.at(common, x * n_right + y, 1)
+    common = common.reshape(n_left, n_right)
+    often = np.flatnonzero(times > RARE)
+    for lo in range(0, len(often), 4096):
+        some = often[lo:lo + 4096]
+        m = np.zeros((len(use), len(some)), np.float32)
+        col = np.repeat(np.arange(len(some)), times[some])
+        m[row[np.repeat(start[some] - np.cumsum(times[some]) + times[some], times[some]) + np.arange(len(col))], col] = 1
         common += m @ m.T if same else m[:n_left] @ m[n_left:].T
     total = sizes[left][:, None] + sizes[right][None, :]
     hit = common >= SIMILARITY * (total - common) - 1e-6 * total
@@ -217,7 +234,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, one, two = group[0][:3]
         rows = {r[4]: r for r in group}  # a node may come from rows that share its key
         rows = sorted(rows.values(), key=lambda r: r[4])
-        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sets = [np.frombuffer(r[6], np.uint32) for r in rows]
         block = np.array([r[3] for r in rows])
         left = np.flatnonzero(block == one)
         right = left if one == two else np.flatnonzero(block == two)
@@ -273,24 +290,33 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     sets = sets.withColumn("short", F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long"))
     members = sets.select("short", "size", F.explode("paths").alias("bucket"))
-    sums = _sums(members).where("n > 1")
+    # most buckets have one node; they go before anything else is added up
+    company = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("_bucket"))
+    live = cut_lineage(members.join(company, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+    sums = _sums(live)
     small = _distinct(sums.where(F.col("n") <= SMALL))
     large = sums.where(F.col("n") > SMALL).select("bucket", "n", "n_tokens")
     buckets = small.withColumn("open", F.lit(False)).union(large.withColumn("open", F.lit(True)))
-    live = cut_lineage(members.join(buckets, "bucket").select("bucket", "n", "n_tokens", "open", "short"))
-    # the sets of nodes that have company
-    wanted = live.select("short").distinct().withColumnRenamed("short", "_short")
-    wanted = sets.select("node", "short", "key", "copies").join(wanted, F.col("short") == F.col("_short")).drop("_short")
+    live = cut_lineage(live.join(buckets, "bucket").select("bucket", "n", "n_tokens", "open", "short"))
     texts = rows.select("key", "text").withColumnRenamed("key", "_key")
-    company = cut_lineage(texts.join(wanted, F.col("key") == F.col("_key")).select("node", "short", "copies", "text")
-                          .mapInArrow(_sets, "node binary, short long, copies long, tokens binary"))
+    known = sets.select(F.col("short").alias("_short"), "node", "key", "copies")
+
+    def with_tokens(of: DataFrame, more: str) -> DataFrame:
+        """Rows of ``short`` and more, with the nodes' digest, copies and tokens."""
+        wanted = of.join(known, F.col("short") == F.col("_short")).drop("_short")
+        kinds = f"short long, {more}, node binary, copies long, tokens binary"
+        return texts.join(wanted, F.col("key") == F.col("_key")).drop("key", "_key").select(*of.columns, "node", "copies", "text").mapInArrow(_sets, kinds)
+
     final = [live.where(~F.col("open")).select("bucket", "n", "n_tokens", "short")]
     now = live.where("open").select("bucket", "n", "n_tokens", "short")
-    for depth in range(3, DEPTH + 1):
+    open_sets = None
+    for _ in range(3, DEPTH + 1):
         if now.isEmpty():
             break
+        if open_sets is None:
+            open_sets = cut_lineage(with_tokens(now.groupBy("short").agg(F.first("n").alias("n")), "n long").select("short", "tokens"))
         of = now.groupBy("short").agg(F.collect_list("bucket").alias("buckets"))
-        parts = company.select("short", "tokens").join(of, "short").mapInArrow(_split, "parent long, bucket long, short long, size int")
+        parts = open_sets.join(of, "short").select("short", "tokens", "buckets").mapInArrow(_split, "parent long, bucket long, short long, size int")
         parts = cut_lineage(parts)
         sums = _sums(parts, "parent").where("n > 1")
         held = now.select("bucket", "n").distinct().join(
@@ -311,8 +337,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         every = every.union(more)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_tokens") / BLOCK_TOKENS)).cast("int")
     of = every.groupBy("short").agg(F.collect_set(F.struct("bucket", blocks.alias("blocks"))).alias("found"))
-    of = of.withColumn("buckets", F.transform("found", lambda x: x["bucket"]))
-    rows = company.join(of, "short").select("node", "copies", "tokens", "buckets", F.explode("found").alias("f"))
+    of = of.select("short", "found")
+    kind = "found array<struct<bucket:bigint,blocks:int>>"
+    rows = with_tokens(of, kind).select("node", "copies", "tokens", F.transform("found", lambda x: x["bucket"]).alias("buckets"), F.explode("found").alias("f"))
     block = F.pmod(F.xxhash64("node", "f.bucket"), F.col("f.blocks")).cast("int")
     rows = rows.select("node", "copies", "tokens", "buckets", "f.bucket", F.col("f.blocks").alias("blocks"), block.alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -343,28 +370,36 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links`` of each document: the least id of its class, and the number of other documents
-    whose similarity to it reaches the threshold."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``key, doc_id, node, class_id, n_links`` and ``first``: the least key of its class's rows without an id."""
     nodes, found = links(docs)
     others = found.groupBy(F.col("node").alias("_node")).agg(F.sum("links").alias("others"))
     parts = connected(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    copies = nodes.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
+    copies = nodes.where("node is not null").groupBy("node").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min("key").alias("first"))
     sets = copies.join(parts, F.col("node") == F.col("a"), "left").withColumn("part", F.coalesce("b", "node"))
     sets = sets.join(others, F.col("node") == F.col("_node"), "left")
-    sets = sets.select(F.col("node").alias("_node"), "part", "low", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    lows = sets.groupBy(F.col("part").alias("_part")).agg(F.min("low").alias("class_id"))
-    sets = sets.join(lows, F.col("part") == F.col("_part")).select("_node", "class_id", "n_links")
-    out = nodes.join(sets, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    sets = sets.select(F.col("node").alias("_node"), "part", "low", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    lows = sets.groupBy(F.col("part").alias("_part")).agg(F.min("low").alias("class_id"), F.min("first").alias("_first"))
+    sets = sets.join(lows, F.col("part") == F.col("_part")).select("_node", "class_id", "n_links", F.col("_first").alias("first"))
+    return nodes.join(sets, F.col("node") == F.col("_node"), "left").select(
+        "key", "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "key").alias("first"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links`` of each document: the least id of its class, and the number of other documents
+    whose similarity to it reaches the threshold."""
+    return _labelled(docs).select("doc_id", "class_id", "n_links")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one with the least id, and of rows that share it, with the least text.
-    Rows without a word or an id are classes of their own."""
-    of = classes(docs.select("doc_id", "text"))
-    keep, rank = fresh(docs, "class_id"), fresh(docs, "row_hash")
-    firsts = of.where("class_id = doc_id").select(F.col("doc_id").alias(keep)).distinct()
-    known = docs.where("doc_id is not null").join(firsts, F.col("doc_id") == F.col(keep), "left_semi")
-    return known.drop(rank).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each class: one with its least id, or, if none of its rows has an id, one with the
+    least hash of its text.  Rows without a word are classes of their own, but repeated rows of one id stay once."""
+    of = _labelled(docs.select("doc_id", "text"))
+    keep, key = fresh(docs, "kept_key"), fresh(docs, "row_key")
+    firsts = of.where("class_id = doc_id or (class_id is null and doc_id is null and key = first)").select(
+        F.col("key").alias(keep), F.col("doc_id").isNull().alias("_null")).distinct()
+    out = docs.withColumn(key, F.coalesce("doc_id", F.xxhash64("text")).cast("long"))
+    out = out.join(firsts, (F.col(key) == F.col(keep)) & (F.col("doc_id").isNull() == F.col("_null")), "left_semi")
+    return out.withColumn(keep, F.col("doc_id").isNull()).dropDuplicates([key, keep]).drop(key, keep)
