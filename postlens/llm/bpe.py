@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import fresh, per_text, struct
 
-#: Entries of a generation that a worker remembers; it keeps two.
+#: Entries of a generation that a task remembers; it keeps two.
 REMEMBERED = 3 << 16
 ALL = (1 << 64) - 1
 #: A space that starts no piece with what follows it.
@@ -214,18 +214,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[bytes, str], Encoder] = {}
-
-
-def _encoder(table: PerfectHash, pattern: str) -> Encoder:
-    """One encoder for each vocabulary and worker, so that tasks share what it remembers."""
-    key = (xxhash.xxh3_128_digest(b"\n".join(table.keys)), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(table, pattern)
-    return _ENCODERS[key]
-
-
 def decode(entries: list[bytes], packed: list[bytes | None]) -> list[bytes]:
     """The bytes that packed ids stand for."""
     entry = entries.__getitem__
@@ -238,7 +226,7 @@ def encoded(text: Column | str, path: str, pattern: str) -> Column:
     table = PerfectHash(read_ranks(path))
 
     def make():
-        encoder = _encoder(table, pattern)
+        encoder = Encoder(table, pattern)
         return lambda texts: {"ids": encoder.encode(texts)}
 
     return per_text(make, struct(ids="binary"), text)["ids"]
@@ -264,7 +252,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
     table = PerfectHash(entries)
 
     def make():
-        encoder = _encoder(table, pattern)
+        encoder = Encoder(table, pattern)
 
         def both(texts):
             ids = encoder.encode(texts)

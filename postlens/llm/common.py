@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,12 +39,16 @@ def per_text(make: Callable[[], Callable[[list], dict]], schema: T.StructType, t
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = make()
-        for batch in batches:
-            values = [None if x is None or x != x else x for x in batch.tolist()]
-            # results go back in smaller batches, so that few of them are held
-            for lo in range(0, max(1, len(values)), SLICE):
-                out = work(values[lo:lo + SLICE])
-                yield pd.DataFrame({f.name: pd.Series(out[f.name], dtype=_dtype(f.dataType)) for f in schema.fields})
+        try:
+            for batch in batches:
+                values = [None if x is None or x != x else x for x in batch.tolist()]
+                # results go back in smaller batches, so that few of them are held
+                for lo in range(0, max(1, len(values)), SLICE):
+                    out = work(values[lo:lo + SLICE])
+                    yield pd.DataFrame({f.name: pd.Series(out[f.name], dtype=_dtype(f.dataType)) for f in schema.fields})
+        finally:  # a worker lives on; what this task remembered goes
+            work = None
+            gc.collect()
 
     return run(text)
 

@@ -52,7 +52,7 @@ from postlens.session import cut_lineage
 
 N, SIMILARITY, RECALL, SPREAD = 5, 0.8, 0.9999, 2.0
 #: Steps at most; nodes of a bucket that is compared without further steps; nodes and tokens of a block.
-DEPTH, SMALL, BLOCK, BLOCK_TOKENS = 6, 2048, 2048, 2_000_000
+DEPTH, SMALL, BLOCK, BLOCK_TOKENS = 6, 2048, 1024, 2_000_000
 #: A token of at most so many nodes of a bucket is counted by its pairs, others by matrix products.
 RARE = 12
 PRIME = np.uint64(0x9E3779B97F4A7C15)
