@@ -149,23 +149,33 @@ def capped_themes(themes: DataFrame, n: int, count_col: str = "tweet_count") ->
     return top.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
 
 
-def aspect_export(df: DataFrame, aspect: str, start=None, end=None, per_label: int | None = None,
-                  labels: Sequence[str] = ("positive", "neutral", "negative")) -> DataFrame:
-    """For one aspect, all posts (or the newest ``per_label``) of each
-    label, in label order and newest first, numbered 1..n, with aspect, label
-    and the range label."""
-    sub = date_window(df, start, end).where(F.lower(F.col("aspect_dominant")) == aspect.lower())
+def aspects_export(df: DataFrame, aspects: Sequence[str], start=None, end=None, per_label: int | None = None,
+                   labels: Sequence[str] = ("positive", "neutral", "negative")) -> DataFrame:
+    """For each of the aspects, in their order, all posts (or the newest
+    ``per_label``) of each label, in label order and newest first, numbered
+    1..n over the whole export, with aspect, label and the range label."""
+    names = list(dict.fromkeys(a.lower() for a in aspects))
+    shown = {a.lower(): a for a in reversed(aspects)}
+    sub = date_window(df, start, end).where(F.lower(F.col("aspect_dominant")).isin(*names))
     sub = sub.where(F.lower(F.col("sentiment_label")).isin(*labels))
     text = first_non_empty(*[c for c in ["text_clean", "text", "fulltext"] if c in df.columns])
-    sub = sub.withColumn("_l", F.lower("sentiment_label"))
+    aorder = F.array_position(F.array(*[F.lit(a) for a in names]), F.lower("aspect_dominant")).cast("int")
+    lorder = F.array_position(F.array(*[F.lit(x) for x in labels]), F.lower("sentiment_label")).cast("int")
+    sub = sub.select(text.alias("tweet_text"), aorder.alias("_aspect"), lorder.alias("_label"), "createdat", "id")
     newest = [F.col("createdat").desc(), F.col("id")]
     if per_label:
-        sub = first_n_per_group(sub, "_l", per_label, newest)
-    lorder = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("_l"))
-    sub = sub.select(text.alias("tweet_text"), F.col("_l").alias("sentiment"), "createdat", "id", lorder.alias("_order"))
-    rng = F.concat(F.lit(f"{start} to {end}"))
-    return numbered(sub, [F.col("_order"), *newest], "tweet_no").select(
-        "tweet_no", "tweet_text", F.lit(aspect).alias("aspect"), "sentiment", rng.alias("date_range"))
+        sub = first_n_per_group(sub.withColumn("_group", F.struct("_aspect", "_label")), "_group", per_label, newest)
+    rows = numbered(sub, [F.col("_aspect"), F.col("_label"), *newest], "tweet_no")
+    return rows.select(
+        "tweet_no", "tweet_text", F.element_at(F.array(*[F.lit(shown[a]) for a in names]), F.col("_aspect")).alias("aspect"),
+        F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("_label")).alias("sentiment"),
+        F.lit(f"{start} to {end}").alias("date_range"))
+
+
+def aspect_export(df: DataFrame, aspect: str, start=None, end=None, per_label: int | None = None,
+                  labels: Sequence[str] = ("positive", "neutral", "negative")) -> DataFrame:
+    """The export of one aspect."""
+    return aspects_export(df, [aspect], start, end, per_label, labels)
 
 
 def aspect_sentiment_export(df: DataFrame, aspect: str, sentiment: str, start=None, end=None,

@@ -18,7 +18,7 @@ from postlens.plans.registry import register
 from postlens.plans.sqlbits import ADISP, AKEY, SKEY, pct
 from postlens.session import scratch_path
 from postlens.sources import files as A
-from postlens.sources.fixtures import messy_posts, posts, posts_wide, read_table, with_messy, with_posts
+from postlens.sources.fixtures import ASPECT_MULTIPLIERS, messy_posts, posts, posts_wide, read_table, with_messy, with_posts
 
 START, END, DAY = "2024-01-05", "2024-01-20", "2024-01-10"
 
@@ -308,6 +308,20 @@ def q_aspect_export(spark, d):
     return H.aspect_export(posts_wide(spark, d), "delivery", START, END)
 
 
+@register("aspects_export", "A9", lambda: with_posts(f"""
+with f as (select id, createdat, lower(sentiment_label) as l, lower(aspect_dominant) as a,
+             coalesce(nullif(text_clean, ''), nullif(text, ''), nullif(fulltext, ''), '') as tweet_text
+           from posts where date >= date '{START}' and date <= date '{END}'),
+k as (select *, list_position(['pricing', 'delivery', 'returns', 'staff', 'app_ux'], a) as ao,
+        list_position(['positive', 'neutral', 'negative'], l) as lo from f)
+select cast(row_number() over (order by ao, lo, createdat desc, id) as integer) as tweet_no, tweet_text,
+  a as aspect, l as sentiment, '{START} to {END}' as date_range from k where ao > 0 and lo > 0
+""", wide=True))
+def q_aspects_export(spark, d):
+    """All aspects and labels in one export with one numbering."""
+    return H.aspects_export(posts_wide(spark, d), list(ASPECT_MULTIPLIERS), START, END)
+
+
 @register("aspect_sentiment_export", "A10", with_posts(f"""
 with f as (select id, createdat, coalesce(nullif(text_clean, ''), nullif(text, ''), nullif(fulltext, ''), '') as tweet_text
            from posts where date >= date '{START}' and date <= date '{END}'
