@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postlens.functions import wordlists as W
 from postlens.functions.text import (display_theme_name, prompt_keywords, with_fallback_title, with_generated_title,
                                      with_sanitized_title, with_title_checks)
 from postlens.operators import scoring as S
@@ -162,15 +163,58 @@ def _token_named_themes(spark, d):
     return t.withColumn("pos", F.row_number().over(Window.orderBy(F.col("tweet_count").desc(), "id")))
 
 
-@register("theme_similarity_pairs", "G5,J1")
+#: Names of themes 0 to 11: shared words, a synonym within a longer name, two synonyms, one shared word only, none.
+THEME_NAMES = ["Delivery Delays", "Late Delivery Delays", "Pricing", "Pricing Tariff Concern", "Refund Request",
+               "Return Request Refund", "Store Staff", "Store Checkout", "App Login", "Stock Availability",
+               "Stock Shortage Availability", "Gift Cards"]
+
+
+def _named_themes(spark, d):
+    """The posts' themes (event id mod 12) with the names above."""
+    names = F.array(*[F.lit(n) for n in THEME_NAMES])
+    t = posts(spark, d, with_text=False).groupBy(F.col("theme").alias("id")).agg(
+        F.count("*").alias("tweet_count"), *[F.count_if(F.col("sentiment_label") == s).alias(s) for s in ("positive", "negative", "neutral")])
+    t = t.withColumn("name", F.element_at(names, F.col("id") + 1)).withColumn("summary", F.concat(F.lit("About "), "name"))
+    return t.withColumn("pos", F.row_number().over(Window.orderBy(F.col("tweet_count").desc(), "id")))
+
+
+def _named_sql(rest: str) -> str:
+    """The named themes ``th``, their name tokens and all pairs scored."""
+    syn = " or ".join(f"(list_contains(a.s, '{x}') and list_contains(b.s, '{y}')) or (list_contains(a.s, '{y}') and list_contains(b.s, '{x}'))"
+                      for x, y in W.SYNONYM_PAIRS)
+    names = ", ".join(f"'{n}'" for n in THEME_NAMES)
+    return with_posts(f"""
+with g as (select cast(theme as integer) as id, count(*) as tweet_count, count_if(sentiment_label = 'positive') as positive,
+        count_if(sentiment_label = 'negative') as negative, count_if(sentiment_label = 'neutral') as neutral from posts group by 1),
+h as (select *, [{names}][id + 1] as name, row_number() over (order by tweet_count desc, id) as pos from g),
+th as (select *, list_filter(string_split({norm_sql('name')}, ' '), lambda w: length(w) > 2 and w not in {_q(W.THEME_STOPWORDS)}) as s from h),
+j as (select a.id as a_id, b.id as b_id, a.pos as a_pos, b.pos as b_pos, len(list_intersect(a.s, b.s)) as i, len(a.s) + len(b.s) as total,
+        ({syn}) as syn, contains(array_to_string(a.s, ' '), array_to_string(b.s, ' '))
+          or contains(array_to_string(b.s, ' '), array_to_string(a.s, ' ')) as sub
+      from th a join th b on a.pos < b.pos),
+sc as (select *, greatest(i / cast(total - i as double),
+        cast(case when syn then 3 else 0 end + case when sub then 4 else 0 end + case when i >= 2 then 3 else 0 end as double) / 10) as score from j),
+{rest}
+""")
+
+
+@register("theme_similarity_pairs", "G5,J1", lambda: _named_sql(
+    "out as (select a_id, b_id, round(score, 6) as score from sc where score >= 0.5) select * from out"))
 def q_similar_pairs(spark, d):
-    t = _token_named_themes(spark, d)
+    t = _named_themes(spark, d)
     return J.similar_pairs(t, threshold=0.5).select("a_id", "b_id", F.round("score", 6).alias("score"))
 
 
-@register("merge_similar_themes", "J2")
+# the names' similar pairs are disjoint, so a theme's root is the first one it is similar to, or itself
+@register("merge_similar_themes", "J2", lambda: _named_sql("""
+r as (select th.*, coalesce((select min(sc.a_pos) from sc where sc.b_id = th.id and sc.score >= 0.5), th.pos) as root from th)
+select arg_max(id, tweet_count * 1000 - pos) as id, arg_max(name, tweet_count * 1000 - pos) as name,
+  'About ' || arg_max(name, tweet_count * 1000 - pos) as summary, cast(sum(tweet_count) as bigint) as tweet_count,
+  cast(sum(positive) as bigint) as positive, cast(sum(negative) as bigint) as negative, cast(sum(neutral) as bigint) as neutral,
+  string_agg(cast(id as varchar), ',' order by id) as components from r group by root"""))
 def q_merge(spark, d):
-    return J.merge_similar_themes(_token_named_themes(spark, d).drop("kw"), threshold=0.5)
+    out = J.merge_similar_themes(_named_themes(spark, d), threshold=0.5)
+    return out.withColumn("components", F.array_join(F.col("component_ids").cast("array<string>"), ",")).drop("component_ids")
 
 
 @register("mmr_theme_selection", "J3")

@@ -72,19 +72,20 @@ def q_top_keywords(spark, d):
 
 
 _K = 8
-_BUS = _q(W.BUSINESS_TERMS)
 
 
-@register("weighted_keywords", "C6,C4", f"""
+def _weighted_sql(business) -> str:
+    bus = _q(business)
+    return f"""
 with {_TOKENS},
 f as (select token from t where length(token) >= 3 and token not in {_q(W.THEME_STOPWORDS)}
       and not regexp_full_match(token, '[0-9]+')),
-w as (select token, sum(case when token in {_BUS} then 2 else 1 end) as weight from f group by 1),
+w as (select token, sum(case when token in {bus} then 2 else 1 end) as weight from f group by 1),
 c as (select token, weight, row_number() over (order by weight desc, token) as pos from w
       order by weight desc, token limit {5 * _K}),
-c2 as (select *, (pos <= {3 * _K} and not {noise_sql('token')} and (token in {_BUS} or
+c2 as (select *, (pos <= {3 * _K} and not {noise_sql('token')} and (token in {bus} or
         (length(token) > 4 and regexp_full_match(token, '\\p{{L}}+') and token <> upper(token)))) as keep,
-        (token in {_BUS} and not {noise_sql('token')}) as bus from c),
+        (token in {bus} and not {noise_sql('token')}) as bus from c),
 c3 as (select *, sum(case when keep then 1 else 0 end) over (order by pos rows between unbounded preceding and current row) as keep_rank,
         sum(case when bus then 1 else 0 end) over (order by pos rows between unbounded preceding and current row) as bus_rank,
         least({_K}, sum(case when keep then 1 else 0 end) over ()) as n_keep from c2),
@@ -94,11 +95,25 @@ dflt as (select * from (values {', '.join(f"('{w}', {10 * _K + 1 + i})" for i, w
 allr as (select token, r, 1 as real from picked union all select token, r, 0 from dflt),
 fin as (select *, sum(real) over () as n_real from allr)
 select cast(row_number() over (order by r) as integer) as rank, token as keyword from fin where real = 1 or n_real = 0
-""")
+"""
+
+
+@register("weighted_keywords", "C6,C4", lambda: _weighted_sql(W.BUSINESS_TERMS))
 def q_weighted_keywords(spark, d):
     return K.weighted_keywords(_docs(spark, d), "text", k=_K)
 
 
+#: Frequent words of the corpus, most of them among the first 3k by weight, one a noise word.
+CORPUS_TERMS = ["tion", "ment", "from", "that", "ther", "thon", "vers", "pour", "sich"]
+
+
+@register("weighted_keywords_corpus", "C6,C4", lambda: _weighted_sql(CORPUS_TERMS))
+def q_weighted_keywords_corpus(spark, d):
+    """C6 with terms that the corpus has: the weight of 2, the first 3k and the back-fill act.  The
+    back-fill starts again at the first business term, so a term can come twice (the defined behaviour)."""
+    return K.weighted_keywords(_docs(spark, d), "text", k=_K, business=CORPUS_TERMS)
+
+
 @register("noise_words", "C4", f"""
 with {_TOKENS} select distinct token, {noise_sql('token')} as noise from t
 """)
