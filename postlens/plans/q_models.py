@@ -230,6 +230,51 @@ def q_fallback_titles(spark, d):
     return t.select("id", "prompt_kws", "title", J.template_summary("title", "prompt_kws").alias("summary"))
 
 
+#: For themes 0 to 11: keywords, a generated title, what C12 makes of the first and what C13 and C11 make of the second
+#: (null: C12's title).  Two terms; one that gets Concerns, Issues, nothing or an experience; two that mean nothing;
+#: doubled and unmapped words, short and noisy ones, none.
+TITLE_CASES = [
+    (["delivery", "tariff"], '"Theme: pricing concerns tariff impact"', "Delivery Challenges and Tariff Impact", "Pricing Concerns Tariff Impact"),
+    (["service"], "ok", W.DEFAULT_TITLE, None),
+    (["quality"], "Title: **product quality feedback**", "Product Quality Issues", "Product Quality Feedback"),
+    (["pricing"], "Shopping Cart", W.DEFAULT_TITLE, None),
+    (["app"], "Digital Experience school motif", W.DEFAULT_TITLE, None),
+    (["tariff"], None, "Tariff Impact and Customer Experience", None),
+    (["waterproof", "cables"], None, W.DEFAULT_TITLE, None),
+    (["refund", "exchange", "stock"], None, "Returns and Product Availability", None),
+    (["fulfillment", "tariffs"], None, "Order Fulfillment and Tariff Impact", None),
+    (["fulfillment", "website"], None, "Order Fulfillment Issues", None),
+    (["ab12cd34", "shipping", "availability"], None, "Shipping Issues and Product Availability", None),
+    ([], None, W.DEFAULT_TITLE, None),
+]
+
+
+def _title_cases_sql() -> str:
+    def text(x):
+        return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+    rows = ", ".join(
+        f"({i}, {text(fallback)}, {text(generated or fallback)}, "
+        f"{text(fallback + ': This theme focuses on ' + ', '.join(k for k in kws if len(k) > 3 and k.isalpha() and k not in W.GENERIC_WORDS + W.THEME_STOPWORDS + W.KNOWN_HANDLES) + '. ' + W.THEME_SUMMARY_TAIL)})"
+        for i, (kws, _, fallback, generated) in enumerate(TITLE_CASES))
+    return with_posts(f"""
+with v as (select * from (values {rows}) v(id, title, generated, summary)),
+g as (select cast(theme as integer) as id, count(*) as tweet_count from posts group by 1)
+select g.id, tweet_count, title, generated, summary from g join v on g.id = v.id
+""")
+
+
+@register("title_cases", "C9,C10,C11,C12,C13,C16,J6", _title_cases_sql)
+def q_title_cases(spark, d):
+    """The posts' themes with the keywords and generated titles above."""
+    kws = F.array(*[F.array(*[F.lit(k) for k in c[0]]).cast("array<string>") for c in TITLE_CASES])
+    gen = F.array(*[F.lit(c[1]).cast("string") for c in TITLE_CASES])
+    t = posts(spark, d, with_text=False).groupBy(F.col("theme").alias("id")).agg(F.count("*").alias("tweet_count"))
+    t = t.withColumn("kw", F.element_at(kws, F.col("id") + 1)).withColumn("gen", F.element_at(gen, F.col("id") + 1))
+    t = with_generated_title(with_fallback_title(t, "kw", "title"), "gen", "title", "generated")
+    return t.select("id", "tweet_count", "title", "generated", J.template_summary("title", prompt_keywords("kw")).alias("summary"))
+
+
 @register("title_rules_conversations", "C9,C10,C11,C13,C15")
 def q_title_rules(spark, d):
     """Every conversation turn treated as a candidate theme title: C9/C10
