@@ -175,6 +175,19 @@ def prompt_keywords(kws: Column | str, limit: int = 8) -> Column:
     return F.slice(kept, 1, limit)
 
 
+def title_prompt_terms(kws: Column | str) -> Column:
+    """The business terms among the prompt keywords, or default ones."""
+    kept = F.filter(prompt_keywords(kws), lambda k: F.lower(k).isin(*W.PROMPT_BUSINESS_TERMS))
+    return F.when(F.size(kept) > 0, kept).otherwise(_lits(W.PROMPT_DEFAULT_TERMS))
+
+
+def summary_terms(kws: Column | str, limit: int, defaults: Sequence[str]) -> Column:
+    """Of the first ``limit`` prompt keywords the business terms and words
+    longer than 5, or ``defaults``."""
+    kept = F.filter(prompt_keywords(kws, limit), lambda k: F.lower(k).isin(*W.SUMMARY_BUSINESS_TERMS) | (F.length(k) > 5))
+    return F.when(F.size(kept) > 0, kept).otherwise(_lits(defaults))
+
+
 def with_fallback_title(df: DataFrame, kws: str, out_col: str, default: str = W.DEFAULT_TITLE) -> DataFrame:
     """Compose a title from up to four keywords through the business
     dictionary (``A and B`` / ``A Concerns`` / ``A Issues`` / ``A and

@@ -257,6 +257,7 @@ SUMMARY_BUSINESS_TERMS = [
     "quality", "shopping", "store", "customer", "staff", "return", "availability",
 ]
 SUMMARY_DEFAULT_TERMS = ["customer service", "product quality", "shopping experience", "order fulfillment"]
+SUMMARY_PROMPT_DEFAULT_TERMS = ["customer", "service", "product"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — theme-name similarity synonym pairs

@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 
 from postlens.functions import wordlists as W
 from postlens.functions.columns import resolve, sentiment_key
-from postlens.functions.text import normalize_text, with_fallback_title, with_generated_title
+from postlens.functions.text import (normalize_text, summary_terms, title_prompt_terms, with_fallback_title,
+                                     with_generated_title)
 from postlens.operators.cleaning import drop_duplicate_posts
 from postlens.operators.filters import timestamp_window
 from postlens.operators.keywords import (_text_partitions, keywords_per_group, ngram_terms, theme_keywords, tfidf)
 from postlens.operators.metrics import label_counts
-from postlens.operators.sampling import newest_rows, seeded_sample
+from postlens.operators.sampling import first_n_per_group, newest_rows, seeded_sample
 from postlens.operators.scoring import tfidf_features
 
 THEME_SCHEMA = T.StructType([
@@ -263,6 +264,43 @@ def generate_text(df: DataFrame, prompt_col: str, generate_fn: Callable[[str], s
     return df.mapInPandas(run, schema)
 
 
+def title_prompt(keywords: Column | str, samples: Column | str) -> Column:
+    """C17: what a generator is asked for a theme's name: its business terms
+    and the first 150 characters of up to two of its posts."""
+    lines = F.transform(F.slice(F.col(samples) if isinstance(samples, str) else samples, 1, 2),
+                        lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(x, 1, 150)))
+    return F.concat(F.lit("Name this theme of customer posts in 4 to 7 words.\nKeywords: "),
+                    F.array_join(title_prompt_terms(keywords), ", "),
+                    F.when(F.size(lines) > 0, F.concat(F.lit("\nPosts:\n"), F.array_join(lines, "\n"))).otherwise(F.lit("")))
+
+
+def summary_prompt(title: str, keywords: Column | str, samples: Column | str) -> Column:
+    """C17: what a generator is asked for a theme's summary: its name, terms
+    and up to two whole posts."""
+    posts = F.slice(F.col(samples) if isinstance(samples, str) else samples, 1, 2)
+    return F.concat(F.lit("Describe this theme of customer posts in 3 to 4 lines.\nName: "), F.col(title), F.lit("\nKeywords: "),
+                    F.array_join(summary_terms(keywords, 6, W.SUMMARY_PROMPT_DEFAULT_TERMS), ", "),
+                    F.when(F.size(posts) > 0, F.concat(F.lit("\nPosts:\n"), F.array_join(posts, "\n"))).otherwise(F.lit("")))
+
+
+def with_names_and_summaries(t: DataFrame, generate_fn: Callable[[str], str] | None, keywords: str = "keywords",
+                             samples: str = "samples") -> DataFrame:
+    """D10 for a theme table: ``name``, ``summary`` and ``used_generator``.
+    Without a generator both come from the templates (C12, J6); with one, a
+    name that fails, is empty or is rejected (C13) is the fallback title, and
+    a summary that fails or is empty is the long template."""
+    t = with_fallback_title(t, keywords, "fallback").withColumn("prompt", title_prompt(keywords, samples))
+    t = generate_text(t, "prompt", generate_fn, "fallback", "raw_name").withColumnRenamed("used_generator", "named")
+    t = with_generated_title(t, "raw_name", "fallback", "cleaned_name")
+    t = t.withColumn("name", F.when(F.col("named"), F.col("cleaned_name")).otherwise(F.col("fallback")))
+    if generate_fn is None:
+        return t.withColumn("summary", template_summary("name", keywords)).withColumn("used_generator", F.lit(False)).drop("named")
+    t = t.withColumn("template", template_summary("name", summary_terms(keywords, 4, W.SUMMARY_DEFAULT_TERMS), long=True))
+    t = t.withColumn("prompt", summary_prompt("name", keywords, samples))
+    t = generate_text(t, "prompt", generate_fn, "template", "summary")
+    return t.withColumn("used_generator", F.col("named") | F.col("used_generator")).withColumn("summary", F.trim("summary")).drop("named", "template")
+
+
 # ---------------------------------------------------------------------------
 # J5 whole theme job
 # ---------------------------------------------------------------------------
@@ -320,12 +358,14 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
     t = counts.join(kws, "theme", "left")
     t = t.withColumn("keywords", F.coalesce(F.col("keywords"),
                                             F.array(*[F.lit(w) for w in W.DEFAULT_KEYWORDS])))
-    t = with_fallback_title(t, "keywords", "fallback")
-    t = t.withColumn("prompt", F.concat(F.lit("Keywords: "), F.array_join(F.col("keywords"), ", ")))
-    t = generate_text(t, "prompt", generate_fn, "fallback", "raw_name")
-    t = with_generated_title(t, "raw_name", "fallback", "cleaned_name")
-    t = t.withColumn("name", F.when(F.col("used_generator"), F.col("cleaned_name")).otherwise(F.col("fallback")))
-    t = t.withColumn("summary", template_summary("name", "keywords"))
+    if generate_fn is None:
+        t = t.withColumn("samples", F.array().cast("array<string>"))
+    else:  # two posts of each theme for the prompts
+        own = assigned.select("theme", "id", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+        own = first_n_per_group(own, "theme", 2, [F.col("id")]).groupBy(F.col("theme").alias("_theme")).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("id", "_text"))), lambda x: x["_text"]).alias("samples"))
+        t = t.join(own, F.col("theme") == F.col("_theme"), "left").drop("_theme")
+    t = with_names_and_summaries(t, generate_fn)
     themes = t.select(F.col("theme").alias("id"), "name", "summary", "tweet_count", "positive", "negative",
                       "neutral", "used_generator")
     themes = themes.withColumn("pos", F.row_number().over(Window.orderBy(F.col("tweet_count").desc(), "id")))

@@ -275,6 +275,43 @@ def q_title_cases(spark, d):
     return t.select("id", "tweet_count", "title", "generated", J.template_summary("title", prompt_keywords("kw")).alias("summary"))
 
 
+def stub_generator(prompt: str) -> str:
+    """Answers for themes about delivery, fails for pricing, is empty for others."""
+    if "pricing" in prompt.lower():
+        raise RuntimeError("no answer")
+    if "delivery" not in prompt.lower():
+        return ""
+    return "Delivery Challenges Tariff Impact" if prompt.startswith("Name") else "Posts tell of late parcels."
+
+
+def _generated_sql() -> str:
+    def summary(i):
+        kws, _, fallback, _ = TITLE_CASES[i]
+        if "delivery" in kws:
+            return "Posts tell of late parcels."
+        noise = W.GENERIC_WORDS + W.THEME_STOPWORDS + W.KNOWN_HANDLES
+        kept = [k for k in kws if len(k) > 3 and k.isalpha() and k not in noise]
+        kept = [k for k in kept if k in W.SUMMARY_BUSINESS_TERMS or len(k) > 5] or W.SUMMARY_DEFAULT_TERMS
+        return f"{fallback}: This theme focuses on {', '.join(kept)}. {W.THEME_SUMMARY_TAIL_LONG}"
+
+    rows = ", ".join(f"({i}, '{'Delivery Challenges Tariff Impact' if 'delivery' in c[0] else c[2]}', '{summary(i)}', {'delivery' in c[0]})"
+                     for i, c in enumerate(TITLE_CASES))
+    return with_posts(f"""
+with v as (select * from (values {rows}) v(id, name, summary, used_generator)),
+g as (select cast(theme as integer) as id, count(*) as tweet_count from posts group by 1)
+select g.id, tweet_count, name, summary, used_generator from g join v on g.id = v.id
+""")
+
+
+@register("generated_themes", "D10,C16,C17,J6", _generated_sql)
+def q_generated_themes(spark, d):
+    """Names and summaries of the posts' themes from a generator that answers, fails or is empty."""
+    kws = F.array(*[F.array(*[F.lit(k) for k in c[0]]).cast("array<string>") for c in TITLE_CASES])
+    t = posts(spark, d, with_text=False).groupBy(F.col("theme").alias("id")).agg(F.count("*").alias("tweet_count"))
+    t = t.withColumn("keywords", F.element_at(kws, F.col("id") + 1)).withColumn("samples", F.array().cast("array<string>"))
+    return J.with_names_and_summaries(t, stub_generator).select("id", "tweet_count", "name", "summary", "used_generator")
+
+
 @register("title_rules_conversations", "C9,C10,C11,C13,C15")
 def q_title_rules(spark, d):
     """Every conversation turn treated as a candidate theme title: C9/C10
