@@ -1,20 +1,23 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its element paths (tags with their classes) and, outside
-the article, its pieces of text at their paths.  Tokens that occur equally
-often on each page of a host have the same occurrence vector and form an
-equivalence class.  A class is valid if it is on every page of its host; the
-classes whose paths occur once on each page nest by their paths and make the
-host's template, and each gap below one of its paths is a slot.  Text of the
-template (the same words at the same path on every page of a host with at
-least ``LEAST_PAGES`` pages) is left out.  Slots that page furniture owns by
-its tags or names (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers) are left out; of the others, those of an
-article are extracted, else those of the main element, else the slot with the
-most text and those inside its path.
+A page's tokens are its element paths (tags with their classes) and its pieces
+of text at their paths.  Tokens that occur equally often on each page of a host
+have the same occurrence vector and form an equivalence class.  A class is
+frequent if it is on each of the host's pages, at least ``LEAST_PAGES``.
+Classes nest by the paths that are once on a page.  An element is of the
+template if its class has other tokens too or is nearly everywhere; a text is,
+inside an article as well, if its class holds an element and is on half the
+pages of the class around it, or else on nearly all of these.  Each gap below a
+path of the template is a slot.  Texts of the template are left out (but where
+most of an article is such text, the pages are copies, and it stays).  What page
+furniture owns by its tags or names (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, comments of readers) is left out too; of the
+other slots those of an article are extracted, else those of the main element,
+else the host's largest slot that is on the page, with those inside its path.
+A host with fewer pages has no template, and all its free text stays.
 
 Occurrence vectors are never brought together: a class is found by the hash of
-its vector, an order-free sum over pages that Spark adds up in part before any
+its vector, order-free sums over pages that Spark adds up in part before any
 shuffle.  A host's template is one small row; pages are joined to it by host.
 
 Defined cases: null or empty html gives empty text; a null url or one without
@@ -36,7 +39,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A class is frequent if it is on each page of its host and on so many.
 LEAST_PAGES = 3
+#: Texts are of the template if they are on so large a share of the pages of the class around theirs: the first where
+#: their class holds an element, else the second.
+HALF, NEARLY_ALL = 0.5, 0.9
 # FIXED VALUES — elements without an end tag, of furniture, and that begin a block
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("head nav header footer aside form script style noscript template button select option textarea iframe svg "
@@ -47,6 +54,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "option", "optgroup", "legend"}
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                "option": {"option"}}
+HOLDERS = frozenset("html body main article section div center table tbody tr td ul ol dl blockquote form fieldset".split())
 SCOPES = frozenset("table ul ol dl article main body html".split())
 # FIXED VALUES — names of furniture in classes, ids and roles
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promos banner banners cookie "
@@ -162,6 +170,7 @@ def host(url: Column) -> Column:
 
 
 TOKENS = "host string, page long, token long, path string, words boolean, times int, chars long"
+TEMPLATES = "host string, paths array<string>, texts array<long>, slots array<string>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,71 +182,112 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(html or "")
             size = Counter()
             said = Counter()
-            for path, owned, near, text in page.blocks:
+            for path, owned, _, text in page.blocks:
                 if not owned:
                     size[path] += len(text)
-                    if near < 2:
-                        said[path, text] += 1
+                    said[path, text] += 1
             rows = [(where, key, _token(p, ""), p, False, n, size[p]) for p, n in page.starts.items()]
-            rows += [(where, key, _token(p, t), p, True, n, len(t)) for (p, t), n in said.items()]
-            rows += [(where, key, 0, "", False, 1, 0)]  # the page itself: the vector of ones
-            for col, values in zip(out, zip(*rows, strict=True), strict=True):
+            rows += [(where, key, _token(p, t), p, True, n, n * len(t)) for (p, t), n in said.items()]
+            for col, values in zip(out, zip(*rows, strict=True) if rows else [()] * len(kinds), strict=True):
                 col.extend(values)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
+def _above(path: str, known) -> str:
+    """The deepest of the known paths at or above a path, '' if there is none."""
+    while path and path not in known:
+        path = path.rpartition("/")[0]
+    return path
+
+
+def nest(tokens: list[dict], n_pages: int) -> tuple[list[str], list[int], list[str]]:
+    """A host's template from its frequent tokens (vector, token, path, words, most, pages, chars): its paths, its texts,
+    and its slots, the one with the most text first."""
+    classes: dict = {}
+    for t in tokens:
+        classes.setdefault((t["pages"], t["vector"]), []).append(t)
+    once = {t["path"]: t["pages"] for t in tokens if not t["words"] and t["most"] == 1}
+    paths, texts, size = [], [], Counter()
+    for (pages, _), own in classes.items():
+        holds = any(not t["words"] and t["most"] == 1 for t in own)
+        for t in own:
+            if not t["words"]:
+                # an element that shares its vector with no other token isn't of a template unless it is nearly everywhere
+                if t["most"] == 1 and (len(own) > 1 or pages >= NEARLY_ALL * n_pages):
+                    paths.append(t["path"])
+                continue
+            # the class of a text nests in the class of the deepest path around it that is once on a page
+            around = once.get(_above(t["path"], once), n_pages)
+            if pages >= (HALF if holds else NEARLY_ALL) * around:
+                texts.append(t["token"])
+                size[t["path"]] -= t["chars"]
+    slots = {p for p in paths if p.rpartition("/")[2].partition(".")[0] in HOLDERS}
+    for t in tokens:
+        if not t["words"]:
+            size[t["path"]] += t["chars"]
+    held: Counter = Counter()
+    for path, chars in size.items():
+        held[_above(path, slots)] += chars
+    return sorted(paths), sorted(texts), sorted((p for p in slots if held[p] > 0), key=lambda p: (-held[p], p))
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [nest(t, n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n_pages").to_pylist(), strict=True)]
+        cols = [pa.array([m[i] for m in made], pa.list_(k)) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), *cols], names=["host", "paths", "texts", "slots"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """One row for each host: the paths of its template, its template texts, and its largest slot."""
+    """One row for each host that has a template: its paths, its texts, and its slots, the largest first."""
     rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
     tokens = rows.mapInArrow(_tokens, TOKENS)
+    # halves of a hash, added up: unlike an exclusive or, repeated rows don't cancel out
+    one = F.xxhash64("page", "times")
     vectors = tokens.groupBy("host", "token", "words").agg(
-        F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"),
-        F.sum("chars").alias("chars"), F.first("path").alias("path"))
-    every = vectors.where("token = 0").select(F.col("host").alias("_h"), F.col("pages").alias("n_pages"))
-    # tokens that are on every page; what more tokens a host has on every page is bounded by its shortest page
-    valid = vectors.where("token <> 0").join(every, (F.col("host") == F.col("_h")) & (F.col("pages") == F.col("n_pages")))
-    classes = valid.groupBy("host", "vector", "most", "n_pages").agg(
-        F.collect_set(F.when(~F.col("words"), F.col("path"))).alias("paths"), F.collect_set(F.when(F.col("words"), F.col("token"))).alias("texts"),
-        F.max_by("path", F.when(~F.col("words") & (F.col("chars") > 0), F.struct("chars", "path"))).alias("slot"),
-        F.max(F.when(~F.col("words"), F.col("chars"))).alias("chars"))
-    # the class of paths that are once on each page is the outer template; other classes nest below its paths
-    once = F.col("most") == 1
-    return classes.groupBy("host").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.when(once, F.col("paths"))))).alias("paths"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n_pages") >= LEAST_PAGES, F.col("texts"))))).alias("texts"),
-        F.max_by("slot", F.when(once & F.col("slot").isNotNull(), F.struct("chars", "slot"))).alias("slot"))
-
-
-def main_text(html: str | None, paths: list[str], texts: list[int], slot: str | None) -> str:
+        F.sum(one.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(one, 33)).alias("high"), F.count(F.lit(1)).alias("pages"),
+        F.max("times").alias("most"), F.sum("chars").alias("chars"), F.first("path").alias("path"))
+    every = rows.groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("n_pages"))
+    # frequent tokens: bounded by a host's shortest page
+    often = vectors.where(f"pages >= {LEAST_PAGES}") \
+        .join(every, (F.col("host") == F.col("_h")) & (F.col("pages") == F.col("n_pages")))
+    own = F.struct(F.xxhash64("low", "high").alias("vector"), "token", "path", "words", "most", "pages", "chars")
+    return often.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(own).alias("tokens")).mapInArrow(_nested, TEMPLATES)
+
+
+def main_text(html: str | None, texts: list[int], slots: list[str]) -> str:
     """The main text of one page under its host's template."""
     if not html:
         return ""
-    free = [(path, near, text) for path, owned, near, text in Page(html).blocks if not owned]
-    nearest = max((near for _, near, _ in free), default=0)
-    if nearest:
-        chosen = [(path, near, text) for path, near, text in free if near == nearest]
-    else:
-        # below the template's deepest path that holds the largest slot
-        known = set(paths)
-        base = slot or ""
-        while base and base not in known:
-            base = base.rpartition("/")[0]
-        chosen = [b for b in free if not base or b[0] == base or b[0].startswith(base + "/")] or free
+    page = Page(html)
     left = set(texts)
-    own = [text for path, near, text in chosen if near == 2 or _token(path, text) not in left]
+    free = [(path, near, text, _token(path, text) not in left) for path, owned, near, text in page.blocks if not owned]
+    nearest = max((near for _, near, _, _ in free), default=0)
+    if nearest:  # names of tags choose among the slots
+        chosen = [b for b in free if b[1] == nearest]
+    else:
+        # the host's largest slot that is on the page and holds text of its own there
+        here = {s for s in slots if page.starts[s] == 1}
+        below = {_above(path, here) for path, _, _, new in free if new}
+        base = next((s for s in slots if any(b == s or b.startswith(s + "/") for b in below)), "")
+        chosen = [b for b in free if not base or b[0] == base or b[0].startswith(base + "/")]
+    own = [text for *_, text, new in chosen if new]
+    # copies of a page on its host look like a template: where most of an article or the whole of a page is repeated, it stays
+    if not own or (nearest == 2 and 2 * sum(map(len, own)) < sum(len(b[2]) for b in chosen)):
+        own = [text for _, _, text, _ in chosen]
     return "\n\n".join(own)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page."""
-    made = templates(pages).withColumnRenamed("host", "_h")
+    made = templates(pages).select(F.col("host").alias("_h"), "texts", "slots")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    rows = rows.join(made, F.col("host") == F.col("_h"), "left").select("page_id", "url", "html", "paths", "texts", "slot")
+    rows = rows.join(made, F.col("host") == F.col("_h"), "left").select("page_id", "url", "html", "texts", "slots")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("html", "paths", "texts", "slot")]
-            out = [main_text(h, p or [], t or [], s) for h, p, t, s in zip(*cols, strict=True)]
+            cols = [batch.column(n).to_pylist() for n in ("html", "texts", "slots")]
+            out = [main_text(h, t or [], s or []) for h, t, s in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -386,3 +386,27 @@ def test_classes_of_occurrence_vectors(spark):
     assert {p.rpartition("/")[2] for p in made["paths"]} >= {"html", "body", "ul", "div.top"}
     assert not any(p.endswith("/li") for p in made["paths"])
     assert html_template._token("/html/body/div.top/p", "Same") in made["texts"]
+
+
+def test_template_text_inside_articles_and_copies_of_a_page(spark):
+    def made(i, told):
+        return page(f"<article><h1>Title {i}</h1><p>{told}</p><div class=tip><p>Read on in our archive</p></div></article>")
+
+    rows = [(i, f"http://d.example/{i}", made(i, f"Story {i} is told here at some length")) for i in range(6)]
+    got = extract(spark, rows)
+    assert got == {i: f"Title {i}\n\nStory {i} is told here at some length" for i in range(6)}
+    # a text without an element of its own class on half of the pages is of the stories, not of the template
+    rows = [(i, f"http://d.example/{i}", page(f"<article><p>Story {i} is told here at some length</p>" + "<p>Said twice</p>" * (i % 2) + "<p>x</p></article>")) for i in range(8)]
+    assert {i for i, t in extract(spark, rows).items() if "Said twice" in t} == {1, 3, 5, 7}
+    same = page("<article><h1>One</h1><p>The same text</p></article>")
+    assert set(extract(spark, [(i, "http://e.example/", same) for i in range(5)]).values()) == {"One\n\nThe same text"}
+
+
+def test_slot_of_many_paragraphs_and_repeated_rows(spark):
+    def made(i):
+        told = "".join(f"<p>Part {j} of story {i} is told here</p>" for j in range(i + 2))
+        return page(f"<div class=left><p>Today {i}</p></div><div class=story>{told}</div>")
+
+    want = {i: "\n\n".join(f"Part {j} of story {i} is told here" for j in range(i + 2)) for i in range(4)}
+    assert extract(spark, [(i, f"http://f.example/{i}", made(i)) for i in range(4)]) == want
+    assert extract(spark, [(i, f"http://f.example/{i}", made(i)) for i in range(4)] * 2) == want
