@@ -3,7 +3,8 @@
 A page's tokens are its element paths (tags with their classes) and its pieces
 of text at their paths.  Tokens that occur equally often on each page of a host
 have the same occurrence vector and form an equivalence class.  A class is
-frequent if it is on each of the host's pages, at least ``LEAST_PAGES``.
+frequent if it is on ``LEAST_PAGES`` pages and a ``SHARE`` of the host's pages
+that have elements, so empty pages, error pages and other layouts don't undo it.
 Classes nest by the paths that are once on a page.  An element is of the
 template if its class has other tokens too or is nearly everywhere; a text is,
 inside an article as well, if its class holds an element and is on half the
@@ -39,8 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A class is frequent if it is on each page of its host and on so many.
-LEAST_PAGES = 3
+#: A class is frequent if it is on so many pages of its host and on so large a share of those that have elements.
+LEAST_PAGES, SHARE = 3, 0.1
 #: Texts are of the template if they are on so large a share of the pages of the class around theirs: the first where
 #: their class holds an element, else the second.
 HALF, NEARLY_ALL = 0.5, 0.9
@@ -247,10 +248,11 @@ def templates(pages: DataFrame) -> DataFrame:
     vectors = tokens.groupBy("host", "token", "words").agg(
         F.sum(one.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(one, 33)).alias("high"), F.count(F.lit(1)).alias("pages"),
         F.max("times").alias("most"), F.sum("chars").alias("chars"), F.first("path").alias("path"))
-    every = rows.groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("n_pages"))
-    # frequent tokens: bounded by a host's shortest page
+    # pages without a start tag tell nothing of a template
+    every = rows.where(F.col("html").rlike("<[A-Za-z]")).groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("n_pages"))
+    # frequent tokens: a host's are at most 1 / SHARE times those of its mean page
     often = vectors.where(f"pages >= {LEAST_PAGES}") \
-        .join(every, (F.col("host") == F.col("_h")) & (F.col("pages") == F.col("n_pages")))
+        .join(every, (F.col("host") == F.col("_h")) & (F.col("pages") >= F.lit(SHARE) * F.col("n_pages")))
     own = F.struct(F.xxhash64("low", "high").alias("vector"), "token", "path", "words", "most", "pages", "chars")
     return often.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(own).alias("tokens")).mapInArrow(_nested, TEMPLATES)
 

@@ -410,3 +410,13 @@ def test_slot_of_many_paragraphs_and_repeated_rows(spark):
     want = {i: "\n\n".join(f"Part {j} of story {i} is told here" for j in range(i + 2)) for i in range(4)}
     assert extract(spark, [(i, f"http://f.example/{i}", made(i)) for i in range(4)]) == want
     assert extract(spark, [(i, f"http://f.example/{i}", made(i)) for i in range(4)] * 2) == want
+
+
+def test_empty_error_and_other_pages_leave_the_template(spark):
+    def made(i, kind):
+        return page(f"<div><p>About this site</p></div><div class={kind}><p>Story {i} is long enough to be largest</p></div><div><p>All stories</p></div>")
+
+    rows = [(i, f"https://g.example/{i}", made(i, "story" if i < 12 else "other")) for i in range(20)]
+    odd = [(100, "https://g.example/a", None), (101, "https://g.example/b", ""), (102, "https://g.example/c", page("<h1>Not found</h1>"))]
+    got = extract(spark, rows + odd)
+    assert got == {i: f"Story {i} is long enough to be largest" for i in range(20)} | {100: "", 101: "", 102: "Not found"}
