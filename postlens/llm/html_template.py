@@ -57,36 +57,56 @@ ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
                "option": {"option"}}
 HOLDERS = frozenset("html body main article section div center table tbody tr td ul ol dl blockquote form fieldset".split())
 SCOPES = frozenset("table ul ol dl article main body html".split())
-# FIXED VALUES — names of furniture in classes, ids and roles
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promos banner banners cookie "
-                  "cookies consent gdpr notice notices notification notifications alert alerts newsletter subscribe subscription signup "
-                  "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar share sharing "
-                  "social related recommended recommendations comment comments commentlist disqus discussion respond reply replies "
-                  "responses popup modal overlay widget widgets toolbar login search copyright complementary contentinfo pagination "
-                  "pager skip outbrain taboola".split())
+# FIXED VALUES — whole names of furniture in classes, ids and roles; the second list doesn't count inside an article or main element
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising ad-banner ad-container ad-slot ad-unit ad-wrapper adsbygoogle sponsor sponsored "
+                  "sponsors promo promotion promos banner banners cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice "
+                  "consent consent-banner gdpr newsletter newsletter-signup subscribe subscription signup sidebar sidebars side-bar menu menus main-menu nav "
+                  "navbar nav-bar navigation main-nav main-navigation site-nav site-navigation breadcrumb breadcrumbs footer site-footer page-footer "
+                  "masthead site-header topbar top-bar share sharing share-buttons share-links social-links social-share social-icons "
+                  "related-posts related-articles related-links related-stories recommended recommendations comments commentlist comment comment-list comments-area "
+                  "comment-form disqus disqus_thread respond popup modal overlay widget widgets widget-area toolbar login complementary contentinfo "
+                  "pagination pager skip-link skip-links outbrain taboola".split())
+WEAK = frozenset("notice notices notification notifications alert alerts social related discussion reply replies responses search search-form copyright "
+                 "header skip".split())
 NAME = re.compile(r"[a-z]+")
 
 
 class Page(HTMLParser):
     """Blocks of text of a page: each has its path, whether furniture owns it, how near the article it is (2: in one,
-    1: in a main element, 0) and its text; ``starts`` counts element paths."""
+    1: in a main element, 0) and its text; ``starts`` counts element paths.  A name doesn't own what is around the longest
+    article or main element of the page, as teasers in a sidebar can be articles too."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, int]] = []
+        # each with its tag, path, elements that own it (by their numbers), nearness and the article or main element it is in
+        self.stack: list[tuple[str, str, tuple[int, ...], int, int]] = []
+        self.named: set[int] = set()
+        self.inside: dict[int, tuple[int, ...]] = {}
+        self.n_elements = 0
         self.starts: Counter = Counter()
-        self.blocks: list[tuple[str, bool, int, str]] = []
+        self.told: list[tuple[str, tuple[int, ...], int, int, str]] = []
         self.held: list[str] = []
-        self.owner: tuple[str, bool, int] | None = None
+        self.owner: tuple[str, tuple[int, ...], int, int] | None = None
         self.feed(html)
         self.close()
         self._end_block()
+        freed = self._freed()
+        self.blocks: list[tuple[str, bool, int, str]] = [(path, not freed.issuperset(owners), near, text) for path, owners, near, _, text in self.told]
+
+    def _freed(self) -> set[int]:
+        """The elements that own by a name and are around the longest article or main element."""
+        size: Counter = Counter()
+        for _, owners, _, at, text in self.told:
+            if at and owners == self.inside[at] and at not in owners and self.named.issuperset(owners):
+                size[at] += len(text)
+        longest = max(size, key=lambda at: (size[at], -at), default=0)
+        return self.named.intersection(self.inside[longest]) if longest else set()
 
     def _end_block(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
             if text and self.owner:
-                self.blocks.append((*self.owner, text))
+                self.told.append((*self.owner, text))
         self.held, self.owner = [], None
 
     def _pop_to(self, tags: set[str] | frozenset, stop: frozenset) -> None:
@@ -111,20 +131,29 @@ class Page(HTMLParser):
             self._end_block()
         if tag in VOID:
             return
-        _, path, owned, near = self.stack[-1] if self.stack else ("", "", False, 0)
+        _, path, owners, near, at = self.stack[-1] if self.stack else ("", "", (), 0, 0)
         given = dict(attrs)
         names = " ".join(str(given.get(k) or "") for k in ("class", "id", "role")).lower()
         label = tag + "".join(f".{n}" for n in sorted(set(NAME.findall(names))))
+        self.n_elements += 1
+        outer = near
         if tag in ("article", "main") or given.get("role") == "main":
             near = max(near, 2 if tag == "article" else 1)
-        if tag not in ("html", "body", "article", "main"):
-            owned = owned or (tag in FURNITURE and not (tag == "header" and near)) or "hidden" in given \
-                or "display:none" in str(given.get("style") or "").replace(" ", "").lower() or not NAMES.isdisjoint(NAME.findall(names))
-        elif tag == "article":
-            owned = owned or not NAMES.isdisjoint(NAME.findall(names))
+        whole = names.split()
+        by_name = tag not in ("html", "body", "main") and (not NAMES.isdisjoint(whole) or (not outer and tag != "article" and not WEAK.isdisjoint(whole)))
+        if tag not in ("html", "body", "article", "main") and (
+                (tag in FURNITURE and not (tag == "header" and near)) or "hidden" in given
+                or "display:none" in str(given.get("style") or "").replace(" ", "").lower()):
+            owners += (self.n_elements,)
+        elif by_name:
+            owners += (self.n_elements,)
+            self.named.add(self.n_elements)
+        if near > outer:
+            at = self.n_elements
+            self.inside[at] = owners
         path = f"{path}/{label}"
         self.starts[path] += 1
-        self.stack.append((tag, path, owned, near))
+        self.stack.append((tag, path, owners, near, at))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -145,19 +174,19 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.stack or self.stack[-1][0] in ("script", "style"):
             if not self.stack and data.strip():
-                self.owner = self.owner or ("", False, 0)
+                self.owner = self.owner or ("", (), 0, 0)
                 self.held.append(data)
             return
-        _, path, owned, near = self.stack[-1]
+        _, path, owners, near, at = self.stack[-1]
         if self.owner is None:
             if data.isspace():
                 return
-            self.owner = (path, owned, near)
-        elif self.owner[1] != owned:  # furniture inside a line of text, and back
-            if owned:
+            self.owner = (path, owners, near, at)
+        elif self.owner[1] != owners:  # furniture inside a line of text, and back
+            if owners[:len(self.owner[1])] == self.owner[1]:
                 return
             self._end_block()
-            self.owner = (path, owned, near)
+            self.owner = (path, owners, near, at)
         self.held.append(data)
 
 

@@ -420,3 +420,13 @@ def test_empty_error_and_other_pages_leave_the_template(spark):
     odd = [(100, "https://g.example/a", None), (101, "https://g.example/b", ""), (102, "https://g.example/c", page("<h1>Not found</h1>"))]
     got = extract(spark, rows + odd)
     assert got == {i: f"Story {i} is long enough to be largest" for i in range(20)} | {100: "", 101: "", 102: "Not found"}
+
+
+def test_names_own_whole_and_not_what_is_around_the_article(spark):
+    told = "<article><h1>Title</h1><p class=notice>A notice in the story</p><section class=related-work><p>Work like this</p></section></article>"
+    want = "Title\n\nA notice in the story\n\nWork like this"
+    for names in ("class='site has-sidebar'", "class=no-sidebar", "class=page-with-header", "id=search-results", "class=widget", "class='notice social'"):
+        assert extract(spark, [(1, "http://h.example/1", page(f"<div {names}><div class=sidebar><article>Teaser</article></div>{told}</div>"))]) == {1: want}, names
+    # names still own what is in the article, and hidden or furniture elements own articles too
+    body = "<article><p>Kept <span class=share>Share</span> whole</p><div class='box share'>Share</div></article><aside><article>A longer text in an aside</article></aside>"
+    assert extract(spark, [(1, "http://h.example/1", page(body))]) == {1: "Kept whole"}
