@@ -5,10 +5,11 @@ accepts.  The field then labels tokens that the patterns may miss.  Its nodes
 are the tokens that hold a digit or an at sign (no other token can be of a
 kind); chain edges link nodes that stand next to each other, skip edges link
 nodes of a document that are equal or alike (same digits, or the same name
-before an at sign), however far apart.  Nodes that are equal link to one node
-for each distinct form, so edges grow with the tokens, not with their pairs.
-Loopy belief propagation over these edges makes labels agree across the
-document.  Nodes inside a base span are clamped to its kind; a run of other
+before an at sign), however far apart.  Alike nodes link to one hub for each
+distinct form, inside a base span if there is one, so edges grow with the
+tokens, not with their pairs, and no copy is farther than another.  Loopy belief
+propagation over these edges, run until messages settle, makes labels agree
+across the document.  Nodes inside a base span are clamped to its kind; a run of other
 nodes that get a kind with a probability of at least ``SURE`` is a span.
 
 Weights are learned from the base spans of a bounded sample of documents: a
@@ -44,8 +45,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NODE = re.compile(r"[A-Za-z0-9+(._%-]*[0-9@][A-Za-z0-9._%+@()-]*")
 DIGIT = re.compile(r"[0-9]").search
 NOT_DIGITS = re.compile(r"[^0-9]+")
-#: Expected documents of the sample, rounds of propagation, probability for a span.
-SAMPLE, ROUNDS, SURE = 2000, 8, 0.95
+#: Expected documents of the sample, probability for a span.
+SAMPLE, SURE = 2000, 0.95
+#: Propagation ends when no message changes by more than this; loops that never settle end after so many rounds.
+SETTLED, ROUNDS = 1e-7, 2000
 #: Counts by which alike tokens are taken to share a label before any is seen.
 AGREE = 20.0
 
@@ -119,6 +122,19 @@ def likes(token: str) -> list[tuple[str, str]]:
     return [k for k in out if len(k[1]) > 1]
 
 
+def alike(nodes: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+    """The skip edges: each node with the hub of each of its keys, which is the first node with that key inside a base
+    span, else the first."""
+    keys = [likes(token) for *_, token, _ in nodes]
+    hubs: dict = {}
+    for inside in (True, False):
+        for i, own in enumerate(keys):
+            if not inside or nodes[i][3]:
+                for key in own:
+                    hubs.setdefault(key, i)
+    return [(hubs[key], i) for i, own in enumerate(keys) for key in own if hubs[key] != i]
+
+
 def learn(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shape weights (features x labels) and chain and skip potentials (labels x labels), from texts' base spans."""
     n = len(KINDS) + 1
@@ -126,17 +142,14 @@ def learn(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chain, skip = np.ones((n, n)), np.ones((n, n)) + AGREE * np.eye(n)
     for text in texts:
         nodes = _nodes(text, base_spans(text))
-        by: dict = {}
         for i, (a, _, token, label) in enumerate(nodes):
             x.append(features(token))
             y.append(label)
             if i and a - nodes[i - 1][1] <= 2:
                 chain[nodes[i - 1][3], label] += 1
-            for key in likes(token):
-                if key in by:
-                    skip[by[key], label] += 1
-                    skip[label, by[key]] += 1
-                by[key] = label
+        for i, j in alike(nodes):
+            skip[nodes[i][3], nodes[j][3]] += 1
+            skip[nodes[j][3], nodes[i][3]] += 1
     weights = np.zeros((len(features("0")), n))
     if x:
         xs, ys = np.array(x), np.eye(n)[y]
@@ -165,16 +178,19 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], round
     m = len(edges)
     back = np.r_[m:2 * m, 0:m]
     messages = np.zeros((2 * m, n))
+    settled = False
     for step in range(rounds + 1):
         belief = unary.copy()
         np.add.at(belief, dst, messages)
-        if step == rounds:
+        if settled or step == rounds:
             break
         send = belief[src] - messages[back]
         joint = send[:, :, None] + pot
         top = joint.max(1, keepdims=True)
         new = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-        messages = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+        new = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+        settled = np.abs(new - messages).max() < SETTLED
+        messages = new
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -190,14 +206,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
         if label:
             unary[i] = -30.0
             unary[i, label] = 0.0
-    edges, last = [], {}
-    for i, (a, _, token, _) in enumerate(nodes):
-        if i and a - nodes[i - 1][1] <= 2:
-            edges.append((i - 1, i, chain))
-        for key in likes(token):
-            if key in last:
-                edges.append((last[key], i, skip))
-            last[key] = i
+    edges = [(i - 1, i, chain) for i in range(1, len(nodes)) if nodes[i][0] - nodes[i - 1][1] <= 2]
+    edges += [(i, j, skip) for i, j in alike(nodes)]
     p = marginals(unary, edges)
     best, sure = p.argmax(1), p.max(1)
     taken = sorted((a, b) for _, a, b in base)

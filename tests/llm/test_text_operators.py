@@ -292,6 +292,29 @@ def test_skip_chain_adds_distant_copies(spark):
     assert all(s["base"] for i in range(60) for s in rows[i])
 
 
+def test_all_copies_of_a_base_span_are_found():
+    # each node hangs on the clamped one, not on the copy before
+    text = ("555.4510@host and " * 6) + "555.4510@host.example " + "555.4510@host and " * 12
+    base = pii.base_spans(text)
+    nodes = pii._nodes(text, base)
+    hub = next(i for i, n in enumerate(nodes) if n[3])
+    assert {(hub, i) for i in range(len(nodes)) if i != hub} <= set(pii.alike(nodes))
+    for against in (0.0, 0.5):  # neutral weights, and weights against the kind
+        weights = np.zeros((len(pii.features("0")), 5))
+        weights[0, 1] = -against
+        assert len(pii.added_spans(text, base, (weights, np.zeros((5, 5)), np.full((5, 5), -3.0) + 6 * np.eye(5)))) == 18
+
+
+def test_propagation_settles_on_long_chains():
+    n = 60
+    unary = np.zeros((n, 2))
+    unary[0] = [0, -30]
+    pot = np.array([[3.0, -3.0], [-3.0, 3.0]])
+    p = pii.marginals(unary, [(i, i + 1, pot) for i in range(n - 1)])
+    same = np.exp(3) / (np.exp(3) + np.exp(-3))
+    assert np.allclose(p[:, 0], [0.5 + 0.5 * (2 * same - 1) ** i for i in range(n)], atol=1e-4)
+
+
 def test_redaction(spark):
     out = {r["doc_id"]: r for r in pii.redacted(frame(spark, ODD)).collect()}
     assert out[8]["text"] == "[email] [ip] [phone]" and out[8]["n_chars"] == len(out[8]["text"])
