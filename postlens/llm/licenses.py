@@ -1,10 +1,14 @@
 """Licence scans by canonical digests.
 
-A unit of text, the whole document or one of its lines, is brought to a
-canonical form: lower case, no copyright lines, one spelling for words and
-phrases that mean the same, no punctuation, single spaces.  The SHA-256 of
-this form is joined to the digests of known licence texts made the same way.
-Only entire units match, never parts.
+A unit of text, the whole document, one of its paragraphs or one of its lines,
+is brought to a canonical form: lower case, no copyright lines, one spelling for
+words and phrases that mean the same, no punctuation, single spaces.  The lines
+of a document or paragraph are joined first, so spellings may cross lines, and
+of these only true copyright lines go, not a wrapped line of a licence that
+begins with the word.  The SHA-256 of this form is joined to the digests of
+known licence texts made the same way: ``KNOWN``, the short licences with their
+usual titles, and the files of ``license_texts`` with and without title and
+appendix.  Only entire units match, never parts.
 
 All is DataFrame functions; the table of known digests is fixed and small, so
 it is broadcast.  Matches are few and are joined back by id and text digest.
@@ -16,6 +20,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +73,35 @@ KNOWN = [
     ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+# FIXED VALUES — short licences as whole texts, and their titles
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+BSD_ITEMS = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."]
+BSD_TAIL = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+            "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+            "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+            "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+            "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+            "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+    "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+    "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+    "under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+MORE = "For more information, please refer to <{}>"
+TITLES = {"MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+          "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD License"], "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+          "Unlicense": ["The Unlicense", "Unlicense"]}
+TEXTS = Path(__file__).parent / "license_texts"
 # FIXED VALUES — spellings, after punctuation has gone, and what stands for them
 SPELLINGS = [
     ("gnu general public license", "gpl"), ("gnu gpl", "gpl"), ("creative commons", "cc"), ("attribution", "by"),
@@ -78,6 +114,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"^[^a-z0-9(©]*(copyright|\(c\)|©|all rights reserved).*$"
 
 
+#: Lines of a longer text that are copyright lines; a licence's own wrapped lines may begin with these words too.
+TRUE_COPYRIGHT = (r"^[^A-Za-z0-9(©]*(([Cc]opyright|COPYRIGHT)([\s:,-]*(\([cC]\)|©|[0-9]{4}|[<\[{]|by\b|(?!(Licen[cs]e|Holder|Notice|Owner|Law)s?\b)[A-Z][a-z])|$)"
+                  r"|\([cC]\)[^A-Za-z]*[0-9]{4}|\([cC]\) [Cc]opyright|©|[Aa][Ll][Ll] [Rr]ights [Rr]eserved\W*$)")
+BLANK = r"\n[^A-Za-z0-9\n]*\n"
+
+
 def canonical(line: Column) -> Column:
     """The canonical form of one line."""
     c = F.replace(F.translate(line, UPPER, LOWER), F.lit("licenc"), F.lit("licens"))
@@ -90,28 +132,54 @@ def canonical(line: Column) -> Column:
     return F.trim(c)
 
 
+def joined(lines: Column) -> Column:
+    """The canonical form of lines that are one text."""
+    return canonical(F.array_join(F.filter(lines, lambda c: ~F.rlike(F.trim(c), F.lit(TRUE_COPYRIGHT))), " "))
+
+
+def texts() -> list[tuple[str, str]]:
+    """The known notices and whole licences, each on one line without copyright lines."""
+    short = [(n, t) for n, t in KNOWN if n in ("MIT", "ISC") and t.startswith("Permission")]
+    for n, items in (("BSD-3-Clause", BSD_ITEMS), ("BSD-2-Clause", BSD_ITEMS[:2])):
+        short.append((n, BSD_HEAD + " ".join(items) + BSD_TAIL))
+        short.append((n, BSD_HEAD + " ".join(f"{i}. {t}" for i, t in enumerate(items, 1)) + BSD_TAIL))
+    short += [("Unlicense", UNLICENSE)] + [("Unlicense", f"{UNLICENSE} {MORE.format(u)}") for u in (
+        "https://unlicense.org", "https://unlicense.org/", "http://unlicense.org", "http://unlicense.org/")]
+    out = KNOWN + short + [(n, f"{title} {t}") for n, t in short for title in TITLES[n]]
+    drop = re.compile(TRUE_COPYRIGHT)
+    for path in sorted(TEXTS.glob("*.txt")):
+        whole = path.read_text(encoding="utf-8").strip()
+        end = re.search(r"END OF TERMS AND CONDITIONS", whole)
+        for text in [whole] + ([whole[:end.end()], whole[:end.start()]] if end else []):
+            for part in (text, re.split(BLANK, text, maxsplit=1)[1]):  # the first paragraph is the title
+                out.append((path.stem, " ".join(x.strip() for x in part.split("\n") if not drop.search(x.strip()))))
+    return out
+
+
 def known(spark) -> DataFrame:
     """Digest and SPDX id of the known texts."""
-    rows = spark.createDataFrame(KNOWN, "spdx string, notice string")
+    rows = spark.createDataFrame(texts(), "spdx string, notice string")
     return rows.select(F.sha2(canonical(F.col("notice")).cast("binary"), 256).alias("digest"), "spdx").distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, licenses, n_lines, whole`` of each document: the ids of the licences whose text is a line or the whole
-    of it, in order and joined by commas, the number of such lines, and whether the whole document is one."""
+    """``doc_id, licenses, n_lines, whole`` of each document: the ids of the licences whose text is a line, a
+    paragraph or the whole of it, in order and joined by commas, the number of such lines, and whether the whole document is one."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    lines = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("own"), F.transform(F.split("text", "\n"), canonical).alias("lines"))
+    lines = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("own"), F.transform(F.split("text", "\n"), canonical).alias("lines"),
+                        joined(F.split("text", "\n")).alias("all"),
+                        F.transform(F.filter(F.split("text", BLANK), lambda c: F.contains(F.trim(c), F.lit("\n"))), lambda c: joined(F.split(c, "\n"))).alias("paragraphs"))
     whole = F.trim(F.array_join(F.filter("lines", lambda c: c != ""), " "))
+    unit = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("form"))
     units = lines.select("doc_id", "own", F.explode(F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), whole.alias("form"))),
-        F.transform("lines", lambda c: F.struct(F.lit(False).alias("whole"), c.alias("form"))))).alias("u"))
-    hits = units.select("doc_id", "own", "u.whole", F.sha2(F.col("u.form").cast("binary"), 256).alias("digest")) \
+        F.transform(F.array(whole, "all"), unit("whole")), F.transform("paragraphs", unit("paragraph")), F.transform("lines", unit("line")))).alias("u"))
+    hits = units.select("doc_id", "own", "u.kind", F.sha2(F.col("u.form").cast("binary"), 256).alias("digest")) \
         .join(F.broadcast(known(docs.sparkSession)), "digest")
     # rows with the same id and text have the same hits, as often as there are such rows
     found = hits.groupBy(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).agg(
         F.array_join(F.array_sort(F.collect_set("spdx")), ",").alias("licenses"),
-        F.count_if(~F.col("whole")).alias("lines"), F.max("whole").alias("whole"))
+        F.count_if(F.col("kind") == "line").alias("lines"), F.max(F.col("kind") == "whole").alias("whole"))
     copies = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("own"))
     times = copies.groupBy(F.col("doc_id").alias("_i"), F.col("own").alias("_o")).agg(F.count(F.lit(1)).alias("times"))
     found = found.join(times, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_own") == F.col("_o")))
@@ -132,7 +200,7 @@ def _canonical_sql(line: str) -> str:
 
 
 def sql() -> str:
-    """The same by SQL, over a view ``documents`` whose ids are unique."""
+    """The same by SQL for notices of ``KNOWN`` that don't cross lines, over a view ``documents`` whose ids are unique."""
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""
 with k as (select distinct sha256({_canonical_sql('notice')}) as digest, spdx from (values {values}) as t(spdx, notice)),

@@ -241,6 +241,24 @@ def test_licence_forms(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_whole_licences_and_wrapped_notices(spark):
+    import textwrap
+
+    body = dict(licenses.texts())
+    mit, bsd = [next(t for n, t in licenses.texts() if n == k and len(t) > 500) for k in ("MIT", "BSD-3-Clause")]
+    cases = [("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + textwrap.fill(mit, w)) for w in range(20, 100, 7)]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright 2020 Someone\nAll rights reserved.\n\n" + textwrap.fill(bsd, w)) for w in range(20, 100, 9)]
+    for path in sorted(licenses.TEXTS.glob("*.txt")):
+        text = path.read_text()
+        cases += [(path.stem, text), (path.stem, textwrap.fill(" ".join(x for x in text.split("\n") if not licenses.re.search(licenses.TRUE_COPYRIGHT, x.strip())), 72))]
+    cases += [("Unlicense", licenses.UNLICENSE)]
+    rows = {r["doc_id"]: r for r in licenses.scan(frame(spark, [t for _, t in cases])).collect()}
+    assert [(rows[i]["licenses"], rows[i]["whole"]) for i in range(len(cases))] == [(n, True) for n, _ in cases] and body
+    # a paragraph that is a notice and crosses a line; no line of it counts
+    row = licenses.scan(frame(spark, ["Some words\n\n# This software is released\n# under the MIT\n#\nx", "Some words\n\n# Released\n# under the MIT license\n#\nmore words"])).collect()
+    assert [(r["licenses"], r["n_lines"], r["whole"]) for r in sorted(row, key=lambda r: r["doc_id"])] == [("", 0, False), ("MIT", 0, False)]
+
+
 # --- personal data ----------------------------------------------------------
 def plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
