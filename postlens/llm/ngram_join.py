@@ -121,8 +121,8 @@ def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second = np.concatenate([*step(first, own), np.zeros(0, np.uint64)])
             paths.append(_signed(np.unique(second)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64()))],
-            names=["key", "doc_id", "node", "size", "paths"])
+            [batch.column("key"), batch.column("doc_id"), batch.column("own"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64()))],
+            names=["key", "doc_id", "own", "node", "size", "paths"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,12 +280,12 @@ def _distinct(sums: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes of all documents, ``(key, doc_id, node)``, and the linked nodes' rows ``(node, least, links)``: an edge
+    """The nodes of all documents, ``(key, doc_id, own, node)`` with ``own`` the hash of the text, and the linked nodes' rows ``(node, least, links)``: an edge
     to a node of the same class, and links of other sets, to be added up."""
     # the key of a row is its id, or a hash of its text where that is null
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).cast("long").alias("key"))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).cast("long").alias("key"), F.xxhash64("text").alias("own"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    nodes = cut_lineage(rows.mapInArrow(_begin, f"key long, doc_id {kind}, node binary, size int, paths array<long>"))
+    nodes = cut_lineage(rows.mapInArrow(_begin, f"key long, doc_id {kind}, own long, node binary, size int, paths array<long>"))
     sets = nodes.where("node is not null").groupBy("node").agg(
         F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     sets = sets.withColumn("short", F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long"))
@@ -346,7 +346,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     rows = rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     pairs = rows.select("bucket", "one", "two", "block", "node", "copies", "tokens", "buckets")
-    return nodes.select("key", "doc_id", "node"), cut_lineage(pairs.mapInArrow(_brute, "node binary, least binary, links long"))
+    return nodes.select("key", "doc_id", "own", "node"), cut_lineage(pairs.mapInArrow(_brute, "node binary, least binary, links long"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, node, class_id, n_links`` and ``first``: the least key of its class's rows without an id."""
+    """``key, doc_id, own, node, part, class_id, n_links`` and ``first``: the least key of its class's rows without an id."""
     nodes, found = links(docs)
     others = found.groupBy(F.col("node").alias("_node")).agg(F.sum("links").alias("others"))
     parts = connected(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
@@ -381,9 +381,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
     sets = sets.join(others, F.col("node") == F.col("_node"), "left")
     sets = sets.select(F.col("node").alias("_node"), "part", "low", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     lows = sets.groupBy(F.col("part").alias("_part")).agg(F.min("low").alias("class_id"), F.min("first").alias("_first"))
-    sets = sets.join(lows, F.col("part") == F.col("_part")).select("_node", "class_id", "n_links", F.col("_first").alias("first"))
+    sets = sets.join(lows, F.col("part") == F.col("_part")).select("_node", "part", "class_id", "n_links", F.col("_first").alias("first"))
     return nodes.join(sets, F.col("node") == F.col("_node"), "left").select(
-        "key", "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "key", "doc_id", "own", "node", "part", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "key").alias("first"))
 
 
@@ -395,11 +395,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: one with its least id, or, if none of its rows has an id, one with the
-    least hash of its text.  Rows without a word are classes of their own, but repeated rows of one id stay once."""
+    least hash of its text.  Rows without a word are classes of their own, but repeated rows of one id stay once.  Rows
+    that share an id are told apart by their texts: of those in one class the one with the least hash stays, and of
+    equal texts the one with the least hash of its columns."""
     of = _labelled(docs.select("doc_id", "text"))
-    keep, key = fresh(docs, "kept_key"), fresh(docs, "row_key")
-    firsts = of.where("class_id = doc_id or (class_id is null and doc_id is null and key = first)").select(
-        F.col("key").alias(keep), F.col("doc_id").isNull().alias("_null")).distinct()
-    out = docs.withColumn(key, F.coalesce("doc_id", F.xxhash64("text")).cast("long"))
-    out = out.join(firsts, (F.col(key) == F.col(keep)) & (F.col("doc_id").isNull() == F.col("_null")), "left_semi")
-    return out.withColumn(keep, F.col("doc_id").isNull()).dropDuplicates([key, keep]).drop(key, keep)
+    keep, key, own, null = fresh(docs, "kept_key"), fresh(docs, "row_key"), fresh(docs, "row_own"), fresh(docs, "row_null")
+    firsts = of.where("class_id = doc_id or (class_id is null and doc_id is null and key = first)") \
+        .groupBy(F.col("key").alias(keep), F.col("doc_id").isNull().alias("_null"), "part").agg(F.min("own").alias("_own")).drop("part").distinct()
+    out = docs.withColumn(key, F.coalesce("doc_id", F.xxhash64("text")).cast("long")) \
+        .withColumn(own, F.xxhash64("text")).withColumn(null, F.col("doc_id").isNull())
+    out = out.join(firsts, (F.col(key) == F.col(keep)) & (F.col(null) == F.col("_null")) & (F.col(own) == F.col("_own")), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return out.groupBy(key, own, null).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias(keep)).select(f"{keep}.*")

@@ -95,6 +95,14 @@ def test_join_odd_rows(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7])
 
 
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    one, two = (" ".join(f"{a}{i}" for i in range(60)) for a in "ab")
+    rows = [(1, one + " more", "s"), (5, one, "s"), (5, two, "s"), (5, two, "t"), (6, two + " more", "s"), (7, one, "s")]
+    for order in (rows, rows[::-1]):
+        kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.deduplicated(frame(spark, order)).collect())
+        assert kept == [(1, one + " more"), (5, two)]
+
+
 def test_connected_parts(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)]
