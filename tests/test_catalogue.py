@@ -3,7 +3,7 @@
 import subprocess
 import sys
 
-from conftest import ROOT
+from data_paths import ROOT
 
 CODE = """
 import builtins, io, pathlib, zipfile

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from postlens.operators import cleaning as B
 from postlens.operators import metrics as M
 from postlens.operators import themes as J

@@ -3,7 +3,7 @@
 import pytest
 
 from postlens.plans.catalog import REGISTRY
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 ORACLE = sorted(n for n, q in REGISTRY.items() if q.sql is not None)
 

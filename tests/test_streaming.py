@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from postlens.operators import metrics as M
 from postlens.sources.fixtures import posts
 from postlens.streaming import live
