@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import bpe, html_template, langid, licenses, mixing, ngram_join, pii, quality, repetition, syncmers
+from postlens.llm import (bpe, exact_dedup, html_template, langid, licenses, mixing, ngram_join, pii, quality, repetition,
+                          syncmers)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,6 +57,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(_read(spark, sf_dir, "pages"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,6 +69,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_language_id, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_quality_rules,
-    op7_document_fingerprints, op8_license_scan, op9_pii, op10_html_extraction, pipeline)}
+    op7_document_fingerprints, op8_license_scan, op9_pii, op10_html_extraction,
+    op13_exact_dedup, pipeline)}
 
-ORACLE_SQL = {"op3_source_mixing": mixing.SQL, "op8_license_scan": licenses.sql()}
+ORACLE_SQL = {"op3_source_mixing": mixing.SQL, "op8_license_scan": licenses.sql(),
+              "op13_exact_dedup": exact_dedup.SQL}
