@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import (bpe, exact_dedup, html_template, langid, licenses, mixing, ngram_join, pii, quality, repetition,
-                          syncmers)
+from postlens.llm import (bpe, exact_dedup, html_template, langid, licenses, mixing, ngram_join, periodic_runs, pii, quality,
+                          repetition, syncmers, whitening)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,6 +57,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(_read(spark, sf_dir, "documents"), periodic_runs.looped))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"))
 
@@ -70,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_language_id, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_quality_rules,
     op7_document_fingerprints, op8_license_scan, op9_pii, op10_html_extraction,
-    op13_exact_dedup, pipeline)}
+    op11_embedding_whitening, op12_periodic_runs, op13_exact_dedup, pipeline)}
 
 ORACLE_SQL = {"op3_source_mixing": mixing.SQL, "op8_license_scan": licenses.sql(),
               "op13_exact_dedup": exact_dedup.SQL}
