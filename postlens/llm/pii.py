@@ -12,24 +12,33 @@ propagation over these edges, run until messages settle, makes labels agree
 across the document.  Nodes inside a base span are clamped to its kind; a run of other
 nodes that get a kind with a probability of at least ``SURE`` is a span.
 
-Weights are learned from the base spans of a bounded sample of documents: a
-softmax regression on token shapes by maximum likelihood, and edge potentials
-from the smoothed log odds of the labels at both ends of such edges.
+Weights are learned from the base spans of all documents: a softmax regression
+on token shapes by maximum likelihood, and edge potentials from the smoothed log
+odds of the labels at both ends of such edges.  Tasks count shapes and ends, and
+Spark adds the counts up; the driver gets one row for each shape and label (a
+shape is a string of 23 bits, most of which exclude each other).
 
-Detection is a map over Arrow batches: no shuffle; memory is bounded by one
-batch and the nodes of one document.
+Learning and detection are maps over Arrow batches; memory is bounded by one
+batch and the nodes of one document.  All scans take time in proportion to the
+text, whatever it holds: runs of letters or digits are passed once, not from
+each of their places.
 
 Defined cases: a null text counts as empty and has no span; long texts are
 scanned whole; repeated rows give repeated results; null ids stay; an empty
-table gives no row (and no sample: only base spans are found then); extra
-columns stay in ``redacted`` and are not read elsewhere.
+table gives no row; without any token that holds a digit or an at sign there is
+nothing to learn or find; extra columns stay in ``redacted`` and are not read
+elsewhere.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +46,19 @@ from pyspark.sql import types as T
 from postlens.llm.common import per_text, struct
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# an address is what LOCAL characters stand before an at sign that DOMAIN follows
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Nodes: what holds a digit or an at sign, without the marks around it.
-NODE = re.compile(r"[A-Za-z0-9+(._%-]*[0-9@][A-Za-z0-9._%+@()-]*")
+#: Nodes: runs of these characters from a digit or an at sign on, and what stands before it without a closing bracket.
+AROUND, BEFORE = re.compile(r"[A-Za-z0-9._%+@()-]++").match, LOCAL + "("
+MARK = re.compile(r"[0-9@]").search
 DIGIT = re.compile(r"[0-9]").search
 NOT_DIGITS = re.compile(r"[^0-9]+")
-#: Expected documents of the sample, probability for a span.
-SAMPLE, SURE = 2000, 0.95
+#: Probability for a span.
+SURE = 0.95
 #: Propagation ends when no message changes by more than this; loops that never settle end after so many rounds.
 SETTLED, ROUNDS = 1e-7, 2000
 #: Counts by which alike tokens are taken to share a label before any is seen.
@@ -61,11 +73,24 @@ def _luhn(digits: str) -> bool:
     return (sum(own[::2]) + sum(sum(divmod(2 * d, 10)) for d in own[1::2])) % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The addresses of a text.  What may stand before an at sign never holds one, so each is looked at once."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = last + len(text[last:at].rstrip(LOCAL))
+        end = DOMAIN(text, at + 1) if start < at else None
+        if end:
+            out.append((start, end.end()))
+        last = end.end() if end else at + 1
+        at = text.find("@", last)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """What the patterns match and the checks accept, by kind and start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *span) for span in emails(text)]
     if DIGIT(text):
         if "." in text:
             out += [("ip", *m.span()) for m in IP.finditer(text)
@@ -93,16 +118,21 @@ def features(token: str) -> np.ndarray:
     ], float)
 
 
+BITS = 1 << np.arange(len(features("0")))
+
+
 def _nodes(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int]]:
     """Start, end, token and label (0: none) of each node."""
     sure = sorted((a, b, KINDS.index(k) + 1) for k, a, b in spans)
-    out, at = [], 0
-    for m in NODE.finditer(text):
-        a, b = m.span()
-        token = m[0].rstrip(".-%_()").lstrip("._%-")
+    out, at, last = [], 0, 0
+    while mark := MARK(text, last):
+        a = last + len(text[last:mark.start()].rstrip(BEFORE))
+        last = AROUND(text, mark.start()).end()
+        whole = text[a:last]
+        token = whole.rstrip(".-%_()").lstrip("._%-")
         if not token:
             continue
-        a += m[0].find(token)
+        a += whole.find(token)
         b = a + len(token)
         while at < len(sure) and sure[at][1] <= a:
             at += 1
@@ -135,34 +165,45 @@ def alike(nodes: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     return [(hubs[key], i) for i, own in enumerate(keys) for key in own if hubs[key] != i]
 
 
-def learn(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shape weights (features x labels) and chain and skip potentials (labels x labels), from texts' base spans."""
-    n = len(KINDS) + 1
-    x, y = [], []
-    chain, skip = np.ones((n, n)), np.ones((n, n)) + AGREE * np.eye(n)
+def counts(texts: Iterator[str]) -> Counter:
+    """How often a shape has a label, and how often labels stand at the ends of chain and skip edges:
+    ``(what, shape or first label, label)``."""
+    out: Counter = Counter()
     for text in texts:
+        if not MARK(text):
+            continue
         nodes = _nodes(text, base_spans(text))
         for i, (a, _, token, label) in enumerate(nodes):
-            x.append(features(token))
-            y.append(label)
+            out["shape", int(features(token) @ BITS), label] += 1
             if i and a - nodes[i - 1][1] <= 2:
-                chain[nodes[i - 1][3], label] += 1
+                out["chain", nodes[i - 1][3], label] += 1
         for i, j in alike(nodes):
-            skip[nodes[i][3], nodes[j][3]] += 1
-            skip[nodes[j][3], nodes[i][3]] += 1
-    weights = np.zeros((len(features("0")), n))
-    if x:
-        xs, ys = np.array(x), np.eye(n)[y]
-        for _ in range(300):  # gradient ascent with a small ridge
-            z = xs @ weights
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            weights += 2.0 * (xs.T @ (ys - p) / len(xs) - 1e-4 * weights)
-    else:
-        weights[0, 0] = 9.0
+            out["skip", nodes[i][3], nodes[j][3]] += 1
+            out["skip", nodes[j][3], nodes[i][3]] += 1
+    return out
+
+
+def learn(counted: dict[tuple[str, int, int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shape weights (features x labels) and chain and skip potentials (labels x labels)."""
+    n = len(KINDS) + 1
+    ends = {"chain": np.ones((n, n)), "skip": np.ones((n, n)) + AGREE * np.eye(n)}
+    shapes = []
+    for (what, a, b), times in sorted(counted.items()):
+        if what == "shape":
+            shapes.append((a, b, times))
+        else:
+            ends[what][a, b] += times
+    shape, label, times = np.array(shapes).T
+    xs, ys, share = (shape[:, None] // BITS % 2).astype(float), np.eye(n)[label], times / times.sum()
+    weights = np.zeros((len(BITS), n))
+    for _ in range(300):  # gradient ascent with a small ridge
+        z = xs @ weights
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        weights += 2.0 * (xs.T @ ((ys - p) * share[:, None]) - 1e-4 * weights)
     # what edges add beyond the labels' own frequency, at most a factor of e**3 either way (e for neighbours)
     odds = lambda c: np.clip(np.log(c / c.sum() / np.outer(c.sum(1) / c.sum(), c.sum(0) / c.sum())), -3, 3)
-    return weights, np.clip(odds(chain), -1, 1), odds(skip)
+    return weights, np.clip(odds(ends["chain"]), -1, 1), odds(ends["skip"])
 
 
 def marginals(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
@@ -180,8 +221,7 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], round
     messages = np.zeros((2 * m, n))
     settled = False
     for step in range(rounds + 1):
-        belief = unary.copy()
-        np.add.at(belief, dst, messages)
+        belief = unary + np.stack([np.bincount(dst, messages[:, k], len(unary)) for k in range(n)], axis=1)
         if settled or step == rounds:
             break
         send = belief[src] - messages[back]
@@ -210,13 +250,25 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: tuple[np.nda
     edges += [(i, j, skip) for i, j in alike(nodes)]
     p = marginals(unary, edges)
     best, sure = p.argmax(1), p.max(1)
-    taken = sorted((a, b) for _, a, b in base)
+    # base spans of different kinds overlap; joined, their starts and ends are both in order
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    first = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_left(first, b)
+        return not at or taken[at - 1][1] <= a
+
     out: list[tuple[str, int, int]] = []
     for (a, b, _, label), k, s in zip(nodes, best.tolist(), sure.tolist(), strict=True):
-        if label or not k or s < SURE or any(x < b and a < y for x, y in taken):
+        if label or not k or s < SURE or not free(a, b):
             continue
         kind = KINDS[k - 1]
-        if out and out[-1][0] == kind and a - out[-1][2] <= 2 and not any(x < b and out[-1][1] < y for x, y in taken):
+        if out and out[-1][0] == kind and a - out[-1][2] <= 2 and free(out[-1][1], b):
             out[-1] = (kind, out[-1][1], b)
         else:
             out.append((kind, a, b))
@@ -231,18 +283,20 @@ def _all_spans(text: str, model) -> list[tuple[str, int, int, bool]]:
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Weights from about ``sample`` of the documents that hold a digit or an at sign, chosen by a hash of their
-    ids; they alone are read by the driver.  None if there is none."""
-    able = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    n = able.count()
-    if not n:
-        return None
-    share = min(1.0, sample / n)
-    chosen = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    # only the surroundings of nodes matter, and these are short
-    parts = F.array_join(F.regexp_extract_all("text", F.lit(r"(\S+\s+)?\S*[0-9@]\S*(\s+\S*[0-9@]\S*)*"), F.lit(0)), "\n;\n")
-    return learn([r[0] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").select(parts).collect()])
+def fitted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The field's weights from all documents; None if no token holds a digit or an at sign."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
+        for batch in batches:
+            out += counts(x.as_py() for x in batch.column(0))
+        rows = [(*key, n) for key, n in out.items()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["what", "a", "b", "n"])
+
+    able = docs.select("text").where(F.col("text").rlike("[0-9@]"))
+    rows = able.mapInArrow(work, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    return learn({(r["what"], r["a"], r["b"]): r["n"] for r in rows}) if rows else None
 
 
 def spans_of(text: Column | str, model) -> Column:
@@ -251,9 +305,9 @@ def spans_of(text: Column | str, model) -> Column:
                     struct(spans=SPANS), text)["spans"]
 
 
-def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the ``spans`` of each document."""
-    return docs.select("doc_id", spans_of(F.col("text"), fitted(docs, sample)).alias("spans"))
+    return docs.select("doc_id", spans_of(F.col("text"), fitted(docs)).alias("spans"))
 
 
 def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -266,10 +320,10 @@ def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced by ``[kind]``; ``n_chars``, where there is one, counts
     the new text.  A null text stays null."""
-    model = fitted(docs, sample)
+    model = fitted(docs)
     new = per_text(lambda: lambda texts: {"text": [None if t is None else redact(t, _all_spans(t, model)) for t in texts]},
                    struct(text="string"), F.col("text"))["text"]
     out = docs.withColumn("text", new)

@@ -287,6 +287,76 @@ def test_personal_data_of_documents(spark, docs):
         assert not want or set(want.split(",")) <= set(got[doc_id]["spans"].split(","))
 
 
+NODE = re.compile(r"[A-Za-z0-9+(._%-]*[0-9@][A-Za-z0-9._%+@()-]*")
+
+
+def test_nodes_of_random_texts():
+    rng = random.Random(8)
+    for _ in range(4000):
+        t = "".join(rng.choice("0123456789. -+@ab()%_\n") for _ in range(rng.randint(0, 40)))
+        want = []
+        for m in NODE.finditer(t):
+            token = m[0].rstrip(".-%_()").lstrip("._%-")
+            if token:
+                a = m.start() + m[0].find(token)
+                want.append((a, a + len(token), token))
+        assert [n[:3] for n in pii._nodes(t, pii.base_spans(t))] == want
+
+
+HARD = {"numbers": " ".join(str(1000 + i) for i in range(60_000)), "letters": "a" * 1_000_000, "digits": "1" * 1_000_000, "dots": "1." * 500_000,
+        "signs": "a@" * 400_000, "plus": "+1(" * 300_000, "addresses": " ".join(f"u{i}@h.example" for i in range(30_000)),
+        "brackets": "(a)" * 300_000 + "1", "phones": "+1 (310) 555-4510 " * 20_000}
+
+
+@pytest.mark.parametrize("kind", HARD)
+def test_hard_texts_take_linear_time(kind):
+    import time
+
+    model = pii.learn(pii.counts(iter(["call +1 (310) 555-4510 or a@b.cd 12 13 1.2.3.4 in 1999"])))
+    at = time.perf_counter()
+    spans = pii._all_spans(HARD[kind], model)
+    assert time.perf_counter() - at < 5
+    assert len([s for s in spans if s[3]]) == {"dots": 125_000, "addresses": 30_000, "phones": 20_000}.get(kind, 0)
+
+
+def test_hard_texts_in_the_query_and_the_stage(spark):
+    import corpus_pipeline
+
+    df = frame(spark, [*HARD.values(), "mail a@b.cd", None], [*range(len(HARD)), None, None])
+    rows = pii.digest(pii.find(df)).collect()
+    assert len(rows) == len(HARD) + 2 and sum(r["n_email"] for r in rows) == 30_001
+    out = corpus_pipeline.redact_personal_data(spark, df, SMALL).collect()
+    assert {r["text"] for r in out if r["doc_id"] is None} == {"mail [email]", None}
+    assert [r["text"] for r in out if r["doc_id"] == 0] == [HARD["numbers"]]
+
+
+def test_weights_count_all_documents(spark):
+    texts = ["call +1 (310) 555-4510 or a@b.cd in 1999"] * 50 + ["1.2.3.4 and 5.6.7.8.9", "none"]
+    counted = pii.counts(iter(texts))
+    assert all(np.allclose(a, b) for a, b in zip(pii.fitted(frame(spark, texts, [None] * len(texts))), pii.learn(counted), strict=True))
+    assert pii.fitted(frame(spark, ["none", None])) is None
+
+
+def test_propagation_on_small_loops_against_all_labellings():
+    rng = np.random.default_rng(2)
+    for n, pairs in ((3, [(0, 1), (1, 2), (2, 0)]), (4, [(0, 1), (1, 2), (2, 3), (3, 0)]), (5, [(0, 1), (1, 2), (2, 3), (3, 4), (0, 4), (0, 2)])):
+        for _ in range(20):
+            unary = rng.normal(size=(n, 3))
+            pots = [rng.normal(scale=0.3, size=(3, 3)) for _ in pairs]
+            total = np.zeros((n, 3))
+            for y in np.ndindex(*[3] * n):
+                w = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum(p[y[a], y[b]] for (a, b), p in zip(pairs, pots, strict=True)))
+                for i in range(n):
+                    total[i, y[i]] += w
+            got = pii.marginals(unary, [(a, b, p) for (a, b), p in zip(pairs, pots, strict=True)])
+            assert np.abs(got - total / total.sum(1, keepdims=True)).max() < 0.05
+    # clamped ends decide a loop that nothing else speaks for
+    unary = np.zeros((4, 2))
+    unary[0] = [0, -30]
+    pot = 2 * np.array([[1.0, -1.0], [-1.0, 1.0]])
+    assert pii.marginals(unary, [(0, 1, pot), (1, 2, pot), (2, 3, pot), (3, 0, pot)])[:, 0].min() > 0.95
+
+
 def test_propagation_is_exact_on_a_tree():
     rng = np.random.default_rng(0)
     unary = rng.normal(size=(4, 3))
