@@ -1,25 +1,36 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its element paths (tags with their classes) and its pieces
-of text at their paths.  Tokens that occur equally often on each page of a host
-have the same occurrence vector and form an equivalence class.  A class is
-frequent if it is on ``LEAST_PAGES`` pages and a ``SHARE`` of the host's pages
+A page's tokens are its element paths (tags with their classes and ids, digits
+left out) and its pieces of text at their paths.  Tokens that occur equally
+often on each page of a host have the same occurrence vector and form an
+equivalence class.  A class is valid if it is on a ``SHARE`` of the host's pages
 that have elements, so empty pages, error pages and other layouts don't undo it.
 Classes nest by the paths that are once on a page.  An element is of the
 template if its class has other tokens too or is nearly everywhere; a text is,
-inside an article as well, if its class holds an element and is on half the
-pages of the class around it, or else on nearly all of these.  Each gap below a
-path of the template is a slot.  Texts of the template are left out (but where
-most of an article is such text, the pages are copies, and it stays).  What page
-furniture owns by its tags or names (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers) is left out too; of the
-other slots those of an article are extracted, else those of the main element,
-else the host's largest slot that is on the page, with those inside its path.
-A host with fewer pages has no template, and all its free text stays.
+inside an article as well, if it is on ``LEAST_PAGES`` pages, and its class holds
+an element and is on half the pages of the class around it, or else on nearly
+all of these.
+
+Each gap below a path of the template is a slot.  The template says what is in
+them: how much text that isn't its own each holds on the average page that has
+it.  The main text is in the slots that hold at least half of that of the whole
+page; these lie inside each other, and of them the article is taken, else the
+main element, else the innermost.  So tags only choose between slots that are
+as good by their text.  Out of the chosen slot go the template's texts (but
+where most of it is such text the pages are copies, and it stays), and the slots
+whose classes, ids or roles name furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, comments of readers), unless they are around the host's
+largest article or main element.  Names are looked at on the template's elements
+only; inside a line of text, as on a span, they count by themselves.  Furniture
+that HTML has elements for is never read.  A page whose host has no template,
+as it has no element, keeps all of its text.
 
 Occurrence vectors are never brought together: a class is found by the hash of
 its vector, order-free sums over pages that Spark adds up in part before any
-shuffle.  A host's template is one small row; pages are joined to it by host.
+shuffle.  Pages are parsed once, into a table in the shared folder.  A host's
+template is one small row; while all of them are within ``BROADCAST`` bytes they
+are sent to the tasks, beyond it pages are joined to them by host, large hosts in
+parts.
 
 Defined cases: null or empty html gives empty text; a null url or one without
 a host belongs to the host ''; very long pages are read whole; repeated rows
@@ -40,15 +51,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A class is frequent if it is on so many pages of its host and on so large a share of those that have elements.
-LEAST_PAGES, SHARE = 3, 0.1
+from postlens.session import scratch_path
+
+#: A class is valid on so large a share of its host's pages that have elements; texts are of a template on so many pages.
+SHARE, LEAST_PAGES = 0.1, 3
 #: Texts are of the template if they are on so large a share of the pages of the class around theirs: the first where
 #: their class holds an element, else the second.
 HALF, NEARLY_ALL = 0.5, 0.9
+#: Bytes of templates that are sent to all tasks, and pages of a host in a part of the join beyond that.
+BROADCAST, PART = 64 << 20, 10_000
 # FIXED VALUES — elements without an end tag, of furniture, and that begin a block
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("head nav header footer aside form script style noscript template button select option textarea iframe svg "
-                      "object canvas dialog menu video audio math".split())
+FURNITURE = frozenset("head nav header footer aside form script style noscript template button select option textarea dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
                    "tbody td tfoot th thead tr ul".split())
@@ -68,45 +82,30 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising ad-banner
                   "pagination pager skip-link skip-links outbrain taboola".split())
 WEAK = frozenset("notice notices notification notifications alert alerts social related discussion reply replies responses search search-form copyright "
                  "header skip".split())
-NAME = re.compile(r"[a-z]+")
+NOT_NAME = re.compile(r"[^a-z_-]+")
 
 
 class Page(HTMLParser):
-    """Blocks of text of a page: each has its path, whether furniture owns it, how near the article it is (2: in one,
-    1: in a main element, 0) and its text; ``starts`` counts element paths.  A name doesn't own what is around the longest
-    article or main element of the page, as teasers in a sidebar can be articles too."""
+    """Blocks of text of a page outside of furniture elements, each with its path; ``starts`` counts element paths."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        # each with its tag, path, elements that own it (by their numbers), nearness and the article or main element it is in
-        self.stack: list[tuple[str, str, tuple[int, ...], int, int]] = []
-        self.named: set[int] = set()
-        self.inside: dict[int, tuple[int, ...]] = {}
+        # each with its tag, path, the elements of furniture that own it (by their numbers) and whether it is in an article
+        self.stack: list[tuple[str, str, tuple[int, ...], bool]] = []
         self.n_elements = 0
         self.starts: Counter = Counter()
-        self.told: list[tuple[str, tuple[int, ...], int, int, str]] = []
+        self.blocks: list[tuple[str, str]] = []
         self.held: list[str] = []
-        self.owner: tuple[str, tuple[int, ...], int, int] | None = None
+        self.owner: tuple[str, tuple[int, ...]] | None = None
         self.feed(html)
         self.close()
         self._end_block()
-        freed = self._freed()
-        self.blocks: list[tuple[str, bool, int, str]] = [(path, not freed.issuperset(owners), near, text) for path, owners, near, _, text in self.told]
-
-    def _freed(self) -> set[int]:
-        """The elements that own by a name and are around the longest article or main element."""
-        size: Counter = Counter()
-        for _, owners, _, at, text in self.told:
-            if at and owners == self.inside[at] and at not in owners and self.named.issuperset(owners):
-                size[at] += len(text)
-        longest = max(size, key=lambda at: (size[at], -at), default=0)
-        return self.named.intersection(self.inside[longest]) if longest else set()
 
     def _end_block(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
-            if text and self.owner:
-                self.told.append((*self.owner, text))
+            if text and self.owner and not self.owner[1]:
+                self.blocks.append((self.owner[0], text))
         self.held, self.owner = [], None
 
     def _pop_to(self, tags: set[str] | frozenset, stop: frozenset) -> None:
@@ -131,29 +130,14 @@ class Page(HTMLParser):
             self._end_block()
         if tag in VOID:
             return
-        _, path, owners, near, at = self.stack[-1] if self.stack else ("", "", (), 0, 0)
-        given = dict(attrs)
-        names = " ".join(str(given.get(k) or "") for k in ("class", "id", "role")).lower()
-        label = tag + "".join(f".{n}" for n in sorted(set(NAME.findall(names))))
+        _, path, owners, inside = self.stack[-1] if self.stack else ("", "", (), False)
+        label = _label(tag, attrs)
         self.n_elements += 1
-        outer = near
-        if tag in ("article", "main") or given.get("role") == "main":
-            near = max(near, 2 if tag == "article" else 1)
-        whole = names.split()
-        by_name = tag not in ("html", "body", "main") and (not NAMES.isdisjoint(whole) or (not outer and tag != "article" and not WEAK.isdisjoint(whole)))
-        if tag not in ("html", "body", "article", "main") and (
-                (tag in FURNITURE and not (tag == "header" and near)) or "hidden" in given
-                or "display:none" in str(given.get("style") or "").replace(" ", "").lower()):
-            owners += (self.n_elements,)
-        elif by_name:
+        if tag in FURNITURE and not (tag == "header" and inside) or tag not in BLOCKS and _named(label, True):
             owners += (self.n_elements,)
-            self.named.add(self.n_elements)
-        if near > outer:
-            at = self.n_elements
-            self.inside[at] = owners
         path = f"{path}/{label}"
         self.starts[path] += 1
-        self.stack.append((tag, path, owners, near, at))
+        self.stack.append((tag, path, owners, inside or _main(label)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -174,22 +158,41 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.stack or self.stack[-1][0] in ("script", "style"):
             if not self.stack and data.strip():
-                self.owner = self.owner or ("", (), 0, 0)
+                self.owner = self.owner or ("", ())
                 self.held.append(data)
             return
-        _, path, owners, near, at = self.stack[-1]
+        _, path, owners, _ = self.stack[-1]
         if self.owner is None:
             if data.isspace():
                 return
-            self.owner = (path, owners, near, at)
+            self.owner = (path, owners)
         elif self.owner[1] != owners:  # furniture inside a line of text, and back
             if owners[:len(self.owner[1])] == self.owner[1]:
                 return
             self._end_block()
-            self.owner = (path, owners, near, at)
+            self.owner = (path, owners)
         self.held.append(data)
 
 
+def _label(tag: str, attrs: list) -> str:
+    """The tag and the names of an element, as a step of a path."""
+    given = dict(attrs)
+    names = " ".join(str(given.get(k) or "") for k in ("class", "id", "role")).lower()
+    return tag + "".join(f".{n}" for n in sorted({NOT_NAME.sub("", n) for n in names.split()}) if n)
+
+
+def _named(label: str, inside: bool) -> bool:
+    """Whether an element's names are those of furniture; ``inside`` an article or main element fewer of them are."""
+    tag, *names = label.split(".")
+    return tag not in ("html", "body", "main") and (
+        not NAMES.isdisjoint(names) or (not inside and tag != "article" and not WEAK.isdisjoint(names)))
+
+
+def _main(label: str) -> bool:
+    tag, *names = label.split(".")
+    return tag in ("article", "main") or "main" in names
+
+
 def _token(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -199,28 +202,54 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-TOKENS = "host string, page long, token long, path string, words boolean, times int, chars long"
-TEMPLATES = "host string, paths array<string>, texts array<long>, slots array<string>"
+ELEMENTS = "array<struct<path string, token long, times int, chars long>>"
+#: ``times`` is how often the same text is at the same path of the page, and 0 where it is said again.
+BLOCK = "array<struct<path string, token long, times int, text string>>"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64()]
-    names = [c.split()[0] for c in TOKENS.split(", ")]
-    for batch in batches:
-        out: list[list] = [[] for _ in kinds]
-        for where, key, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-            page = Page(html or "")
-            size = Counter()
-            said = Counter()
-            for path, owned, _, text in page.blocks:
-                if not owned:
+def parsed(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, elements, blocks`` of each page: its element paths, how often each starts and how much text
+    is at it, and its blocks of text in page order."""
+    rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, elements {ELEMENTS}, blocks {BLOCK}"
+    of_elements = pa.list_(pa.struct([("path", pa.string()), ("token", pa.int64()), ("times", pa.int32()), ("chars", pa.int64())]))
+    of_blocks = pa.list_(pa.struct([("path", pa.string()), ("token", pa.int64()), ("times", pa.int32()), ("text", pa.string())]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, blocks = [], []
+            for html in batch.column(3).to_pylist():
+                page = Page(html or "")
+                size, said = Counter(), Counter(page.blocks)
+                for path, text in page.blocks:
                     size[path] += len(text)
-                    said[path, text] += 1
-            rows = [(where, key, _token(p, ""), p, False, n, size[p]) for p, n in page.starts.items()]
-            rows += [(where, key, _token(p, t), p, True, n, n * len(t)) for (p, t), n in said.items()]
-            for col, values in zip(out, zip(*rows, strict=True) if rows else [()] * len(kinds), strict=True):
-                col.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                elements.append([{"path": p, "token": _token(p, ""), "times": n, "chars": size[p]} for p, n in page.starts.items()])
+                blocks.append([{"path": p, "token": _token(p, t), "times": said.pop((p, t), 0), "text": t} for p, t in page.blocks])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(elements, of_elements), pa.array(blocks, of_blocks)],
+                                             ["page_id", "url", "host", "elements", "blocks"])
+
+    return rows.mapInArrow(work, schema)
+
+
+def classes(read: DataFrame) -> DataFrame:
+    """The valid tokens of each host, each with the hash of its occurrence vector (its class), the pages it is on, the
+    most it is on one, and the characters of text."""
+    page = F.xxhash64("page_id", "url").alias("page")
+    paths = read.select("host", page, F.explode("elements").alias("t")).select(
+        "host", "page", "t.token", "t.path", F.lit(False).alias("words"), "t.times", "t.chars")
+    texts = read.select("host", page, F.explode("blocks").alias("t")).where("t.times > 0").select(
+        "host", "page", "t.token", "t.path", F.lit(True).alias("words"), "t.times", (F.length("t.text") * F.col("t.times")).cast("long").alias("chars"))
+    # halves of a hash, added up: unlike an exclusive or, repeated rows don't cancel out
+    one = F.xxhash64("page", "times")
+    vectors = paths.unionByName(texts).groupBy("host", "token", "words").agg(
+        F.sum(one.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(one, 33)).alias("high"), F.count(F.lit(1)).alias("pages"),
+        F.max("times").alias("most"), F.sum("chars").alias("chars"), F.first("path").alias("path"))
+    # pages without an element tell nothing of a template
+    every = read.where(F.size("elements") > 0).groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return vectors.where(f"not words or pages >= {LEAST_PAGES}") \
+        .join(every, (F.col("host") == F.col("_h")) & (F.col("pages") >= F.lit(SHARE) * F.col("n_pages"))) \
+        .select("host", "n_pages", F.xxhash64("low", "high").alias("vector"), "token", "path", "words", "most", "pages", "chars")
 
 
 def _above(path: str, known) -> str:
@@ -230,95 +259,132 @@ def _above(path: str, known) -> str:
     return path
 
 
-def nest(tokens: list[dict], n_pages: int) -> tuple[list[str], list[int], list[str]]:
-    """A host's template from its frequent tokens (vector, token, path, words, most, pages, chars): its paths, its texts,
-    and its slots, the one with the most text first."""
-    classes: dict = {}
+def _step(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
+def _around(path: str) -> Iterator[str]:
+    """The paths above a path, the nearest first."""
+    while path := path.rpartition("/")[0]:
+        yield path
+
+
+def nest(tokens: list[dict], n_pages: int) -> tuple[list[str], list[int], list[str], list[float], list[str]]:
+    """A host's template from its valid tokens (vector, token, path, words, most, pages, chars): its paths, its texts,
+    its slots and how much text other than its own each holds on the average page that has it, and the paths that
+    furniture's names leave out."""
+    vectors: dict = {}
     for t in tokens:
-        classes.setdefault((t["pages"], t["vector"]), []).append(t)
+        vectors.setdefault((t["pages"], t["vector"]), []).append(t)
     once = {t["path"]: t["pages"] for t in tokens if not t["words"] and t["most"] == 1}
-    paths, texts, size = [], [], Counter()
-    for (pages, _), own in classes.items():
+    paths, texts = set(), []
+    size: Counter = Counter({t["path"]: t["chars"] for t in tokens if not t["words"]})
+    for (pages, _), own in vectors.items():
         holds = any(not t["words"] and t["most"] == 1 for t in own)
         for t in own:
             if not t["words"]:
                 # an element that shares its vector with no other token isn't of a template unless it is nearly everywhere
                 if t["most"] == 1 and (len(own) > 1 or pages >= NEARLY_ALL * n_pages):
-                    paths.append(t["path"])
+                    paths.add(t["path"])
                 continue
             # the class of a text nests in the class of the deepest path around it that is once on a page
             around = once.get(_above(t["path"], once), n_pages)
             if pages >= (HALF if holds else NEARLY_ALL) * around:
                 texts.append(t["token"])
                 size[t["path"]] -= t["chars"]
-    slots = {p for p in paths if p.rpartition("/")[2].partition(".")[0] in HOLDERS}
-    for t in tokens:
-        if not t["words"]:
-            size[t["path"]] += t["chars"]
-    held: Counter = Counter()
-    for path, chars in size.items():
-        held[_above(path, slots)] += chars
-    return sorted(paths), sorted(texts), sorted((p for p in slots if held[p] > 0), key=lambda p: (-held[p], p))
+    if not any(size.values()):  # nothing but copies of pages
+        size = Counter({t["path"]: t["chars"] for t in tokens if not t["words"]})
 
+    def held(left: set[str]) -> Counter:
+        out: Counter = Counter()
+        for path, chars in size.items():
+            if not _above(path, left):
+                for above in (path, *_around(path)):
+                    out[above] += chars
+        return out
 
-def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [nest(t, n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n_pages").to_pylist(), strict=True)]
-        cols = [pa.array([m[i] for m in made], pa.list_(k)) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), *cols], names=["host", "paths", "texts", "slots"])
+    named = {p for p in paths if _named(_step(p), any(_main(_step(a)) for a in _around(p)))}
+    whole = held(set())
+    largest = max((p for p in paths if _main(_step(p)) and p not in named), key=lambda p: (whole[p], p), default="")
+    left = named - set(_around(largest))
+    free = held(left)
+    slots = sorted((p for p in paths if _step(p).partition(".")[0] in HOLDERS and not _above(p, left) and free[p] > 0),
+                   key=lambda p: (-free[p] / once[p], p))
+    return sorted(paths), sorted(texts), slots, [free[p] / once[p] for p in slots], sorted(left)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """One row for each host that has a template: its paths, its texts, and its slots, the largest first."""
-    rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    tokens = rows.mapInArrow(_tokens, TOKENS)
-    # halves of a hash, added up: unlike an exclusive or, repeated rows don't cancel out
-    one = F.xxhash64("page", "times")
-    vectors = tokens.groupBy("host", "token", "words").agg(
-        F.sum(one.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(one, 33)).alias("high"), F.count(F.lit(1)).alias("pages"),
-        F.max("times").alias("most"), F.sum("chars").alias("chars"), F.first("path").alias("path"))
-    # pages without a start tag tell nothing of a template
-    every = rows.where(F.col("html").rlike("<[A-Za-z]")).groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("n_pages"))
-    # frequent tokens: a host's are at most 1 / SHARE times those of its mean page
-    often = vectors.where(f"pages >= {LEAST_PAGES}") \
-        .join(every, (F.col("host") == F.col("_h")) & (F.col("pages") >= F.lit(SHARE) * F.col("n_pages")))
-    own = F.struct(F.xxhash64("low", "high").alias("vector"), "token", "path", "words", "most", "pages", "chars")
-    return often.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(own).alias("tokens")).mapInArrow(_nested, TEMPLATES)
-
-
-def main_text(html: str | None, texts: list[int], slots: list[str]) -> str:
-    """The main text of one page under its host's template."""
-    if not html:
-        return ""
-    page = Page(html)
-    left = set(texts)
-    free = [(path, near, text, _token(path, text) not in left) for path, owned, near, text in page.blocks if not owned]
-    nearest = max((near for _, near, _, _ in free), default=0)
-    if nearest:  # names of tags choose among the slots
-        chosen = [b for b in free if b[1] == nearest]
+TEMPLATES = "host string, pages long, paths array<string>, texts array<long>, slots array<string>, sizes array<double>, left array<string>"
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.string())
+    for batch in batches:
+        made = [nest(t, n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+        cols = [pa.array([m[i] for m in made], pa.list_(k)) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("pages"), *cols], [c.split()[0] for c in TEMPLATES.split(", ")])
+
+
+def templates(read: DataFrame) -> DataFrame:
+    """One row for each host with a page that has elements, from ``parsed`` pages.  A host's valid tokens are at most
+    1 / SHARE times those of its mean page."""
+    own = F.struct("vector", "token", "path", "words", "most", "pages", "chars")
+    return classes(read).groupBy("host").agg(F.first("n_pages").alias("pages"), F.collect_list(own).alias("tokens")).mapInArrow(_nested, TEMPLATES)
+
+
+def main_text(blocks: list[tuple[str, int, str]], once: set[str], texts: list[int], slots: list[str], sizes: list[float], left: list[str]) -> str:
+    """The main text of one page from its blocks (path, token, text) and the paths that are once on it, under its host's
+    template."""
+    told, out = set(texts), set(left)
+    free = [(path, text, token not in told) for path, token, text in blocks if not _above(path, out)]
+    here = {p: size for p, size in zip(slots, sizes, strict=True) if p in once}
+    least = HALF * max(here.values(), default=0)
+    full = [p for p, size in here.items() if size >= least]
+    # as good by their text: the outermost article, the outermost main element, then the innermost
+    kinds = {p: 0 if _step(p).startswith("article") else 1 if _main(_step(p)) else 2 for p in full}
+    for base in sorted(full, key=lambda p: (kinds[p], len(p) if kinds[p] < 2 else -len(p), p)):
+        chosen = [b for b in free if b[0] == base or b[0].startswith(base + "/")]
+        if any(new for *_, new in chosen):
+            break
     else:
-        # the host's largest slot that is on the page and holds text of its own there
-        here = {s for s in slots if page.starts[s] == 1}
-        below = {_above(path, here) for path, _, _, new in free if new}
-        base = next((s for s in slots if any(b == s or b.startswith(s + "/") for b in below)), "")
-        chosen = [b for b in free if not base or b[0] == base or b[0].startswith(base + "/")]
-    own = [text for *_, text, new in chosen if new]
-    # copies of a page on its host look like a template: where most of an article or the whole of a page is repeated, it stays
-    if not own or (nearest == 2 and 2 * sum(map(len, own)) < sum(len(b[2]) for b in chosen)):
-        own = [text for _, _, text, _ in chosen]
+        base, chosen = "", free
+    own = [text for _, text, new in chosen if new]
+    # copies of a page on its host look like a template: where most of a slot or the whole of a page is repeated, it stays
+    if not own or (base and _step(base).partition(".")[0] not in ("html", "body") and 2 * sum(map(len, own)) < sum(len(b[1]) for b in chosen)):
+        own = [text for _, text, _ in chosen]
     return "\n\n".join(own)
 
 
+def joined(read: DataFrame, made: DataFrame) -> DataFrame:
+    """The parsed pages with their hosts' templates."""
+    made = made.select(F.col("host").alias("_h"), "pages", "texts", "slots", "sizes", "left")
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 16)
+    total = made.agg(F.sum(F.length("_h") + 64 + F.size("texts") * 8 + F.size("sizes") * 8 + chars(F.col("slots")) + chars(F.col("left")))).first()[0] or 0
+    if total <= BROADCAST:
+        return read.join(F.broadcast(made.drop("pages")), F.col("host") == F.col("_h"), "left")
+    # the parts of a host, as many as its pages make; few hosts have more than one
+    parts = F.ceil(F.col("pages") / PART).cast("int")
+    large = made.where(parts > 1).select(F.col("_h").alias("_l"), parts.alias("parts"))
+    read = read.join(large, F.col("host") == F.col("_l"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int"))
+    made = made.withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return read.join(made, (F.col("host") == F.col("_h")) & (F.col("part") == F.col("_p")), "left")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page."""
-    made = templates(pages).select(F.col("host").alias("_h"), "texts", "slots")
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    rows = rows.join(made, F.col("host") == F.col("_h"), "left").select("page_id", "url", "html", "texts", "slots")
+    spark = pages.sparkSession
+    path = scratch_path(spark, "pages-parsed")
+    parsed(pages).write.parquet(path)
+    read = spark.read.parquet(path)
+    path = scratch_path(spark, "page-templates")
+    templates(read).write.parquet(path)
+    once = F.transform(F.filter("elements", lambda e: e["times"] == 1), lambda e: e["path"])
+    rows = joined(read, spark.read.parquet(path)).select("page_id", "url", once.alias("once"), "blocks", "texts", "slots", "sizes", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("html", "texts", "slots")]
-            out = [main_text(h, t or [], s or []) for h, t, s in zip(*cols, strict=True)]
+            cols = [batch.column(n).to_pylist() for n in ("blocks", "once", "texts", "slots", "sizes", "left")]
+            out = [main_text([(b["path"], b["token"], b["text"]) for b in blocks], set(once), *(x or [] for x in made))
+                   for blocks, once, *made in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

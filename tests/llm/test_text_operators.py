@@ -493,7 +493,7 @@ def test_pages_of_the_table(spark):
 
 def test_classes_of_occurrence_vectors(spark):
     rows = [(i, "http://c.example/", page("<div id=top><p>Same</p></div>" + "<ul>" + "<li>x</li>" * (i + 1) + "</ul>")) for i in range(4)]
-    made = html_template.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    made = html_template.templates(html_template.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"))).first()
     assert {p.rpartition("/")[2] for p in made["paths"]} >= {"html", "body", "ul", "div.top"}
     assert not any(p.endswith("/li") for p in made["paths"])
     assert html_template._token("/html/body/div.top/p", "Same") in made["texts"]
@@ -541,3 +541,82 @@ def test_names_own_whole_and_not_what_is_around_the_article(spark):
     # names still own what is in the article, and hidden or furniture elements own articles too
     body = "<article><p>Kept <span class=share>Share</span> whole</p><div class='box share'>Share</div></article><aside><article>A longer text in an aside</article></aside>"
     assert extract(spark, [(1, "http://h.example/1", page(body))]) == {1: "Kept whole"}
+
+
+def parsed_rows(spark, sf_dir):
+    read = html_template.parsed(spark.read.parquet(f"{sf_dir}/pages.parquet")).cache()
+    return read, read.collect(), {r["host"]: r for r in html_template.templates(read).collect()}
+
+
+def test_classes_against_whole_occurrence_vectors(spark):
+    read, rows, made = parsed_rows(spark, "/root/testdata/sf0.01")
+    got = {}
+    for r in html_template.classes(read).collect():
+        got.setdefault(r["host"], {}).setdefault((r["pages"], r["vector"]), set()).add((r["path"], r["token"], r["words"]))
+    by_host = {}
+    for r in rows:
+        by_host.setdefault(r["host"], []).append(r)
+    for host, pages in by_host.items():
+        vectors = {}
+        for i, r in enumerate(pages):
+            for e in r["elements"]:
+                vectors.setdefault((e["path"], e["token"], False), {})[i] = e["times"]
+            for b in r["blocks"]:
+                at = vectors.setdefault((b["path"], b["token"], True), {})
+                at[i] = at.get(i, 0) + 1
+        n = sum(bool(r["elements"]) for r in pages)
+        same = {}
+        for token, v in vectors.items():
+            if len(v) >= 0.1 * n and (not token[2] or len(v) >= 3):
+                same.setdefault(tuple(sorted(v.items())), set()).add(token)
+        assert sorted(map(sorted, same.values())) == sorted(map(sorted, got[host].values()))
+        # the template's paths, plainly: once on each of their pages, and in company or nearly everywhere
+        want = {t[0] for v, own in same.items() for t in own if not t[2] and {k for _, k in v} == {1} and (len(own) > 1 or len(v) >= 0.9 * n)}
+        assert want == set(made[host]["paths"])
+        # what a slot holds, plainly: characters below it outside of what is left out, over the pages that have it
+        for slot, size in zip(made[host]["slots"], made[host]["sizes"], strict=True):
+            below = lambda p, top: p == top or p.startswith(top + "/")
+            common = {t[0] for own in same.values() for t in own if not t[2]}
+            chars = sum(len(b["text"]) for r in pages for b in r["blocks"] if below(b["path"], slot) and b["path"] in common and b["token"] not in made[host]["texts"]
+                        and not any(below(b["path"], x) for x in made[host]["left"]))
+            assert size == pytest.approx(chars / sum(slot in {e["path"] for e in r["elements"]} for r in pages))
+
+
+def test_the_template_decides_the_pages_of_the_table(spark):
+    _, rows, made = parsed_rows(spark, "/root/testdata/sf0.01")
+    changed = {"template": 0, "slots": 0, "names": 0}
+    for r in rows:
+        blocks = [(b["path"], b["token"], b["text"]) for b in r["blocks"]]
+        once = {e["path"] for e in r["elements"] if e["times"] == 1}
+        t = made[r["host"]]
+        text = html_template.main_text(blocks, once, t["texts"], t["slots"], t["sizes"], t["left"])
+        changed["template"] += text != html_template.main_text(blocks, once, [], [], [], [])
+        changed["slots"] += text != html_template.main_text(blocks, once, t["texts"], [], [], [])
+        changed["names"] += text != html_template.main_text(blocks, once, t["texts"], t["slots"], t["sizes"], [])
+    # without the template the adverts stay; without its names, but with its slots, only where a host's are larger than half of its articles
+    assert changed["template"] > 100 and changed["slots"] > 100 and changed["names"] < changed["template"] / 2
+
+
+def test_the_largest_slot_wins_whatever_its_tag(spark):
+    def made(i):
+        return page(f"<article><p>Teaser {i}</p></article><div class=story><p>Story {i} is told here at great length, far longer than teasers are</p></div>")
+
+    assert extract(spark, [(i, f"http://i.example/{i}", made(i)) for i in range(5)]) == {
+        i: f"Story {i} is told here at great length, far longer than teasers are" for i in range(5)}
+
+
+def test_only_listed_furniture_is_left_out(spark):
+    body = "<article><p>A <math><mi>x</mi></math> b</p><svg><text>c</text></svg><div hidden>d</div><p>e <object>f</object></p></article>"
+    assert extract(spark, [(1, "http://j.example/1", page(body))]) == {1: "A x b\n\nc\n\nd\n\ne f"}
+
+
+def test_no_pages_odd_columns_and_large_hosts(spark, monkeypatch):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_template.extract(empty).collect() == [] and html_template.extract(empty).columns == ["page_id", "url", "text", "n_chars"]
+    rows = [(i, f"http://{'k' if i % 3 else 'l'}.example/{i}", page(f"<div class=ad>Buy {i}</div><article>Story {i} is told here</article>")) for i in range(60)]
+    rows += [(None, None, None), (1, rows[1][1], rows[1][2])]
+    want = sorted((r[0] is None, r[0], f"Story {r[0]} is told here" if r[2] else "") for r in rows)
+    monkeypatch.setattr(html_template, "BROADCAST", -1)
+    monkeypatch.setattr(html_template, "PART", 7)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "page_id long, url string, html string, text int, host int, pages int")
+    assert sorted((r["page_id"] is None, r["page_id"], r["text"]) for r in html_template.extract(df).collect()) == want
