@@ -6,12 +6,18 @@ words, sorting anew only positions that still share a rank.  Ranks of all
 lengths are kept and give the longest common prefix of neighbours in the
 array.  The deepest common-prefix interval around a suffix is the longest
 repeat that starts there; a repeat is maximal if the one starting a word
-earlier doesn't run over it.  Spans of maximal repeats of at least ``window``
-words are joined; a text fails if they cover too many of its characters or if
-one of them is too long.
+earlier doesn't run over it.  Spans of maximal repeats are joined, for repeats
+of at least 5 words, of at least 6 and so on to 10; a text fails if spans of any
+such length cover too many of its characters - the longer the repeats, the fewer
+may be covered - or if one repeat is too long.  So a line said twice fails a
+short text and not a long one, and a passage of more than 50 words said twice
+fails any text, though few of its words may be repeated.
 
 A map over Arrow batches: no shuffle; memory is bounded by one batch, which is
 worked on in pieces of about ``PIECE`` words (a single longer text is one piece).
+Doubling ends when no two suffixes share a rank, so the ranks that are held are 8
+bytes a word times the logarithm of the longest repeat: 5 arrays for repeats of
+up to 31 words, 20 for a text that is one passage of a million words said twice.
 
 Defined cases: null, empty and blank texts have no words and fail the base
 rule; very long texts are taken whole; repeated rows give repeated results; an
@@ -32,12 +38,13 @@ from postlens.llm.common import per_text, struct, words
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: The method's limits: covered share of a text's characters, words of the longest repeat.
-MOST_COVERED, LONGEST = 0.2, 100
+#: The method's limits: share of a text's characters that repeats of at least so many words may cover (0.15 for 5 words,
+#: 0.01 less for each word more, as in published rules for duplicate n-grams), and words of the longest repeat.
+MOST_COVERED, LONGEST = tuple((n, (20 - n) / 100) for n in range(5, 11)), 50
 PIECE = 200_000
 
 FIELDS = struct(n_words="long", word_chars="long", n_symbols="long", n_dup_lines="long", n_repeat_words="long",
-                n_repeats="long", longest_repeat="long", covered="double")
+                n_repeats="long", longest_repeat="long", covered="double", covered_over="double")
 
 
 def longest_repeats(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -94,13 +101,23 @@ def longest_repeats(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return longest
 
 
-def _piece(texts: list[list[bytes]]) -> list[tuple[int, int, int, float]]:
-    """Repeated words, maximal repeats, longest repeat and covered share of characters for each text's words."""
+def _covered(longest: np.ndarray, least: int) -> np.ndarray:
+    """The words in repeats of at least ``least`` words."""
+    edge = np.zeros(len(longest) + 1, np.int64)
+    p = np.flatnonzero(longest >= least)
+    np.add.at(edge, p, 1)
+    np.add.at(edge, p + longest[p], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _piece(texts: list[list[bytes]], most_covered: tuple) -> list[tuple[int, int, int, float, float]]:
+    """Repeated words, maximal repeats, longest repeat, covered share of characters for each text's words, and by how
+    much that is over the limit of any length of repeats."""
     counts = [len(t) for t in texts]
     flat = [w for t in texts for w in t]
     n = len(flat)
     if not n:
-        return [(0, 0, 0, 0.0)] * len(texts)
+        return [(0, 0, 0, 0.0, -1.0)] * len(texts)
     ids = pd.factorize(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, n))[0]
     stops = np.cumsum(counts)
     ends = np.repeat(stops, counts)
@@ -109,31 +126,30 @@ def _piece(texts: list[list[bytes]]) -> list[tuple[int, int, int, float]]:
     before = np.r_[0, longest[:-1]] - 1  # what the repeat one word earlier leaves here
     before[np.r_[0, stops[:-1]][np.array(counts) > 0]] = -1
     maximal = hit & ((longest > before) | (before < WINDOW - 1))
-    edge = np.zeros(n + 1, np.int64)
-    p = np.flatnonzero(hit)
-    np.add.at(edge, p, 1)
-    np.add.at(edge, p + longest[p], -1)
-    covered = np.cumsum(edge[:-1]) > 0
+    covered = _covered(longest, WINDOW)
+    by_length = [(_covered(longest, least), most) for least, most in most_covered]
     novel = np.flatnonzero(np.r_[True, ids[1:] > np.maximum.accumulate(ids)[:-1]])  # ids number words as they first occur
     chars = np.array([len(flat[i].decode("utf-8", "surrogatepass")) for i in novel.tolist()], np.int64)[ids]
     out, lo = [], 0
     for hi in stops.tolist():
         c = covered[lo:hi]
         top = longest[lo:hi][hit[lo:hi]]
-        out.append((int(c.sum()), int(maximal[lo:hi].sum()), int(top.max(initial=0)), float(chars[lo:hi][c].sum() / max(1, chars[lo:hi].sum()))))
+        total = max(1, chars[lo:hi].sum())
+        over = max((float(chars[lo:hi][of[lo:hi]].sum() / total) - most for of, most in by_length), default=-1.0)
+        out.append((int(c.sum()), int(maximal[lo:hi].sum()), int(top.max(initial=0)), float(chars[lo:hi][c].sum() / total), over))
         lo = hi
     return out
 
 
-def _measure(texts: list[str | None]) -> dict:
+def _measure(texts: list[str | None], most_covered: tuple = MOST_COVERED) -> dict:
     out: dict = {f: [] for f in FIELDS.fieldNames()}
     held: list[list[bytes]] = []
     total = 0
 
     def flush() -> None:
         nonlocal held, total
-        for repeated, repeats, longest, share in _piece(held):
-            for f, v in zip(("n_repeat_words", "n_repeats", "longest_repeat", "covered"), (repeated, repeats, longest, share), strict=True):
+        for values in _piece(held, most_covered):
+            for f, v in zip(("n_repeat_words", "n_repeats", "longest_repeat", "covered", "covered_over"), values, strict=True):
                 out[f].append(v)
         held, total = [], 0
 
@@ -158,16 +174,17 @@ def _measure(texts: list[str | None]) -> dict:
     return out
 
 
-def measured(text: Column | str) -> Column:
+def measured(text: Column | str, most_covered: tuple = MOST_COVERED) -> Column:
     """A struct of ``FIELDS`` for a text column."""
-    return per_text(lambda: _measure, FIELDS, text)
+    return per_text(lambda: lambda texts: _measure(texts, most_covered), FIELDS, text)
 
 
-def rules(docs: DataFrame, most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
-    """The measures and verdicts of each document: ``base_failed`` (few words or many repeated ones) and ``kept``
-    (neither that, nor repeats that cover more than ``most_covered`` of its characters or run beyond ``longest`` words)."""
-    rows = docs.select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*")
+def rules(docs: DataFrame, most_covered: tuple = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
+    """The measures and verdicts of each document: ``base_failed`` (few words or many repeated ones) and ``kept``: neither
+    that, nor repeats that cover more of its characters than ``most_covered`` says (pairs of least words and share), nor
+    one beyond ``longest`` words."""
+    rows = docs.select("doc_id", measured(F.col("text"), most_covered).alias("m")).select("doc_id", "m.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    fine = (F.col("covered") <= most_covered) & (F.col("longest_repeat") <= longest)
+    fine = (F.col("covered_over") <= 0) & (F.col("longest_repeat") <= longest)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), (~failed & fine).alias("kept"), "n_repeats", "longest_repeat", "covered")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -109,7 +110,9 @@ def test_longest_repeats_against_all_pairs():
 
 
 def test_quality_rules_against_plain_rules(spark, docs):
+    docs = docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in repetition.rules(docs).collect()}
+    alone = 0
     for doc_id, text in docs.select("doc_id", "text").collect():
         own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         seen, again = set(), 0
@@ -118,18 +121,44 @@ def test_quality_rules_against_plain_rules(spark, docs):
                 again += line in seen
                 seen.add(line)
         windows = [tuple(own[i:i + 5]) for i in range(len(own) - 4)]
-        hit = set()
-        for i, w in enumerate(windows):
-            if windows.count(w) > 1 if len(windows) < 400 else pd.Series(windows).value_counts()[w] > 1:
-                hit.update(range(i, i + 5))
+        often = Counter(windows)
+        hit = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
         r = got[doc_id]
-        if len(windows) < 400:
-            assert r["n_repeat_words"] == len(hit)
+        assert r["n_repeat_words"] == len(hit)
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"]) == (len(own), sum(map(len, own)), again)
         assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text or ""))
         assert r["base_failed"] == (len(own) < 10 or 100 * r["n_repeat_words"] > 20 * len(own))
         assert not (r["base_failed"] and r["kept"])
 
+        def said_twice(n):
+            at = {}
+            for i in range(len(own) - n + 1):
+                at.setdefault(tuple(own[i:i + n]), []).append(i)
+            return {i + k for places in at.values() if len(places) > 1 for i in places for k in range(n)}
+
+        total = sum(map(len, own))
+        fine = all(sum(len(own[i]) for i in said_twice(n)) / max(1, total) <= most for n, most in repetition.MOST_COVERED)
+        assert r["kept"] == (not r["base_failed"] and fine and not said_twice(51))
+        alone += not r["base_failed"] and not r["kept"]
+    assert alone  # the method rejects some that the base rule lets through
+
+
+def test_each_limit_of_the_method(spark):
+    rng = random.Random(6)
+    new = lambda n: " ".join(f"w{rng.randrange(10**8, 10**9)}" for _ in range(n))
+
+    def twice(said, rest):
+        passage = new(said)
+        return f"{passage} {new(rest // 2)} {passage} {new(rest - rest // 2)}"
+
+    # of 1000 words, so many are in a passage of a length that is said twice or in several such passages
+    cases = [(twice(50, 2000), True), (twice(51, 2000), False), (twice(5, 90), True), (twice(5, 50), False), (twice(10, 181), True), (twice(10, 170), False),
+             (" ".join(twice(5, 60) for _ in range(9)), True), (" ".join(twice(5, 52) for _ in range(9)), False), (" ".join(twice(9, 150) for _ in range(9)), True),
+             (" ".join(twice(9, 140) for _ in range(9)), False)]
+    rows = {r["doc_id"]: r for r in repetition.rules(frame(spark, [t for t, _ in cases])).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert [rows[i]["kept"] for i in range(len(cases))] == [k for _, k in cases]
+
 
 def test_quality_rules_limits(spark):
     rng = random.Random(1)
