@@ -8,9 +8,12 @@ by spherical k-means; a text gets the language of the centroid with the
 largest cosine.  It is marked as rejected if its distance from that centroid
 is larger than those of nearly all texts the centroid was made from.
 
-The fit reads a bounded sample (about ``SAMPLE`` texts of each language, by a
-hash of their ids) on the driver, as sparse counts; prediction is a map over
-Arrow batches of whole texts, without a shuffle.
+Centroids are fitted on the driver from a bounded sample: about ``SAMPLE``
+different texts of each language, by a hash of id and text, as sparse counts.
+Document frequencies and the distances behind the limits are those of all
+documents that may be learned from: tasks count, and Spark adds up one row for
+each dimension, and one for each centroid and step of distance.  Prediction is a
+map over Arrow batches of whole texts, without a shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 a null language is not learned from; with nothing to learn from all are
@@ -20,15 +23,18 @@ repeated results; an empty table gives no row; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import crc_held_out, per_text, struct
 
 DIMS, GRAMS, CLUSTERS, SAMPLE, SHARPNESS = 1 << 13, 4, 4, 400, 25.0
-#: Share of the sample whose distances lie within the limit, and room beyond these.
-WITHIN, ROOM = 0.995, 1.15
+#: Share of a language's texts whose distances lie within the limit, room beyond these, and steps in which distances are counted.
+WITHIN, ROOM, STEPS = 0.995, 1.15, 2000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -83,25 +89,36 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 class Model:
     """Inverse document frequencies, centroids with their languages, and the distance up to which each accepts."""
 
-    def __init__(self, rows: list[tuple[str, np.ndarray]], clusters: int = CLUSTERS) -> None:
+    def __init__(self, rows: list[tuple[str, np.ndarray]], frequencies: np.ndarray, n: int, clusters: int = CLUSTERS) -> None:
+        """From a sample of languages and counts, and how many of all ``n`` documents have each dimension."""
         self.langs = sorted({lang for lang, _ in rows})
         x = np.array([c for _, c in rows]) if rows else np.zeros((0, DIMS), np.int64)
-        self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
+        self.idf = (np.log((1 + n) / (1 + frequencies)) + 0.1).astype(np.float32)
         vectors = self.vectors(x)
-        of, centres, limits = [], [], []
+        of, centres = [], []
         for i, lang in enumerate(self.langs):
-            own = vectors[[a == lang for a, _ in rows]]
-            found = _clusters(own, clusters)
-            near = own @ found.T
-            usual = np.quantile(1 - near.max(1), WITHIN)
-            for j in range(len(found)):
-                mine = 1 - near[near.argmax(1) == j, j]
-                limits.append(ROOM * float(max(usual, np.quantile(mine, WITHIN) if len(mine) else 0.0)))
+            found = _clusters(vectors[[a == lang for a, _ in rows]], clusters)
             of += [i] * len(found)
             centres.append(found)
         self.of = np.array(of, int)
         self.centres = np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, DIMS), np.float32)
-        self.limits = np.array(limits)
+        self.limits = np.full(len(self.of), np.inf)
+
+    def limit(self, steps: np.ndarray) -> None:
+        """The limits, from how many documents of a centroid's language lie nearest to it at each step of distance."""
+        def at(counted: np.ndarray) -> float:
+            if not counted.sum():
+                return 0.0
+            return float((np.searchsorted(np.cumsum(counted), WITHIN * counted.sum()) + 1) * 2 / STEPS)
+
+        usual = [at(steps[self.of == i].sum(0)) for i in range(len(self.langs))]
+        self.limits = np.array([ROOM * max(usual[i], at(own)) for i, own in zip(self.of, steps, strict=True)])
+
+    def nearest(self, lang: str, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For texts of a language, its nearest centroid and the step of the distance to it."""
+        own = np.flatnonzero(self.of == self.langs.index(lang))
+        near = vectors @ self.centres[own].T
+        return own[near.argmax(1)], np.clip((1 - near.max(1)) * STEPS / 2, 0, STEPS - 1).astype(int)
 
     def vectors(self, x: np.ndarray) -> np.ndarray:
         """Rows of counts as weighted vectors of length 1."""
@@ -127,10 +144,15 @@ class Model:
         return {"lang_pred": lang, "score": score, "rejected": rejected}
 
 
-def sampled(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray]]:
-    """Language and counts of about ``sample`` texts of each language, without held-out ids."""
-    known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(~crc_held_out())
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+def learnable(docs: DataFrame) -> DataFrame:
+    """Language and text of the documents that may be learned from."""
+    known = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("own"), (~crc_held_out()).alias("may"))
+    return known.where("may and lang is not null and text is not null").drop("may")
+
+
+def sampled(known: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray]]:
+    """Language and counts of about ``sample`` texts of each language, rows alike in id and text taken once."""
+    u = F.pmod(F.col("own"), F.lit(1 << 20))
     bound = F.lit(0)
     for r in known.groupBy("lang").count().collect():  # a row for each language
         bound = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, sample / r["count"]) * (1 << 20)) + 1)).otherwise(bound)
@@ -143,8 +165,8 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray
                     "times": [None if c is None else np.minimum(c[c > 0], 1 << 30).astype("<u4").tobytes() for c in found]}
         return sparse
 
-    rows = chosen.select("doc_id", "lang", per_text(make, struct(grams="binary", times="binary"), F.col("text")).alias("v")) \
-        .select("doc_id", "lang", "v.*").where("grams is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
+    rows = chosen.select("own", "lang", per_text(make, struct(grams="binary", times="binary"), F.col("text")).alias("v")) \
+        .select("own", "lang", "v.*").where("grams is not null").dropDuplicates(["own", "lang"]).orderBy("own", "lang").collect()
     out = []
     for r in rows:
         c = np.zeros(DIMS, np.int64)
@@ -153,6 +175,55 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray
     return out
 
 
+def _tallied(known: DataFrame, shape: tuple[int, int], make) -> np.ndarray:
+    """The sum over all batches of ``make(languages, texts)``, a matrix of counts: within tasks first, then entry by entry."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                total += make(batch.column(0).slice(lo, 64).to_pylist(), batch.column(1).slice(lo, 64).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    for r in known.select("lang", "text").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(shape)
+
+
+def fitted(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
+    """The model that documents with a language, other than held-out ones, give."""
+    known = learnable(docs)
+    rows = sampled(known, sample)
+    if not rows:
+        return Model([], np.zeros(DIMS, np.int64), 0)
+
+    def present(langs: list, texts: list) -> np.ndarray:
+        total = np.zeros((1, DIMS + 1), np.int64)  # the last counts documents
+        for text in texts:
+            if (c := counts(text)) is not None:
+                total[0, :DIMS] += c > 0
+                total[0, DIMS] += 1
+        return total
+
+    had = _tallied(known, (1, DIMS + 1), present)[0]
+    model = Model(rows, had[:DIMS], int(had[DIMS]), clusters)
+
+    def steps(langs: list, texts: list) -> np.ndarray:
+        total = np.zeros((len(model.of), STEPS), np.int64)
+        found: dict = {}
+        for lang, text in zip(langs, texts, strict=True):
+            if lang in model.langs and (c := counts(text)) is not None:
+                found.setdefault(lang, []).append(c)
+        for lang, own in found.items():
+            np.add.at(total, model.nearest(lang, model.vectors(np.array(own))), 1)
+        return total
+
+    model.limit(_tallied(known, (len(model.of), STEPS), steps))
+    return model
+
+
 def predicted(text: Column | str, model: Model) -> Column:
     """A struct ``lang_pred, score, rejected`` for a text column."""
     return per_text(lambda: model.predict, struct(lang_pred="string", score="double", rejected="boolean"), text)
@@ -161,5 +232,5 @@ def predicted(text: Column | str, model: Model) -> Column:
 def identify(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected``: the language of the nearest centroid, its share among the
     languages' softmax of cosines, and whether the text lies beyond the centroid's limit."""
-    model = Model(sampled(docs, sample), clusters)
+    model = fitted(docs, sample, clusters)
     return docs.select("doc_id", crc_held_out().alias("held_out"), predicted(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")

@@ -6,7 +6,8 @@ beyond ``epochs`` times its words: what would is dealt again by weight to the
 others (water filling, solved in one pass over the sources sorted by cap for
 each unit of weight).
 
-Within a source, documents stand in the order of a hash of their id.  The
+Within a source, documents stand in the order of a hash of their id, or of
+their text where they have none.  The
 prefix sums of their sizes are made in three levels, so that no source, however
 large, is summed by one task: documents fall by their hash into fine buckets
 of about ``BUCKET`` documents, these into coarse ones of as many fine ones; a
@@ -35,18 +36,20 @@ SHARE = 1.5
 EPOCHS = 2
 #: Documents expected in a fine bucket, and fine buckets in a coarse one.
 BUCKET = 1000
+#: Sources (a row each) whose ends are sent to all tasks; of more than these they are joined.
+SOURCES = 100_000
 
 
-def order_key(doc_id: Column) -> Column:
-    """52 bits of the MD5 of the id as text, as a long; null ids count as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
+def order_key(doc_id: Column, text: Column) -> Column:
+    """52 bits of the MD5 of the id as text, or of the text where the id is null, as a long."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """Id, source, size in words and order key of each document."""
     return docs.select("doc_id", "source",
                        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       order_key(F.col("doc_id")).alias("key"))
+                       order_key(F.col("doc_id"), F.col("text")).alias("key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -72,6 +75,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and, after these, ``source`` and the place ``starts``: the words
     of the source that stand before the document."""
+    return placed(docs, weights, share, epochs).select("doc_id", "size", "source_size", "target", "taken", "source", "starts")
+
+
+def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """What ``mix`` gives, with the order ``key`` and the full epochs, ``turns``, and words of the last one, ``last``."""
     sizes = sized(docs)
     of = targets(sizes, weights, share, epochs)
     rows = sizes.join(of.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
@@ -95,27 +103,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     turns = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = budget - turns * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("starts")))
-    return rows.select("doc_id", "size", "source_size", "target",
-                       (turns * F.col("size") + last).cast("long").alias("taken"), "source", "starts")
+    return rows.select("doc_id", "size", "source_size", "target", (turns * F.col("size") + last).cast("long").alias("taken"), "source", "starts",
+                       "key", turns.alias("turns"), last.alias("last"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each as often as its source's epochs take it.  The
     document on which the last budget ends comes whole if at least half of it is within.  Documents without a word
-    are in no mix."""
-    n, t, k = fresh(docs, "times"), fresh(docs, "time"), fresh(docs, "mix_id")
-    of = mix(docs, weights, share, epochs).where("size > 0")
-    # rows that share an id are alike to the mix if their sizes and sources agree too
-    of = of.select(F.col("doc_id").alias(k), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(n)).where(F.col(n) > 0)
-    of = of.groupBy(k).agg(F.sum(n).cast("int").alias(n), F.count(F.lit(1)).alias(t))
-    of = of.select(k, F.ceil(F.col(n) / F.col(t)).cast("int").alias(n))
-    out = docs.join(of, F.col("doc_id").eqNullSafe(F.col(k))).where(F.regexp_count("text", F.lit(WORD)) > 0)
-    return out.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    are in no mix; rows alike in id, size and source come equally often.
+
+    A source's last epoch takes what stands up to one document, so a row a source says how often each document comes,
+    and texts stay where they are."""
+    rank, ends, time, own = (fresh(docs, n) for n in ("mix_rank", "mix_ends", "mix_time", "mix_source"))
+    of = placed(docs, weights, share, epochs).where("size > 0")
+    ends_of = of.groupBy(F.col("source").alias(own)).agg(
+        F.struct(F.max("turns").alias("turns"), F.max(F.when(2 * F.col("last") >= F.col("size"), F.struct("key", "doc_id", "size"))).alias("end")).alias(ends))
+    if ends_of.limit(SOURCES + 1).count() <= SOURCES:
+        ends_of = F.broadcast(ends_of)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.withColumn(rank, F.struct(order_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", size.alias("size")))
+    out = out.where(F.col(f"{rank}.size") > 0).join(ends_of, F.col("source").eqNullSafe(F.col(own)))
+    times = F.col(f"{ends}.turns") + F.coalesce(F.col(rank) <= F.col(f"{ends}.end"), F.lit(False)).cast("long")
+    out = out.where(times > 0).withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same by SQL, over a view ``documents``.
 SQL = r"""
-with s as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as h,
+with s as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), text, '')) as h,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 b as (select source, sum(size)::bigint as source_size, count(*) as n_docs,
     [5.0::double, 2.0::double, 1.0::double][1 + (row_number() over (order by source asc nulls last) - 1) % 3] as weight from s group by source),

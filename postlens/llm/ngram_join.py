@@ -349,6 +349,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("key", "doc_id", "own", "node"), cut_lineage(pairs.mapInArrow(_brute, "node binary, least binary, links long"))
 
 
+def keyed(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the values of ``of``, which has one row for each ``key`` and the number ``n`` of ``rows`` with it.
+    Both are stored tables.  Keys with more than a thousandth of all rows, at most 1000 of them, are sent to the tasks;
+    the other rows are joined."""
+    values = [c for c in of.columns if c not in (key, "n")]
+    own = of.select(F.col(key).alias("_key"), "n", F.struct(*values).alias("_of"))
+    often = F.col("n") > max(100, total // 1000)
+    held = rows.join(F.broadcast(own.where(often).drop("n")), F.col(key) == F.col("_key"), "left").drop("_key")
+    rest = held.where(F.col("_of").isNull()).drop("_of").join(own.where(~often).drop("n"), F.col(key) == F.col("_key")).drop("_key")
+    return held.where(F.col("_of").isNotNull()).unionByName(rest).select(*rows.columns, "_of.*")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """The least node of each node's connected part, from edges ``(a, b)``: rows ``(a, b)`` with b the least."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -356,13 +368,13 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         # large star: a node's larger neighbours go to its least one
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
-        low = low.withColumn("_m", F.least("_a", "_m"))
-        large = both.join(low, F.col("a") == F.col("_a")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")))
+        total = low.agg(F.sum("n")).first()[0] or 0
+        large = cut_lineage(keyed(both, low, "a", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: a node and its smaller neighbours go to the least of these
-        low = large.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
-        small = large.join(low, F.col("a") == F.col("_a")).select(F.explode(F.array(
-            F.struct(F.col("a"), F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e")).select("e.*")
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = keyed(large, low, "a", total).select(F.explode(F.array(
+            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut_lineage(small.where("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
@@ -379,12 +391,15 @@ def _labelled(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min("key").alias("first"))
     sets = copies.join(parts, F.col("node") == F.col("a"), "left").withColumn("part", F.coalesce("b", "node"))
     sets = sets.join(others, F.col("node") == F.col("_node"), "left")
-    sets = sets.select(F.col("node").alias("_node"), "part", "low", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    lows = sets.groupBy(F.col("part").alias("_part")).agg(F.min("low").alias("class_id"), F.min("first").alias("_first"))
-    sets = sets.join(lows, F.col("part") == F.col("_part")).select("_node", "part", "class_id", "n_links", F.col("_first").alias("first"))
-    return nodes.join(sets, F.col("node") == F.col("_node"), "left").select(
-        "key", "doc_id", "own", "node", "part", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "key").alias("first"))
+    sets = cut_lineage(sets.select("node", "part", "low", F.col("first").alias("key"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "copies"))
+    lows = cut_lineage(sets.groupBy("part").agg(F.min("low").alias("class_id"), F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
+    total = sets.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    sets = cut_lineage(keyed(sets.drop("low", "key"), lows, "part", total[0]).withColumnRenamed("copies", "n"))
+    # rows without a word are classes of their own
+    known = keyed(nodes.where("node is not null"), sets, "node", total[1] or 0)
+    alone = nodes.where("node is null").select("key", "doc_id", "own", "node", F.lit(None).cast("binary").alias("part"), F.col("doc_id").alias("class_id"),
+                                               F.lit(0).cast("long").alias("n_links"), F.col("key").alias("first"))
+    return known.select(*alone.columns).unionByName(alone)
 
 
 def classes(docs: DataFrame) -> DataFrame:

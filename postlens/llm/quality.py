@@ -10,9 +10,10 @@ held within ``CLIP``, so that a piece that a dictionary happens to contain
 doesn't decide alone.  A logistic curve, fitted to labelled texts that are in
 no dictionary, turns the measure into the probability of label 1.
 
-The fit reads a bounded sample of the labelled rows (about ``SAMPLE`` of each
-class, by a hash of their ids) on the driver; scoring is a map over Arrow
-batches of whole texts, without a shuffle.
+The fit reads a bounded sample of the labelled rows on the driver: of each class
+the ``SAMPLE`` texts that a hash of id and text puts first, equal rows once, as
+far as these are within ``FIT_BYTES``; a text that goes beyond that is passed
+over.  Scoring is a map over Arrow batches of whole texts, without a shuffle.
 
 Defined cases: null and empty texts count as one empty piece, whose measure is
 0; a label that is neither 0 nor 1, or null, is not learned from, and an id
@@ -35,20 +36,35 @@ from postlens.llm.common import crc_held_out, fresh, per_text, struct
 
 SAMPLE, PAIRS, PIECE, CLIP, THRESHOLD = 3000, 2, 1024, 0.12, 0.7
 DICTIONARY, LEVEL = 112_640, 3
+#: Bytes of the texts of a class that are learned from.
+FIT_BYTES = 64 << 20
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Text and label of about ``sample`` rows of each class, without held-out ids."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """``text, quality, own`` of at most ``sample`` rows of each class, and at most ``fit_bytes`` of them, without held-out
+    ids; ``own`` is the hash of id and text."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~crc_held_out())
     known = known.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     bound = F.lit(0)
     for label, n in counts.items():
-        bound = F.when(F.col("quality") == label, F.lit(int(min(1.0, sample / n) * (1 << 20)) + 1)).otherwise(bound)
-    chosen = known.where(F.col("u") < bound).select(F.col("doc_id").alias("_id"), "quality")
-    # at most about 2 * sample ids are broadcast, whatever the size of the tables
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")) \
-        .select("doc_id", "text", "quality")
+        bound = F.when(F.col("quality") == label, F.lit(int(min(1.0, 1.2 * sample / n) * (1 << 20)) + 1)).otherwise(bound)
+    # hashes pass about 1.2 * sample ids of each class; null ids join nothing
+    chosen = known.where((F.col("u") < bound) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "quality").distinct()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")) \
+        .select(F.xxhash64("doc_id", "text").alias("own"), "quality", "text")
+    # an id may stand on any number of rows: their hashes and sizes are looked at before any text is brought together
+    first: list[tuple[int, int]] = []
+    for label in counts:
+        sizes = rows.where(F.col("quality") == label).select("own", F.octet_length("text").alias("size")).distinct().orderBy("own", "size").limit(sample)
+        total = 0
+        for r in sizes.collect():
+            if total + r["size"] <= fit_bytes:
+                total += r["size"]
+                first.append((r["own"], label))
+    taken = docs.sparkSession.createDataFrame(first, "_own long, _label int")
+    return rows.join(F.broadcast(taken), (F.col("own") == F.col("_own")) & (F.col("quality") == F.col("_label"))) \
+        .select("text", "quality", "own").dropDuplicates(["own", "quality"])
 
 
 def _pieces(raw: bytes) -> list[bytes]:
@@ -115,7 +131,7 @@ def fit(rows: list[tuple[str, int]]) -> tuple[list[tuple[bytes, bytes]], float,
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """The classifier that a sample of labelled documents gives."""
-    return fit([(r["text"], r["quality"]) for r in labelled(docs, labels, sample).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).collect()])
+    return fit([(r["text"], r["quality"]) for r in labelled(docs, labels, sample).orderBy("own", "quality").collect()])
 
 
 def score_of(text: Column | str, model) -> Column:

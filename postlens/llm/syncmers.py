@@ -14,7 +14,9 @@ number of all anchors; it is 1 for equal fingerprints.
 
 To edit a text with the next document's beginning, documents are dealt by
 ranges of ids, and the first document of a range goes to the range before it
-too.  Texts are shuffled once; a task streams over its sorted rows.
+too.  An id, or the lack of one, that holds several ranges' share of the rows is
+dealt by ranges of its texts' hashes.  Ranges are cut by the bytes of all texts.
+Texts are shuffled once; a task streams over its sorted rows.
 
 Defined cases: a null text counts as empty; two empty fingerprints have
 likeness 1, one empty has 0; rows that share an id stand in the order of their
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 
 K, S = 24, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Ranges for each shuffle partition, so that partitions come out even.
-RANGES = 4
+#: Ranges for each partition, so that partitions come out even; bytes of text in a range, or more if these would be more than MOST.
+RANGES, RANGE_BYTES, MOST = 4, 8 << 20, 80_000
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
@@ -120,48 +122,49 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - cut] + after[:cut]
 
 
-def _partitions(docs: DataFrame) -> int:
+def _ranged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Ids and texts with the range they are dealt to, and the number of partitions for the ranges.  Ranges and ids are in
+    descending order, null ids last; the first row of a range also goes, as a guest, to the range before it, and that of
+    the first range to the last one.  The driver holds an id and a hash for each range."""
     spark = docs.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
-
-
-def _ranged(docs: DataFrame) -> DataFrame:
-    """Ids and texts with the range they are dealt to, ranges and ids in descending order, null ids in a last range of
-    their own; the rows with the first id of a range also go, as guests, to the range before it, and those of the first
-    range to the last one.  The driver holds two ids for each range."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = RANGES * _partitions(docs)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+    n = min(MOST, max(RANGES * spark.sparkContext.defaultParallelism, -(-(size["bytes"] or 0) // RANGE_BYTES)))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"] or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
+    # an id that is several cuts has a range for the ids above it, and as many of its own
+    values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    own = np.r_[0, np.where(times > 1, times, 0)]
+    base = np.cumsum(1 + own[::-1])[::-1] - 1 - own  # of the ids from a cut on, by the number of cuts that are not above them
+    nulls = max(1, -(-n * (size["n"] - size["ids"]) // max(1, size["n"])))
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        at = len(cuts) - np.searchsorted(cuts, ids.where(known, 0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(known, at, len(cuts) + 1).astype("int32"))
-
-    # ids go to Python as text: a long column with nulls would become floating-point
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1))
-                           .otherwise(place(F.coalesce("doc_id", F.lit(0)))))
-    tops = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    places = sorted(tops)
-    if not places:
-        return rows.select("*", F.lit(0).alias("guest"))
-    by_place = [tops.get(i) for i in range(places[-1] + 1)]
-    host = dict(zip(places, [places[-1], *places[:-1]], strict=True))
-    hosts = [host.get(i) for i in range(places[-1] + 1)]
-    top = F.get(F.array(*[F.lit(x).cast("long") for x in by_place]), F.col("range"))
-    to = F.get(F.array(*[F.lit(x).cast("int") for x in hosts]), F.col("range"))
-    visits = F.when(F.col("doc_id").eqNullSafe(top), F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(to.alias("range"), F.lit(1).alias("guest"))))
-    visits = visits.otherwise(F.array(F.struct(F.col("range"), F.lit(0).alias("guest"))))
-    return rows.select("doc_id", "text", F.inline(visits).alias("range", "guest"))
+    def place(ids: pd.Series, lacks: pd.Series, ties: pd.Series) -> pd.Series:
+        ids, lacks = ids.to_numpy(np.int64), lacks.to_numpy(bool)
+        part = ties.to_numpy(np.int64) / 2.0**64 + 0.5
+        cut = np.searchsorted(values, ids, side="right")
+        heavy = (own[cut] > 0) & (ids == (values[cut - 1] if len(values) else ids))
+        at = base[cut] + np.where(heavy, 1 + np.minimum((part * own[cut]).astype(int), own[cut] - 1), 0)
+        last = int(base[0] + 1 + own[0])
+        return pd.Series(np.where(lacks, last + np.minimum((part * nulls).astype(int), nulls - 1), at).astype("int32"))
+
+    # a long column with nulls would become floating-point in Python
+    rows = rows.withColumn("range", place(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("tie")))
+    # the first row of each range: the largest id, then the least hash
+    down = F.bitwise_not("doc_id")
+    tops = rows.groupBy("range").agg(F.min(F.struct(down.alias("down"), "tie")).alias("top")).orderBy("range").collect()
+    before = [tops[i - 1]["range"] for i in range(len(tops))]
+    tops = spark.createDataFrame([(r["range"], r["top"]["down"], r["top"]["tie"], b) for r, b in zip(tops, before, strict=True)],
+                                 "_range int, _down long, _tie long, host int")
+    first = rows.join(F.broadcast(tops), (F.col("range") == F.col("_range")) & down.eqNullSafe(F.col("_down")) & (F.col("tie") == F.col("_tie")))
+    guests = first.groupBy("host").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
+    rows = rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumnRenamed("host", "range").withColumn("guest", F.lit(1)))
+    return rows, -(-n // RANGES)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness to each other and to the next document's."""
-    dealt = _ranged(docs)
-    dealt = dealt.withColumn("tie", F.xxhash64("text")).repartition(_partitions(docs), "range")
-    dealt = dealt.sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "tie")
+    dealt, partitions = _ranged(docs)
+    dealt = dealt.repartition(partitions, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "tie")
     return dealt.drop("tie").mapInArrow(_stream, SCHEMA)
 
 
@@ -180,7 +183,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held = (doc_id, text, place, guest, own)
                 elif held is None or held[2] != place:
                     held = (doc_id, text, place, guest, None if guest else anchors(text))
-                if guest:  # further guests only share the first one's id
+                if guest:
                     held = (None, "", place, 1, None)
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
