@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 K, S = 24, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Ranges for each partition, so that partitions come out even; bytes of text in a range, or more if these would be more than MOST.
-RANGES, RANGE_BYTES, MOST = 4, 8 << 20, 80_000
+RANGES, RANGE_BYTES, MOST = 4, 2 << 20, 80_000
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
