@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from postlens.functions import wordlists as W
 from postlens.functions.columns import aspect_display, pretty_label, resolve, sentiment_key
 from postlens.operators.filters import date_window, keyword_filter, timestamp_window
-from postlens.operators.keywords import top_keywords
+from postlens.functions.text import tokens
+from postlens.operators.keywords import basic_token_filter, top_keywords
 from postlens.operators.metrics import basic_stats, label_counts
 from postlens.operators.sampling import balanced_sample, seeded_sample
 from postlens.operators.themes import generate_text
@@ -48,6 +49,27 @@ def _thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def aspect_facts(sub: DataFrame, aspect: Column, key: Column, top: int, order: Column | None = None,
+                 counts: dict[str, Column] | None = None, means: dict[str, Column] | None = None) -> DataFrame:
+    """One row from one pass: ``total``, what else is counted (``counts``) or averaged (``means``) over all rows, and
+    ``aspects``, the ``top`` first aspects by ``order`` (default their rows, most first) as structs ``rank, aspect, n,
+    positive, neutral, negative``.
+
+    Grouping sets count each aspect and everything in one aggregate; the cut to ``top`` is a ranking that Spark limits
+    within tasks too; what is left, at most ``top`` + 1 rows, is folded into one.  An empty input gives zeros."""
+    counts, means = counts or {}, means or {}
+    rows = sub.select(aspect.alias("_aspect"), key.alias("_key"), *[c.alias(f"_{n}") for n, c in {**counts, **means}.items()])
+    g = rows.groupingSets([[F.col("_aspect")], []], "_aspect").agg(
+        F.count(F.lit(1)).alias("n"), *label_counts(F.col("_key")), *[F.count_if(F.col(f"_{n}")).alias(f"_{n}") for n in counts],
+        *[F.avg(f"_{n}").alias(f"_{n}") for n in means], F.grouping("_aspect").alias("_all"))
+    first = Window.partitionBy("_all").orderBy((F.col("n") if order is None else order).desc(), F.col("_aspect"))
+    g = g.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    every = F.col("_all") == 1
+    whole = [F.coalesce(F.max(F.when(every, F.col(c))), F.lit(0)).alias(n) for n, c in [("total", "n"), *((n, f"_{n}") for n in counts)]]
+    found = F.array_sort(F.collect_list(F.when(~every, F.struct("rank", F.col("_aspect").alias("aspect"), "n", *W.SENTIMENTS))))
+    return g.agg(*whole, *[F.max(F.when(every, F.col(f"_{n}"))).alias(n) for n in means], found.alias("aspects"))
+
+
 # ---------------------------------------------------------------------------
 # C14 JSON extraction, C17 prompts
 # ---------------------------------------------------------------------------
@@ -101,28 +123,82 @@ def brief_prompt(stats: Column, examples: Column, start: str | None, end: str |
 # ---------------------------------------------------------------------------
 # K1 period summary (template path, optional generator)
 # ---------------------------------------------------------------------------
+#: FIXED VALUES — posts in the prompt of K1, and its closing sentences
+PROMPT_POSTS = 120
+SUMMARY_PROMPT_TAIL = ("Write 1–2 short paragraphs summarizing the period, citing the main issues/opportunities, "
+                       "and finish with 2–3 actionable focus areas. Do not invent numeric metrics.")
+
+
+def period_facts(posts: DataFrame, text_col: str | None, top_aspects: int, keywords: int) -> DataFrame:
+    """One row of K1's counts, top dominant aspects (F13: ``aspect, n, pos, neg, neu``, the fallback removed after the
+    cut) and most frequent tokens (C5) from one pass over the posts: each post gives one row for itself, one for its
+    aspect and one for each of its tokens, all are counted in one aggregate, and at most ``keywords`` of a kind go on.
+    Without a text column there are no keywords."""
+    key = sentiment_key(F.col("sentiment_label"))
+    none = F.array().cast("array<string>")
+    words = none
+    if text_col:
+        labelled = F.col("sentiment_label").isin(*W.SENTIMENTS)
+        words = F.when(labelled, F.filter(tokens(text_col), lambda t: basic_token_filter(t))).otherwise(none)
+    kinds = F.concat(F.array(F.struct(F.lit("post").alias("kind"), F.lit("").alias("key")),
+                             F.struct(F.lit("aspect").alias("kind"), F.col("aspect_dominant").alias("key"))),
+                     F.transform(words, lambda t: F.struct(F.lit("token").alias("kind"), t.alias("key"))))
+    facts = posts.select(key.alias("_key"), F.inline(kinds))
+    g = facts.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), *label_counts(F.col("_key")))
+    order = Window.partitionBy("kind").orderBy(F.col("n").desc(), F.col("key"))
+    cut = F.when(F.col("kind") == "aspect", F.lit(top_aspects)).otherwise(F.lit(keywords))
+    g = g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top_aspects, keywords)).where(F.col("rank") <= cut)
+    post = F.col("kind") == "post"
+    counts = [F.coalesce(F.max(F.when(post, F.col(c))), F.lit(0)).alias(n) for c, n in [("n", "total"), *((s, s) for s in W.SENTIMENTS)]]
+    aspects = F.array_sort(F.collect_list(F.when(F.col("kind") == "aspect", F.struct("rank", F.col("key").alias("aspect"), "n", "positive", "negative", "neutral"))))
+    aspects = F.filter(aspects, lambda a: aspect_display(a["aspect"]) != W.ASPECT_FALLBACK)
+    words = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("rank", "key")))), lambda t: t["key"])
+    return g.agg(*counts, aspects.alias("top_aspects"), words.alias("words"))
+
+
+def period_prompt(start: str, end: str, examples: Column) -> Column:
+    """K1/C17: what a generator is asked for a period: the window, its counts, aspects and first ten keywords as JSON, and
+    example posts."""
+    total = F.col("total")
+    share = lambda s: F.when(total > 0, F.round(F.col(s) / total * 100, 2)).otherwise(F.lit(0.0))
+    grounding = F.to_json(F.struct(
+        F.struct(total.alias("total"), F.struct(*W.SENTIMENTS).alias("counts"), F.struct(*[share(s).alias(s) for s in W.SENTIMENTS]).alias("percent")).alias("sentiment"),
+        F.transform("top_aspects", lambda a: F.struct(a["aspect"].alias("aspect"), a["n"].alias("count"), a["positive"].alias("pos"),
+                                                      a["negative"].alias("neg"), a["neutral"].alias("neu"))).alias("top_aspects"),
+        F.slice("words", 1, 10).alias("keywords")))
+    listed = F.array_join(F.transform(examples, lambda t: F.concat(F.lit("- "), t)), "\n")
+    return F.concat(F.lit(f"Date window: {start} to {end}\nGrounding (JSON): "), grounding, F.lit("\nExamples ("), F.size(examples).cast("string"),
+                    F.lit(" tweets):\n"), listed, F.lit("\n\n" + SUMMARY_PROMPT_TAIL))
+
+
+def example_posts(sub: DataFrame, text_col: str, per_sentiment: int, limit: int = PROMPT_POSTS) -> DataFrame:
+    """One row: ``examples``, the first ``limit`` texts of a balanced sample (H5): negative, then positive, then neutral
+    posts, each by date and id."""
+    rows = balanced_sample(sub, min(per_sentiment, limit)).select("label_order", "pos", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    found = F.array_sort(F.collect_list(F.struct("label_order", "pos", "_text")))
+    return rows.agg(F.slice(F.transform(found, lambda r: r["_text"]), 1, limit).alias("examples"))
+
+
 def executive_summary(df: DataFrame, start: str, end: str, aspects_df: DataFrame | None = None,
                       sample_per_sentiment: int | None = None, generate_fn: Callable[[str], str] | None = None,
-                      top_k_aspects: int = 6) -> DataFrame:
+                      top_k_aspects: int = 6, with_prompt: bool = False) -> DataFrame:
     """K1: window counts (F3), top dominant aspects (F13), keywords (C5) of all
     labelled posts of the window, or of a balanced sample (H5) if
-    ``sample_per_sentiment`` is given → one-row summary.  Without a generator,
-    the template text; an empty window gives the empty-period message."""
+    ``sample_per_sentiment`` is given → one-row summary, from one pass over the
+    posts (the sample, and the example posts that a generator is given, are
+    read apart).  Without a generator, the template text; an empty window gives
+    the empty-period message."""
     sub = date_window(df, start, end)
-    adf = date_window(aspects_df if aspects_df is not None else df, start, end)
-    key = sentiment_key(F.col("sentiment_label"))
-    counts = sub.agg(F.count("*").alias("total"), *label_counts(key))
-    top = adf.groupBy(F.col("aspect_dominant").alias("aspect")).agg(F.count("*").alias("n")) \
-        .orderBy(F.col("n").desc(), "aspect").limit(top_k_aspects)
-    top = top.where(aspect_display(F.col("aspect")) != W.ASPECT_FALLBACK)
-    top_row = top.agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(
-        F.struct((-F.col("n")).alias("o"), F.col("aspect")))), lambda s: s["aspect"]), 1, 4), ", ").alias("aspects"))
     text_col = resolve(df, W.TEXT_THEMES, "text")
-    samples = balanced_sample(sub, sample_per_sentiment) if sample_per_sentiment else sub.where(F.col("sentiment_label").isin(*W.SENTIMENTS))
-    kw = top_keywords(samples, text_col, k=12)
-    kw_row = kw.agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))),
-                                                     lambda s: s["keyword"]), 1, 6), ", ").alias("keywords"))
-    row = _join_rows(counts, top_row, kw_row)
+    row = period_facts(sub, None if sample_per_sentiment else text_col, top_k_aspects, 12)
+    if sample_per_sentiment:
+        kw = top_keywords(balanced_sample(sub, sample_per_sentiment), text_col, k=12)
+        kw = kw.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"]).alias("words"))
+        row = _join_rows(row.drop("words"), kw)
+    if aspects_df is not None:
+        row = _join_rows(row.drop("top_aspects"), period_facts(date_window(aspects_df, start, end), None, top_k_aspects, 12).select("top_aspects"))
+    row = row.withColumn("aspects", F.array_join(F.transform(F.slice("top_aspects", 1, 4), lambda a: a["aspect"]), ", ")) \
+        .withColumn("keywords", F.array_join(F.slice("words", 1, 6), ", "))
     aspects_txt = F.when(F.col("aspects") != "", F.col("aspects")).otherwise(F.lit("various areas"))
     kw_txt = F.when(F.col("keywords") != "", F.col("keywords")).otherwise(F.lit("common customer concerns"))
     template = F.concat(
@@ -132,11 +208,13 @@ def executive_summary(df: DataFrame, start: str, end: str, aspects_df: DataFrame
         F.lit(" positive posts. "), F.lit("Prominent phrases included "), kw_txt, F.lit(". "),
         F.lit("Focus next on resolving key negative drivers and reinforcing positive experiences."))
     row = row.withColumn("template", F.when(F.col("total") == 0, F.lit(W.EMPTY_PERIOD_SUMMARY)).otherwise(template))
-    row = row.withColumn("prompt", F.concat(F.lit(f"Date window: {start} to {end}\n"), F.col("template")))
+    if generate_fn is not None or with_prompt:
+        row = _join_rows(row, example_posts(sub, text_col, sample_per_sentiment or 250))
+        row = row.withColumn("prompt", period_prompt(start, end, F.col("examples")))
     row = generate_text(row, "prompt", generate_fn, "template", "summary")
     return row.select(F.lit(start).alias("start"), F.lit(end).alias("end"),
                       (F.col("used_generator") & (F.col("total") > 0)).alias("used_llm"), "summary", "total",
-                      "positive", "neutral", "negative", "aspects", "keywords")
+                      "positive", "neutral", "negative", "aspects", "keywords", *(["prompt"] if with_prompt else []))
 
 
 # ---------------------------------------------------------------------------
@@ -149,24 +227,15 @@ def rule_based_summary(df: DataFrame, start: str | None, end: str | None) -> Dat
     focus aspects from the five most frequent, and recommendations."""
     from postlens.operators.filters import where_clause
 
-    sub = where_clause(df, start, end)
-    c = sub.agg(F.count("*").alias("total"),
-                F.count_if(F.col("sentiment_label") == "positive").alias("positive"),
-                F.count_if(F.col("sentiment_label") == "negative").alias("negative"),
-                F.count_if(F.col("sentiment_label") == "neutral").alias("neutral"),
-                F.avg("sentiment_score").alias("avg_raw"))
-    top5 = sub.groupBy(F.col("aspect_dominant").alias("a")).agg(F.count("*").alias("n")) \
-        .orderBy(F.col("n").desc(), "a").limit(5)
-    top5 = top5.withColumn("d", aspect_display(F.col("a"))).where(F.col("d") != W.ASPECT_FALLBACK)
-    top5 = top5.withColumn("r", F.row_number().over(Window.orderBy(F.col("n").desc(), "a"))).where(F.col("r") <= 3)
-    line = F.concat(F.col("r").cast("string"), F.lit(". "), pretty_label(F.col("d"), "first"),
-                    F.lit(" - A primary area of discussion among users\n"))
-    a = top5.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))),
-                                          lambda s: s["l"]), "").alias("focus_lines"),
-                 F.max(F.when(F.col("r") == 1, F.col("d"))).alias("top0"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "d"))), lambda s: s["d"]),
-                              ", ").alias("top_aspects"))
-    row = _join_rows(c, a)
+    exact = {s: F.col("sentiment_label") == s for s in W.SENTIMENTS}
+    row = aspect_facts(where_clause(df, start, end), F.col("aspect_dominant"), F.col("sentiment_label"), 5, counts=exact,
+                       means={"avg_raw": F.col("sentiment_score")})
+    shown = F.transform("aspects", lambda a: aspect_display(a["aspect"]))
+    row = row.withColumn("shown", F.slice(F.filter(shown, lambda x: x != W.ASPECT_FALLBACK), 1, 3))
+    lines = F.transform("shown", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), pretty_label(x, "first"),
+                                                       F.lit(" - A primary area of discussion among users\n")))
+    row = row.withColumn("focus_lines", F.array_join(lines, "")).withColumn("top0", F.try_element_at("shown", F.lit(1))) \
+        .withColumn("top_aspects", F.array_join("shown", ", "))
     tot = F.col("total")
     p = {s: F.when(tot > 0, F.round(F.col(s) / tot * 100, 1)).otherwise(F.lit(0.0)) for s in W.SENTIMENTS}
     txt = {s: F.when(tot > 0, _fmt1(F.col(s) / tot * 100)).otherwise(F.lit("0")) for s in W.SENTIMENTS}
@@ -236,46 +305,29 @@ def rule_based_brief(df: DataFrame, start: str | None, end: str | None, top_n: i
     default sentences when a list is empty."""
     from postlens.operators.filters import where_clause
 
-    sub = where_clause(df, start, end)
-    key = sentiment_key(F.col("sentiment_label"))
-    c = sub.agg(F.count("*").alias("total"),
-                F.count_if(F.col("sentiment_label") == "positive").alias("positive"),
-                F.count_if(F.col("sentiment_label") == "negative").alias("negative"),
-                F.count_if(F.col("sentiment_label") == "neutral").alias("neutral"))
-    g = sub.groupBy(aspect_display(F.col("aspect_dominant")).alias("aspect")).agg(*label_counts(key))
-    g = g.withColumn("t", F.col("positive") + F.col("neutral") + F.col("negative")) \
-        .where(F.col("aspect") != W.ASPECT_FALLBACK).orderBy(F.col("t").desc(), "aspect").limit(top_n)
-    g = g.withColumn("r", F.row_number().over(Window.orderBy(F.col("t").desc(), "aspect")))
-    g = g.withColumn("name", pretty_label(F.col("aspect"), "first"))
-    neg_pct = F.col("negative") / F.col("t") * 100
-    pos_pct = F.col("positive") / F.col("t") * 100
-    risks_a = g.where((F.col("t") > 0) & (neg_pct > 50)).select(
-        F.col("r").alias("o"), F.concat(F.lit("High negative sentiment ("), _fmt1(neg_pct), F.lit("%) in "),
-                                        F.col("name"), F.lit(" indicates customer dissatisfaction requiring urgent "
-                                                             "intervention")).alias("text"))
-    opps_a = g.where((F.col("t") > 0) & (pos_pct > 30)).select(
-        F.col("r").alias("o"), F.concat(F.lit("Strong positive sentiment ("), _fmt1(pos_pct), F.lit("%) in "),
-                                        F.col("name"), F.lit(" presents an opportunity to amplify and leverage "
-                                                             "customer satisfaction")).alias("text"))
+    # labels count as they are in the totals, and by their key (case, null) in the aspects
+    three = F.col("positive") + F.col("neutral") + F.col("negative")
+    row = aspect_facts(where_clause(df, start, end), aspect_display(F.col("aspect_dominant")), sentiment_key(F.col("sentiment_label")),
+                       top_n + 1, three, counts={s: F.col("sentiment_label") == s for s in W.SENTIMENTS})  # the fallback may be one of them
+    g = F.transform(F.slice(F.filter("aspects", lambda a: a["aspect"] != W.ASPECT_FALLBACK), 1, top_n), lambda a: F.struct(
+        pretty_label(a["aspect"], "first").alias("name"), (a["positive"] + a["neutral"] + a["negative"]).alias("t"),
+        a["positive"].alias("positive"), a["negative"].alias("negative")))
+    row = row.withColumn("g", g).withColumn("names", F.transform("g", lambda a: a["name"])).withColumn("top_t", F.try_element_at("g", F.lit(1))["t"])
+    of = lambda n, t: F.coalesce(F.try_divide(n, t) * 100, F.lit(0.0))
     tot = F.col("total")
-    share = {s: _fmt1(F.col(s) / tot * 100) for s in W.SENTIMENTS}
-    risk_all = _one(c).where(F.col("negative") > F.col("total") * 0.4).select(
-        F.lit(100).alias("o"), F.lit("Overall negative sentiment exceeds 40%, suggesting systemic issues that need "
-                                     "comprehensive review").alias("text"))
-    opp_all = _one(c).where(F.col("positive") > F.col("total") * 0.25).select(
-        F.lit(100).alias("o"), F.concat(F.lit("Significant positive sentiment base ("), share["positive"],
-                                        F.lit("%) can be leveraged for brand advocacy and marketing initiatives"))
-        .alias("text"))
-    risks = risks_a.unionByName(risk_all)
-    opps = opps_a.unionByName(opp_all)
-    risks_row = risks.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda s: s["text"])
-                          .alias("risks"))
-    opps_row = opps.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda s: s["text"])
-                        .alias("opps"))
-    top_row = g.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name", "t"))), lambda s: s["name"])
-                    .alias("names"),
-                    F.max(F.when(F.col("r") == 1, F.col("t"))).alias("top_t"))
-    row = _join_rows(c, top_row, risks_row, opps_row)
+    share = {s: _fmt1(of(F.col(s), tot)) for s in W.SENTIMENTS}
+    none = F.array().cast("array<string>")
+    risks = F.transform(F.filter("g", lambda a: of(a["negative"], a["t"]) > 50), lambda a: F.concat(
+        F.lit("High negative sentiment ("), _fmt1(of(a["negative"], a["t"])), F.lit("%) in "), a["name"],
+        F.lit(" indicates customer dissatisfaction requiring urgent intervention")))
+    risk_all = F.array(F.lit("Overall negative sentiment exceeds 40%, suggesting systemic issues that need comprehensive review"))
+    opps = F.transform(F.filter("g", lambda a: of(a["positive"], a["t"]) > 30), lambda a: F.concat(
+        F.lit("Strong positive sentiment ("), _fmt1(of(a["positive"], a["t"])), F.lit("%) in "), a["name"],
+        F.lit(" presents an opportunity to amplify and leverage customer satisfaction")))
+    opp_all = F.array(F.concat(F.lit("Significant positive sentiment base ("), share["positive"],
+                               F.lit("%) can be leveraged for brand advocacy and marketing initiatives")))
+    row = row.withColumn("risks", F.concat(risks, F.when(F.col("negative") > tot * 0.4, risk_all).otherwise(none))) \
+        .withColumn("opps", F.concat(opps, F.when(F.col("positive") > tot * 0.25, opp_all).otherwise(none)))
     opps_final = F.when(F.size("opps") > 0, F.col("opps")).otherwise(
         F.array(F.lit("Focus on improving customer experience to increase positive sentiment across all aspects")))
     risks_final = F.when(F.size("risks") > 0, F.col("risks")).otherwise(

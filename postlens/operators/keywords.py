@@ -23,12 +23,18 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 NON_WORD_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
-def _text_partitions(df: DataFrame) -> int:
-    """Partition count for text-heavy stages: the session's shuffle
-    partitions, at least the cluster's default parallelism."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(n, spark.sparkContext.defaultParallelism)
+#: Bytes of text in a partition of text-heavy stages: its n-grams are some twenty times that.
+TEXT_BYTES = 16 << 20
+
+
+def text_partitions(df: DataFrame, text_col: str) -> int:
+    """Partitions for text-heavy stages, by the bytes of all texts (one pass
+    that reads this column alone), at least the cluster's default parallelism.
+    An array of terms counts by its elements' bytes."""
+    size = F.octet_length(text_col) if df.schema[text_col].dataType.simpleString() == "string" else \
+        F.aggregate(text_col, F.lit(0), lambda n, x: n + F.octet_length(x))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(-(-total // TEXT_BYTES), df.sparkSession.sparkContext.defaultParallelism)
 
 
 # ---------------------------------------------------------------------------
@@ -107,6 +113,37 @@ def weighted_keywords(df: DataFrame, text_col: str = "text", k: int = 8,
     return out.select(F.row_number().over(Window.orderBy("r")).alias("rank"), F.col("token").alias("keyword"))
 
 
+def weighted_keywords_per_group(df: DataFrame, group_col: str = "theme", text_col: str = "text", k: int = 8,
+                                business: Sequence[str] = W.BUSINESS_TERMS, stopwords: Sequence[str] = W.THEME_STOPWORDS,
+                                defaults: Sequence[str] = W.DEFAULT_KEYWORDS) -> DataFrame:
+    """C6 for each group at once → ``(group, rank, keyword)``.  Weights are
+    added up by (group, token), partly before the shuffle; a group's best 5k are
+    cut by a ranking that Spark limits within map tasks too, and stand in one
+    array of at most 5k, on which the rules of C6 work.  A group none of whose
+    words survive gets the defaults, a null group is one of its own."""
+    tok = F.col("token")
+    toks = explode_tokens(df, text_col, keep=[group_col]).where((F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~tok.rlike(r"^[0-9]+$"))
+    weighted = toks.groupBy(group_col, "token").agg(F.sum(F.when(tok.isin(*business), F.lit(2)).otherwise(F.lit(1))).alias("weight"))
+    best = F.row_number().over(Window.partitionBy(group_col).orderBy(F.col("weight").desc(), "token"))
+    cand = weighted.withColumn("pos", best).where(F.col("pos") <= 5 * k)
+    # groups without a token have an empty array
+    groups = df.select(group_col).distinct()
+    found = cand.groupBy(F.col(group_col).alias("_group")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("cand"))
+    rows = groups.join(found, F.col(group_col).eqNullSafe(F.col("_group")), "left").drop("_group")
+    rows = rows.withColumn("cand", F.coalesce("cand", F.array().cast("array<struct<pos:int,token:string>>")))
+
+    def wanted(t: Column) -> Column:
+        return t.isin(*business) | ((F.length(t) > 4) & t.rlike(r"^\p{L}+$") & (t != F.upper(t)))
+
+    words = lambda c: F.transform(c, lambda x: x["token"])
+    kept = F.slice(words(F.filter("cand", lambda x: (x["pos"] <= 3 * k) & ~is_noise(x["token"]) & wanted(x["token"]))), 1, k)
+    back = words(F.filter("cand", lambda x: x["token"].isin(*business) & ~is_noise(x["token"])))
+    rows = rows.withColumn("kept", kept).withColumn("back", back)
+    all_ = F.concat("kept", F.when(F.size("kept") < k, F.slice("back", F.lit(1), F.lit(k) - F.size("kept"))).otherwise(F.array().cast("array<string>")))
+    all_ = F.when(F.size(all_) > 0, all_).otherwise(F.array(*[F.lit(w) for w in defaults]))
+    return rows.select(group_col, F.posexplode(all_).alias("rank", "keyword")).select(group_col, (F.col("rank") + 1).alias("rank"), "keyword")
+
+
 # ---------------------------------------------------------------------------
 # C7 / C8 TF-IDF
 # ---------------------------------------------------------------------------
@@ -149,7 +186,7 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, group_col: str | None = No
     src_col = terms_col or text_col
     docs = df.select(*keys, src_col)
     if not docs_are_groups and not partitioned_by_doc:
-        docs = docs.repartition(_text_partitions(df), doc_col)
+        docs = docs.repartition(text_partitions(docs, src_col), doc_col)
     n_expr = F.countDistinct(doc_col) if docs_are_groups else F.count("*")
     n_docs = docs.groupBy(*gkey).agg(n_expr.alias("n_docs")) if gkey else docs.agg(n_expr.alias("n_docs"))
     terms = F.col(terms_col) if terms_col else ngram_terms(F.col(text_col), stop, ngram_max)

@@ -107,7 +107,7 @@ def numbered(df: DataFrame, order: Sequence, out_col: str) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(starts, "_range").withColumn(out_col, (F.col("_before") + own).cast("int")).drop("_range", "_before")
+    return ranged.join(starts, "_range").withColumn(out_col, (F.col("_before") + own).cast("long")).drop("_range", "_before")
 
 
 def balanced_sample(df: DataFrame, n: int, labels: Sequence[str] = ("negative", "positive", "neutral")) -> DataFrame:

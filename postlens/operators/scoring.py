@@ -12,6 +12,7 @@ Three kinds of backends share one output shape:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -26,6 +27,8 @@ from postlens.functions.text import tokens
 # FIXED VALUES — class index → label of the three-class sentiment models
 SENTIMENT_ID2LABEL = {0: "negative", 1: "neutral", 2: "positive"}
 
+#: FIXED VALUE — tokens that the sentiment and aspect models read of a text
+MAX_LENGTH = 256
 SCORE_SCHEMA = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -57,7 +60,7 @@ def lexicon_sentiment(text: Column | str, positive: Sequence[str], negative: Seq
 
 
 def run_sentiment(df: DataFrame, text_col: str = "clean_tweet", scorer: Column | Callable | None = None,
-                  batch_size: int = 16, **lexicon) -> DataFrame:
+                  batch_size: int = 16, max_length: int | None = MAX_LENGTH, **lexicon) -> DataFrame:
     """Add ``sentiment_label`` and ``sentiment_score``.
 
     ``scorer`` is a Column (e.g. :func:`lexicon_sentiment`), or a factory
@@ -70,30 +73,88 @@ def run_sentiment(df: DataFrame, text_col: str = "clean_tweet", scorer: Column |
     elif isinstance(scorer, Column):
         s = scorer
     else:
-        s = callable_scorer(scorer, batch_size)(F.col(text_col))
+        s = callable_scorer(scorer, batch_size, max_length=max_length)(F.col(text_col))
     out = df.withColumn("__s", s)
     return out.withColumn("sentiment_label", map_model_label(F.col("__s.label"))) \
         .withColumn("sentiment_score", F.col("__s.score")).drop("__s")
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def first_words(text: str, limit: int) -> str:
+    """The beginning of a text up to its ``limit``-th word."""
+    end = 0
+    for i, m in enumerate(_WORD.finditer(text)):
+        if i == limit:
+            return text[:end]
+        end = m.end()
+    return text
+
+
+def n_words(text: str) -> int:
+    return sum(1 for _ in _WORD.finditer(text))
+
+
+def length_batches(lengths: Sequence[int], batch_size: int, waste: float = 2.0, room: int = 8) -> list[list[int]]:
+    """The places of texts in batches for a model that pads a batch to its longest text: longest texts first, none more
+    than ``batch_size`` together, and no text padded to more than ``waste`` times its length and ``room``."""
+    out: list[list[int]] = []
+    longest = 0
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        if out and len(out[-1]) < batch_size and longest <= waste * lengths[i] + room:
+            out[-1].append(i)
+        else:
+            out.append([i])
+            longest = lengths[i]
+    return out
+
+
+def predict_all(predict: Callable[[list[str]], list], texts: list[str], batch_size: int, max_length: int | None = MAX_LENGTH,
+                clip: Callable[[str, int], str] = first_words, length: Callable[[str], int] = n_words) -> list:
+    """``predict`` on batches of texts of like length, none beyond ``max_length``; results in the order of the texts."""
+    if max_length is not None:
+        texts = [clip(t, max_length) for t in texts]
+    out: list = [None] * len(texts)
+    for batch in length_batches([length(t) for t in texts], batch_size):
+        for i, result in zip(batch, predict([texts[i] for i in batch]), strict=True):
+            out[i] = result
+    return out
+
+
 def callable_scorer(factory: Callable[[], Callable[[list[str]], list]], batch_size: int = 16,
-                    schema: T.StructType = SCORE_SCHEMA):
+                    schema: T.StructType = SCORE_SCHEMA, max_length: int | None = MAX_LENGTH,
+                    clip: Callable[[str, int], str] = first_words, length: Callable[[str], int] = n_words):
     """Wrap a per-worker model factory as an iterator ``pandas_udf``: the model
-    is built once per task and called on slices of ``batch_size`` texts."""
+    is built once per task and called on batches of up to ``batch_size`` texts
+    of like length.  It reads ``max_length`` tokens of a text; ``clip`` and
+    ``length`` are by words unless the model's tokeniser is given."""
 
     @F.pandas_udf(schema)
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = factory()
         for s in batches:
             texts = s.fillna("").astype(str).tolist()
-            rows = []
-            for i in range(0, len(texts), batch_size):
-                rows.extend(predict(texts[i:i + batch_size]))
+            rows = predict_all(predict, texts, batch_size, max_length, clip, length)
             yield pd.DataFrame(list(rows), columns=[f.name for f in schema.fields])
 
     return _score
 
 
+def callable_aspects(factory: Callable[[], Callable[[list[str]], list]], aspects: Sequence[str] = W.ASPECT_KEYS, batch_size: int = 8,
+                     max_length: int | None = MAX_LENGTH, **tokens) -> Callable[[Column | str], dict[str, Column]]:
+    """D3 (user backend): ``factory() -> predict(list[str]) -> list of one score for each aspect``, run as in
+    :func:`callable_scorer`; returns a function from a text column to the scores that :func:`run_aspects` takes."""
+    schema = T.StructType([T.StructField(a, T.DoubleType()) for a in aspects])
+    score = callable_scorer(factory, batch_size, schema, max_length, **tokens)
+
+    def scores(text: Column | str) -> dict[str, Column]:
+        all_ = score(F.col(text) if isinstance(text, str) else text)
+        return {a: all_[a] for a in aspects}
+
+    return scores
+
+
 def train_logistic_sentiment(labelled: DataFrame, text_col: str, label_col: str, num_features: int = 1 << 18,
                              max_iter: int = 50, seed: int = 42):
     """D1 (ML backend): HashingTF → IDF → multinomial logistic regression,
@@ -210,9 +271,11 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, id_col: str = "
 # ---------------------------------------------------------------------------
 # D6 embeddings
 # ---------------------------------------------------------------------------
-def callable_embedder(factory: Callable[[], Callable[[list[str]], list]], batch_size: int = 32):
+def callable_embedder(factory: Callable[[], Callable[[list[str]], list]], batch_size: int = 32, max_length: int | None = None,
+                      clip: Callable[[str, int], str] = first_words, length: Callable[[str], int] = n_words):
     """D6 (user backend): ``factory() -> encode(list[str]) -> list[list[float]]``,
-    loaded once per worker; vectors are L2-normalised."""
+    loaded once per worker and called on batches of texts of like length, whole
+    unless ``max_length`` is given; vectors are L2-normalised."""
     import numpy as np
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -221,11 +284,10 @@ def callable_embedder(factory: Callable[[], Callable[[list[str]], list]], batch_
         for s in batches:
             texts = s.fillna("").astype(str).tolist()
             vecs = []
-            for i in range(0, len(texts), batch_size):
-                for v in encode(texts[i:i + batch_size]):
-                    a = np.asarray(v, dtype="float32")
-                    nrm = float(np.linalg.norm(a))
-                    vecs.append((a / nrm if nrm > 0 else a).tolist())
+            for v in predict_all(encode, texts, batch_size, max_length, clip, length):
+                a = np.asarray(v, dtype="float32")
+                nrm = float(np.linalg.norm(a))
+                vecs.append((a / nrm if nrm > 0 else a).tolist())
             yield pd.Series(vecs)
 
     return _embed

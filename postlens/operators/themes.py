@@ -23,10 +23,13 @@ from postlens.functions.text import (normalize_text, summary_terms, title_prompt
                                      with_generated_title)
 from postlens.operators.cleaning import drop_duplicate_posts
 from postlens.operators.filters import timestamp_window
-from postlens.operators.keywords import (_text_partitions, keywords_per_group, ngram_terms, theme_keywords, tfidf)
+from postlens.operators.clustering import coreset, dense_themes, embedded
+from postlens.operators.keywords import (keywords_per_group, ngram_terms, text_partitions, theme_keywords, tfidf,
+                                         weighted_keywords_per_group)
 from postlens.operators.metrics import label_counts
-from postlens.operators.sampling import first_n_per_group, newest_rows, seeded_sample
+from postlens.operators.sampling import first_n_per_group, newest_rows
 from postlens.operators.scoring import tfidf_features
+from postlens.session import cut_lineage, scratch_path
 
 THEME_SCHEMA = T.StructType([
     T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType()),
@@ -43,7 +46,7 @@ def kmeans_assign(features: DataFrame, k: int, seed: int = 42, features_col: str
                   fit_sample: int | None = None, id_col: str = "id", max_iter: int = 300,
                   retry_if_short: bool = True, out_col: str = "theme", n_init: int = 1):
     """KMeans with ``k = max(2, k)`` and a fixed seed, fitted on all
-    rows (or on a reproducible ``fit_sample``); when fewer than k clusters
+    rows (or on a weighted coreset of about ``fit_sample``); when fewer than k clusters
     are non-empty, refit once on all rows with the next seed.  ``n_init``
     runs that many seeds and keeps the fit with the lowest cost.  Returns the
     fitted model; ``model.transform`` assigns every row (D8)."""
@@ -54,12 +57,12 @@ def kmeans_assign(features: DataFrame, k: int, seed: int = 42, features_col: str
     # seeded k-means|| initialisation reproducible without a global sort
     data = features.select(id_col, features_col).sortWithinPartitions(id_col).persist()
     try:
-        train = seeded_sample(data, fit_sample, seed=seed, id_col=id_col) if fit_sample else data
+        train = coreset(data, fit_sample, seed, id_col, features_col).persist() if fit_sample else data
         # n_init > 1: several seeded fits, keep the lowest within-cluster cost
         model = None
         for i in range(max(1, int(n_init))):
             km = KMeans(k=k, seed=seed + i, featuresCol=features_col, predictionCol=out_col, maxIter=max_iter)
-            m = km.fit(train)
+            m = (km.setWeightCol("weight") if fit_sample else km).fit(train)
             if model is None or m.summary.trainingCost < model.summary.trainingCost:
                 model = m
         if retry_if_short:
@@ -304,13 +307,26 @@ def with_names_and_summaries(t: DataFrame, generate_fn: Callable[[str], str] | N
 # ---------------------------------------------------------------------------
 # J5 whole theme job
 # ---------------------------------------------------------------------------
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, max_rows: int | None = None,
                    fit_sample: int | None = None, merge_similar: bool = True, keep_merged: bool = False,
                    generate_fn: Callable[[str], str] | None = None, seed: int = 42,
-                   vocab_size: int = 3000, features: DataFrame | None = None, n_init: int = 1) -> dict:
+                   vocab_size: int = 3000, features: DataFrame | None = None, n_init: int = 1,
+                   embedder: Callable | None = None) -> dict:
     """Dedupe → window → newest rows → vectors → KMeans → keywords →
-    counts → names/summaries → final set.  Returns ``{"themes": DataFrame,
-    "posts": DataFrame (with theme), "run": one-row DataFrame}``."""
+    counts → names/summaries → final set.  Vectors are TF-IDF unless
+    ``features`` (id, features) or an ``embedder`` is given: a factory of a
+    text encoder, loaded once per worker (D6).  A ``fit_sample`` is a weighted
+    coreset of about so many rows.  Themes without keywords of their own (C8)
+    get weighted ones (C6).  Returns ``{"themes": DataFrame, "posts": DataFrame
+    (with theme), "run": one-row DataFrame}``; posts are a table in the shared
+    folder, and nothing stays in executors' storage."""
     spark = df.sparkSession
     if "theme" in df.columns:
         df = df.drop("theme")  # this job assigns the themes
@@ -339,23 +355,31 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
                 "run": run}
     # one shuffle by post id; everything per post below (terms, vectors,
     # assignment, per-theme term counts) then runs without another exchange
-    data = data.repartition(_text_partitions(data), "id")
+    data = data.repartition(text_partitions(data, text_col), "id")
     data = data.withColumn("__terms", ngram_terms(F.col(text_col), list(W.ENGLISH_STOPWORDS)))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    if features is None:
-        featurize, feats = tfidf_features(data, "__terms", vocab_size=vocab_size)
+    if embedder is not None or features is not None:
+        feats = embedded(data, text_col, embedder) if embedder is not None else features.select("id", "features")
+        scored, _ = dense_themes(data.join(feats, "id"), n_clusters, seed, fit_sample=fit_sample, n_init=n_init)
+        assigned = scored.drop("features")
     else:
-        feats = data.join(features.select("id", "features"), "id")
-        featurize = None
-    model = kmeans_assign(feats, n_clusters, seed=seed, fit_sample=fit_sample, n_init=n_init)
-    scored = featurize(data) if featurize is not None else feats
-    assigned = model.transform(scored).drop("features").withColumn("theme", F.col("theme").cast("int"))
-    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
-    kws = keywords_per_group(theme_keywords(assigned, "theme", "id", text_col, terms_col="__terms",
-                                            partitioned_by_doc=features is None))
+        featurize, feats = tfidf_features(data, "__terms", vocab_size=vocab_size)
+        model = kmeans_assign(feats, n_clusters, seed=seed, fit_sample=fit_sample, n_init=n_init)
+        assigned = model.transform(featurize(data)).drop("features").withColumn("theme", F.col("theme").cast("int"))
+    posts = _stored(assigned.drop("__terms"), "themed-posts")
+    # terms by post again, in the partitions they were made in
+    themed = data.select("id", text_col, "__terms").join(posts.select("id", "theme"), "id")
+    kws = keywords_per_group(theme_keywords(themed, "theme", "id", text_col, terms_col="__terms", partitioned_by_doc=True))
+    data.unpersist(blocking=False)
+    assigned = posts
     key = sentiment_key(F.col("sentiment_label")) if "sentiment_label" in assigned.columns else F.lit(None)
     counts = assigned.groupBy("theme").agg(F.count("*").alias("tweet_count"), *label_counts(key))
-    t = counts.join(kws, "theme", "left")
+    t = cut_lineage(counts.join(kws, "theme", "left"))
+    bare = t.where(F.col("keywords").isNull()).select(F.col("theme").alias("_theme"))
+    if not bare.isEmpty():  # themes whose terms are all dropped
+        own = weighted_keywords_per_group(assigned.join(F.broadcast(bare), F.col("theme") == F.col("_theme"), "left_semi"), "theme", text_col)
+        own = keywords_per_group(own).select(F.col("theme").alias("_theme"), F.col("keywords").alias("_own"))
+        t = t.join(own, F.col("theme") == F.col("_theme"), "left").withColumn("keywords", F.coalesce("keywords", "_own")).drop("_theme", "_own")
     t = t.withColumn("keywords", F.coalesce(F.col("keywords"),
                                             F.array(*[F.lit(w) for w in W.DEFAULT_KEYWORDS])))
     if generate_fn is None:
@@ -369,11 +393,10 @@ def compute_themes(df: DataFrame, n_clusters: int = 12, start=None, end=None, ma
     themes = t.select(F.col("theme").alias("id"), "name", "summary", "tweet_count", "positive", "negative",
                       "neutral", "used_generator")
     themes = themes.withColumn("pos", F.row_number().over(Window.orderBy(F.col("tweet_count").desc(), "id")))
-    themes = themes.persist()
+    themes = cut_lineage(themes)
     used_llm = bool(themes.where(F.col("used_generator")).limit(1).count())
     final = final_theme_set(themes.drop("used_generator"), n_clusters, merge_similar, keep_merged)
     n_rows = assigned.count()
     run = spark.createDataFrame([(now, used_llm, n_rows)],
                                 "updated_at timestamp_ntz, used_llm boolean, source_row_count long")
-    data.unpersist(blocking=False)
-    return {"themes": final, "posts": assigned.drop("__terms"), "run": run}
+    return {"themes": final, "posts": assigned, "run": run}

@@ -48,6 +48,33 @@ def q_exec_summary(spark, d):
 _NL = "chr(10)"
 
 
+@register("executive_summary_prompt", "K1,C17,H5,F3,F13,C5", with_posts(f"""
+with {_W},
+c as (select count(*) as total, {', '.join(f"count_if({SKEY} = '{s}') as {s}" for s in ('positive', 'neutral', 'negative'))} from w),
+ta as (select aspect_dominant as aspect, count(*) as n, {', '.join(f"count_if({SKEY} = '{s}') as {s}" for s in ('positive', 'neutral', 'negative'))}
+       from w group by 1 order by n desc, aspect limit 6),
+tf as (select * from ta where {ADISP.replace('aspect_dominant', 'aspect')} <> 'Other'),
+a as (select coalesce(string_agg('{{"aspect":"' || aspect || '","count":' || n || ',"pos":' || positive || ',"neg":' || negative || ',"neu":' || neutral || '}}',
+      ',' order by n desc, aspect), '') as listed from tf),
+n as (select {norm_sql('text')} as norm from w where sentiment_label in ('negative', 'positive', 'neutral')),
+tk as (select unnest(case when norm = '' then [] else string_split(norm, ' ') end) as token from n),
+g as (select token, count(*) as n from tk where {_BASIC} group by 1 order by n desc, token limit 10),
+k as (select coalesce(string_agg('"' || token || '"', ',' order by n desc, token), '') as listed from g),
+e as (select coalesce(text, '') as text, list_position(['negative', 'positive', 'neutral'], sentiment_label) as lo,
+        row_number() over (partition by sentiment_label order by createdat, id) as rn from w where sentiment_label in ('negative', 'positive', 'neutral')),
+f as (select text, row_number() over (order by lo, rn) as r from e where rn <= 120),
+x as (select count(*) as n, string_agg('- ' || text, {_NL} order by r) as listed from f where r <= 120),
+p as (select {', '.join(f"regexp_replace(printf('%.2f', round({s} / total * 100, 2)), '0$', '') as {s}" for s in ('positive', 'neutral', 'negative'))} from c)
+select total, 'Date window: {START} to {END}' || {_NL} || 'Grounding (JSON): {{"sentiment":{{"total":' || total || ',"counts":{{"positive":' || c.positive
+  || ',"neutral":' || c.neutral || ',"negative":' || c.negative || '}},"percent":{{"positive":' || p.positive || ',"neutral":' || p.neutral
+  || ',"negative":' || p.negative || '}}}},"top_aspects":[' || a.listed || '],"keywords":[' || k.listed || ']}}' || {_NL} || 'Examples (' || x.n || ' tweets):' || {_NL}
+  || x.listed || {_NL} || {_NL} || '{K.SUMMARY_PROMPT_TAIL}' as prompt
+from c, a, k, x, p
+""", text=True))
+def q_exec_prompt(spark, d):
+    return K.executive_summary(posts(spark, d, with_text=True), START, END, with_prompt=True).select("total", "prompt")
+
+
 @register("rule_based_summary", "K2,F14,F8", with_posts(f"""
 with {_W},
 c as (select count(*) as total, count_if(sentiment_label = 'positive') as positive,

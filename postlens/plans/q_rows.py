@@ -300,7 +300,7 @@ with f as (select id, createdat, lower(sentiment_label) as l,
            from posts where lower(aspect_dominant) = 'delivery' and lower(sentiment_label) in ('positive', 'neutral', 'negative')),
 r as (select *, row_number() over (partition by l order by createdat desc, id) as rn from f),
 k as (select * from r)
-select cast(row_number() over (order by case l when 'positive' then 1 when 'neutral' then 2 else 3 end, rn) as integer)
+select cast(row_number() over (order by case l when 'positive' then 1 when 'neutral' then 2 else 3 end, rn) as bigint)
   as tweet_no, tweet_text, 'delivery' as aspect, l as sentiment, '{START} to {END}' as date_range from k
 """, wide=True).replace("from posts where lower(aspect_dominant)",
                         f"from posts where date >= date '{START}' and date <= date '{END}' and lower(aspect_dominant)"))
@@ -314,7 +314,7 @@ with f as (select id, createdat, lower(sentiment_label) as l, lower(aspect_domin
            from posts where date >= date '{START}' and date <= date '{END}'),
 k as (select *, list_position(['pricing', 'delivery', 'returns', 'staff', 'app_ux'], a) as ao,
         list_position(['positive', 'neutral', 'negative'], l) as lo from f)
-select cast(row_number() over (order by ao, lo, createdat desc, id) as integer) as tweet_no, tweet_text,
+select cast(row_number() over (order by ao, lo, createdat desc, id) as bigint) as tweet_no, tweet_text,
   a as aspect, l as sentiment, '{START} to {END}' as date_range from k where ao > 0 and lo > 0
 """, wide=True))
 def q_aspects_export(spark, d):
@@ -327,7 +327,7 @@ with f as (select id, createdat, coalesce(nullif(text_clean, ''), nullif(text, '
            from posts where date >= date '{START}' and date <= date '{END}'
            and lower(aspect_dominant) = 'staff' and lower(sentiment_label) = 'positive'),
 r as (select *, row_number() over (order by createdat desc, id) as rn from f)
-select cast(rn as integer) as tweet_no, tweet_text, 'staff' as aspect, 'positive' as sentiment,
+select cast(rn as bigint) as tweet_no, tweet_text, 'staff' as aspect, 'positive' as sentiment,
   '{START} to {END}' as date_range from r
 """, wide=True))
 def q_aspect_sentiment_export(spark, d):

@@ -114,6 +114,32 @@ def q_weighted_keywords_corpus(spark, d):
     return K.weighted_keywords(_docs(spark, d), "text", k=_K, business=CORPUS_TERMS)
 
 
+def _weighted_by_theme_sql(business) -> str:
+    bus = _q(business)
+    return with_posts(f"""
+with n as (select theme, {norm_sql('text')} as norm from posts),
+t as (select theme, unnest(case when norm = '' then [] else string_split(norm, ' ') end) as token from n),
+f as (select theme, token from t where length(token) >= 3 and token not in {_q(W.THEME_STOPWORDS)}
+      and not regexp_full_match(token, '[0-9]+')),
+w as (select theme, token, sum(case when token in {bus} then 2 else 1 end) as weight from f group by 1, 2),
+c as (select * from (select *, row_number() over (partition by theme order by weight desc, token) as pos from w) where pos <= {5 * _K}),
+c2 as (select *, (pos <= {3 * _K} and not {noise_sql('token')} and (token in {bus} or
+        (length(token) > 4 and regexp_full_match(token, '\\p{{L}}+') and token <> upper(token)))) as keep,
+        (token in {bus} and not {noise_sql('token')}) as bus from c),
+c3 as (select *, sum(case when keep then 1 else 0 end) over (partition by theme order by pos rows between unbounded preceding and current row) as keep_rank,
+        sum(case when bus then 1 else 0 end) over (partition by theme order by pos rows between unbounded preceding and current row) as bus_rank,
+        least({_K}, sum(case when keep then 1 else 0 end) over (partition by theme)) as n_keep from c2),
+picked as (select theme, token, keep_rank as r from c3 where keep and keep_rank <= {_K}
+           union all select theme, token, {_K} + bus_rank from c3 where bus and bus_rank <= {_K} - n_keep)
+select theme, cast(row_number() over (partition by theme order by r) as integer) as rank, token as keyword from picked
+""", text=True)
+
+
+@register("weighted_keywords_per_theme", "C6,C4,J5", lambda: _weighted_by_theme_sql(CORPUS_TERMS))
+def q_weighted_per_theme(spark, d):
+    return K.weighted_keywords_per_group(posts(spark, d, with_text=True), "theme", "text", k=_K, business=CORPUS_TERMS)
+
+
 @register("noise_words", "C4", f"""
 with {_TOKENS} select distinct token, {noise_sql('token')} as noise from t
 """)
