@@ -10,6 +10,7 @@ walks (merge, MMR) that are inherently sequential.
 from __future__ import annotations
 
 import datetime as _dt
+import heapq
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
@@ -159,46 +160,94 @@ def merge_similar_themes(themes: DataFrame, threshold: float = 0.7) -> DataFrame
         .orderBy(F.col("tweet_count").desc(), "id")
 
 
-def theme_cosines(posts: DataFrame, theme_col: str = "theme", text_col: str = "text", doc_col: str = "id",
+def theme_vectors(posts: DataFrame, theme_col: str = "theme", text_col: str = "text", doc_col: str = "id",
                   max_features: int = 4000, max_docs_per_theme: int | None = None) -> DataFrame:
-    """J3 helper: cosine between theme TF-IDF vectors (a theme's term counts
-    are the sums over its posts) → ``(a, b, cosine)`` for a ≠ b with a shared
-    term; computed as a sparse dot product joined on the term."""
+    """J3 helper: the normalised TF-IDF vectors of themes (a theme's term counts
+    are the sums over its posts) as rows ``theme, term, weight``, at most
+    ``max_features`` a theme, in a table in the shared folder."""
     src = posts.select(F.col(theme_col).alias("theme"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     if max_docs_per_theme:
         src = src.withColumn("_r", F.row_number().over(Window.partitionBy("theme").orderBy("doc"))) \
             .where(F.col("_r") <= max_docs_per_theme)
     # every theme is one "document": reuse the TF-IDF job with the theme as doc
-    rows = tfidf(src.select(F.col("theme").alias("tdoc"), "text"), "tdoc", "text", max_features=max_features,
-                 docs_are_groups=True)
-    a = rows.select(F.col("tdoc").alias("a"), "term", F.col("weight").alias("wa"))
-    b = rows.select(F.col("tdoc").alias("b"), "term", F.col("weight").alias("wb"))
-    return a.join(b, "term").where(F.col("a") != F.col("b")).groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    rows = tfidf(src.select("theme", "text"), "theme", "text", max_features=max_features, docs_are_groups=True)
+    return _stored(rows.select("theme", "term", "weight"), "theme-vectors")
+
+
+def cosines(vectors: DataFrame, left: Sequence[int] | None = None, right: Sequence[int] | None = None) -> DataFrame:
+    """Cosines ``(a, b, cosine)`` of the themes ``left`` with the themes
+    ``right`` (default: all with all) that share a term, a ≠ b; a sparse dot
+    product joined on the term."""
+    of = lambda ids: vectors if ids is None else vectors.where(F.col("theme").isin(list(ids)))
+    a = of(left).select(F.col("theme").alias("a"), "term", F.col("weight").alias("wa"))
+    b = of(right).select(F.col("theme").alias("b"), "term", F.col("weight").alias("wb"))
+    return a.join(b, "term").where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+
+
+def theme_cosines(posts: DataFrame, theme_col: str = "theme", text_col: str = "text", doc_col: str = "id",
+                  max_features: int = 4000, max_docs_per_theme: int | None = None) -> DataFrame:
+    """J3 helper: the cosines of all themes."""
+    return cosines(theme_vectors(posts, theme_col, text_col, doc_col, max_features, max_docs_per_theme))
 
 
-def mmr_order(sizes: dict[int, int], cos: dict[tuple[int, int], float], n: int, lam: float = 0.65) -> list[int]:
+#: Theme pairs that are looked up at once in J3, and candidates of a look-up beyond that.
+PAIRS, BLOCK = 65_536, 256
+
+
+def mmr_order(sizes: dict[int, int], lookup: Callable[[list[int], list[int]], dict[tuple[int, int], float]] | dict[tuple[int, int], float],
+              n: int, lam: float = 0.65, block: int = BLOCK) -> list[int]:
     """The order in which themes are taken, each the one with the largest
     λ·relative size − (1−λ)·penalty among those left; equal scores go by size,
-    then id.  A theme's penalty is its largest cosine to a taken theme (0 at
-    least) and is raised whenever one is taken."""
+    then id.  A theme's penalty is its largest cosine to a taken theme, 0 at
+    least.
+
+    Penalties only rise, so a score from some of the taken themes bounds the
+    score from all.  Themes wait in a heap by their bounds; the first one is
+    taken if its bound counts all taken themes, else it and the next ones, up
+    to ``block``, are looked up against the taken themes that their bounds lack
+    (``lookup(candidates, taken)`` gives cosines; missing ones are 0).  Most
+    themes of a long tail are never looked up."""
+    if isinstance(lookup, dict):
+        known = lookup
+        lookup = lambda left, right: {(a, b): known.get((a, b), 0.0) for a in left for b in right}
     largest = max(sizes.values(), default=0) or 1
-    penalty = dict.fromkeys(sorted(sizes, key=lambda i: (-sizes[i], i)), 0.0)
-    place = {i: -p for p, i in enumerate(penalty)}
+    place = {i: p for p, i in enumerate(sorted(sizes, key=lambda i: (-sizes[i], i)))}
+    penalty, seen = dict.fromkeys(sizes, 0.0), dict.fromkeys(sizes, 0)
+
+    def entry(i: int) -> tuple[float, int, int]:
+        return (-(lam * sizes[i] / largest - (1 - lam) * penalty[i]), place[i], i)
+
+    heap = [entry(i) for i in sizes]
+    heapq.heapify(heap)
     order: list[int] = []
-    while penalty and len(order) < n:
-        taken = max(penalty, key=lambda i: (lam * sizes[i] / largest - (1 - lam) * penalty[i], place[i]))
-        del penalty[taken]
-        order.append(taken)
-        penalty = {i: max(p, cos.get((i, taken), 0.0)) for i, p in penalty.items()}
+    while heap and len(order) < n:
+        first = heapq.heappop(heap)[2]
+        if seen[first] == len(order):
+            order.append(first)
+            continue
+        behind = [first]
+        while heap and len(behind) < block and seen[heap[0][2]] < len(order):
+            behind.append(heapq.heappop(heap)[2])
+        found = lookup(behind, order[min(seen[i] for i in behind):])
+        for i in behind:
+            penalty[i] = max([penalty[i], *(found.get((i, t), 0.0) for t in order[seen[i]:])])
+            seen[i] = len(order)
+            heapq.heappush(heap, entry(i))
     return order
 
 
 def mmr_select(themes: DataFrame, posts: DataFrame, n: int, lam: float = 0.65, **kw) -> DataFrame:
-    """Diversity-aware choice of n themes; adds ``mmr_rank``."""
+    """Diversity-aware choice of n themes; adds ``mmr_rank``.  The driver
+    holds the themes' sizes, and cosines of pairs that the choice asks for; up
+    to ``PAIRS`` pairs are looked up in one job."""
     sizes = {r["id"]: r["tweet_count"] for r in themes.select("id", "tweet_count").collect()}
-    cos = {(r["a"], r["b"]): r["cosine"] for r in theme_cosines(posts, **kw).collect()}
-    order = mmr_order(sizes, cos, n, lam)
+    vectors = theme_vectors(posts, **kw)
+    if len(sizes) ** 2 <= PAIRS:
+        lookup = {(r["a"], r["b"]): r["cosine"] for r in cosines(vectors).collect()}
+    else:
+        def lookup(left: list[int], right: list[int]) -> dict[tuple[int, int], float]:
+            return {(r["a"], r["b"]): r["cosine"] for r in cosines(vectors, left, right).collect()}
+    order = mmr_order(sizes, lookup, n, lam)
     ranks = themes.sparkSession.createDataFrame(list(zip(order, range(1, len(order) + 1))), "id int, mmr_rank int")
     return themes.join(F.broadcast(ranks), "id").orderBy("mmr_rank")
 

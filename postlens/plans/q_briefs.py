@@ -167,3 +167,27 @@ def q_extract_json(spark, d):
     return pages.select("page_id", K.extract_brief_json(F.col("html")).alias("s")).select(
         "page_id", F.size("s.executive_bullets").alias("n_bullets"), F.size("s.themes").alias("n_themes"),
         F.size("s.risks").alias("n_risks"), F.size("s.opportunities").alias("n_opportunities"))
+
+
+@register("extract_json_turns", "C14", """
+select conv_id, turn, k, case when k = 3 or text is null then 0 else 1 end as n_bullets, case when k = 3 or text is null then 0 else 2 end as n_themes,
+  case when k in (3, 4) or text is null then 0 else 1 end as n_risks, case when k in (3, 4) or text is null then 0 else 2 end as n_opportunities,
+  case when k <> 3 then text end as first_bullet, case when k <> 3 and text is not null then role end as last_theme
+from (select *, cast((conv_id * 3 + turn) % 5 as integer) as k from conversations)
+""")
+def q_extract_turns(spark, d):
+    """C14 over an answer made of each turn: its text and role as lists in JSON, which stands in a fenced block, in the last
+    of two, between braces in prose, broken off, or in a fenced block without two of its lists."""
+    k = ((F.col("conv_id") * 3 + F.col("turn")) % 5).cast("int")
+    lists = [F.array("text").alias("executive_bullets"), F.array(F.lit("theme"), F.col("role")).alias("themes")]
+    whole = F.to_json(F.struct(*lists, F.array(F.lit("r")).alias("risks"), F.array("role", "text").alias("opportunities")))
+    fenced = lambda j: F.concat(F.lit("Some words.\n```json\n"), j, F.lit("\n```\nMore words."))
+    answer = F.when(k == 0, fenced(whole)).when(k == 1, F.concat(fenced(F.lit('{"themes": ["old"]}')), fenced(whole))) \
+        .when(k == 2, F.concat(F.lit("The brief: "), whole, F.lit(" and no more"))).when(k == 3, F.substring(whole, 1, 20)) \
+        .otherwise(fenced(F.to_json(F.struct(*lists))))
+    rows = read_table(spark, d, "conversations").withColumn("answer", F.when(F.col("text").isNotNull(), answer))
+    rows = rows.select("conv_id", "turn", k.alias("k"), K.extract_brief_json(F.col("answer")).alias("s"))
+    size = lambda c, n: F.size(f"s.{c}").alias(n)
+    return rows.select("conv_id", "turn", "k", size("executive_bullets", "n_bullets"), size("themes", "n_themes"), size("risks", "n_risks"),
+                       size("opportunities", "n_opportunities"), F.try_element_at("s.executive_bullets", F.lit(1)).alias("first_bullet"),
+                       F.try_element_at("s.themes", F.lit(-1)).alias("last_theme"))

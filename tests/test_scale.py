@@ -48,6 +48,53 @@ def test_limits_of_callers_are_kept(spark):
     assert H.theme_posts(df, 3, limit=1500, fields=["id"]).count() == 1500
 
 
+def test_mmr_by_bounds_equals_the_plain_walk():
+    import random
+
+    def plain(sizes, cos, n, lam):
+        largest, order, left = max(sizes.values(), default=0) or 1, [], set(sizes)
+        while left and len(order) < n:
+            best = max(left, key=lambda i: (lam * sizes[i] / largest - (1 - lam) * max([0.0, *(cos.get((i, t), 0.0) for t in order)]), sizes[i], -i))
+            left.remove(best)
+            order.append(best)
+        return order
+
+    rand = random.Random(6)
+    for _ in range(200):
+        k = rand.randint(0, 60)
+        sizes = {i: rand.randint(0, 30) for i in rand.sample(range(100), k)}
+        cos = {}
+        for a in sizes:
+            for b in sizes:
+                if a < b and rand.random() < 0.5:
+                    cos[a, b] = cos[b, a] = rand.choice([-0.2, 0.1, 0.5, rand.random()])
+        asked = set()
+
+        def lookup(left, right):
+            asked.update((a, b) for a in left for b in right)
+            return {(a, b): cos[a, b] for a in left for b in right if (a, b) in cos}
+
+        n, lam = rand.randint(0, 20), rand.choice([0.3, 0.65, 1.0])
+        want = plain(sizes, cos, n, lam)
+        assert mmr_order(sizes, cos, n, lam) == mmr_order(sizes, lookup, n, lam, block=rand.randint(1, 5)) == want
+    # a long tail of small themes is not looked up
+    sizes = {i: 10**6 - i * 900 for i in range(1000)}
+    asked.clear()
+    cos = {}
+    assert mmr_order(sizes, lookup, 10, block=4) == list(range(10)) and len(asked) < 500
+
+
+def test_mmr_asks_for_cosines_when_there_are_many_themes(spark, monkeypatch):
+    from postlens.operators import themes as J
+
+    rows = [(i, i % 6, f"{'alpha beta' if i % 6 < 3 else 'gamma delta'} word{i % 6} " * (1 + i % 3)) for i in range(120)]
+    posts = spark.createDataFrame(rows, "id long, theme int, text string")
+    themes = spark.createDataFrame([(i, 60 - i) for i in range(6)], "id int, tweet_count int")
+    whole = [tuple(r) for r in J.mmr_select(themes, posts, 5).collect()]
+    monkeypatch.setattr(J, "PAIRS", 0)
+    assert [tuple(r) for r in J.mmr_select(themes, posts, 5).collect()] == whole and len(whole) == 5
+
+
 def test_mmr_takes_ties_by_size_then_id():
     assert mmr_order({3: 10, 1: 10, 2: 5}, {}, 3) == [1, 3, 2]
     assert mmr_order({}, {}, 3) == [] and mmr_order({4: 0, 2: 0}, {}, 1) == [2]
