@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.llm.common import WORD, fresh
+from postlens.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -118,7 +119,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     of = placed(docs, weights, share, epochs).where("size > 0")
     ends_of = of.groupBy(F.col("source").alias(own)).agg(
         F.struct(F.max("turns").alias("turns"), F.max(F.when(2 * F.col("last") >= F.col("size"), F.struct("key", "doc_id", "size"))).alias("end")).alias(ends))
-    if ends_of.limit(SOURCES + 1).count() <= SOURCES:
+    ends_of = cut_lineage(ends_of)  # a row a source, counted here and joined below
+    if ends_of.count() <= SOURCES:
         ends_of = F.broadcast(ends_of)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     out = docs.withColumn(rank, F.struct(order_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", size.alias("size")))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import fresh, words
+from postlens.llm.common import fresh, tidy, words
 from postlens.session import cut_lineage
 
 N, SIMILARITY, RECALL, SPREAD = 5, 0.8, 0.9999, 2.0
@@ -105,6 +105,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+@tidy
 def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key, set digest, size and the buckets two steps below the roots of all runs."""
     roots = np.arange(1, runs() + 1, dtype=np.uint64)
@@ -125,6 +126,7 @@ def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["key", "doc_id", "own", "node", "size", "paths"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets, in place of their texts, of rows whose text still has the wanted digest."""
     for batch in batches:
@@ -141,6 +143,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], names=[*rest, "tokens"])
 
 
+@tidy
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parts of buckets that a node goes on to."""
     for batch in batches:
@@ -219,6 +222,7 @@ def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
+@tidy
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each bucket or pair of blocks; rows of one stand together."""
     out: list[list] = [[], [], []]

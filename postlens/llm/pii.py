@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import per_text, struct
+from postlens.llm.common import per_text, struct, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # an address is what LOCAL characters stand before an at sign that DOMAIN follows
@@ -286,6 +286,7 @@ def _all_spans(text: str, model) -> list[tuple[str, int, int, bool]]:
 def fitted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """The field's weights from all documents; None if no token holds a digit or an at sign."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Counter = Counter()
         for batch in batches:
