@@ -40,9 +40,18 @@ def normalize_text(c: Column | str) -> Column:
     return F.trim(t)
 
 
+def split_tokens(c: Column | str) -> Column:
+    """The tokens of C2 with an empty one where the text begins or ends with
+    something else: what is left of the text without URLs, mentions and hashtags
+    is cut at runs of other characters, in one pass."""
+    t = F.lower(F.coalesce(_c(c).cast("string"), F.lit("")))
+    marked = t.contains("http") | t.contains("@") | t.contains("#")
+    return F.split(F.when(marked, F.regexp_replace(t, URL_MENTION_HASHTAG, " ")).otherwise(t), r"[^a-z0-9']+")
+
+
 def tokens(c: Column | str) -> Column:
     """C2 (array form): whitespace tokens of the normalised text, no empties."""
-    return F.filter(F.split(normalize_text(c), " "), lambda w: w != "")
+    return F.filter(split_tokens(c), lambda w: w != "")
 
 
 def is_lower_word(w: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from postlens.functions import wordlists as W
 from postlens.functions.columns import aspect_display, pretty_label, resolve, sentiment_key
 from postlens.operators.filters import date_window, keyword_filter, timestamp_window
-from postlens.functions.text import tokens
+from postlens.functions.text import split_tokens
 from postlens.operators.keywords import basic_token_filter, top_keywords
 from postlens.operators.metrics import basic_stats, label_counts
 from postlens.operators.sampling import balanced_sample, seeded_sample
@@ -135,16 +135,16 @@ def period_facts(posts: DataFrame, text_col: str | None, top_aspects: int, keywo
     aspect and one for each of its tokens, all are counted in one aggregate, and at most ``keywords`` of a kind go on.
     Without a text column there are no keywords."""
     key = sentiment_key(F.col("sentiment_label"))
-    none = F.array().cast("array<string>")
-    words = none
+    # tokens have no capitals: P is the post itself, A its aspect, N the lack of one
+    facts = F.array(F.lit("P"), F.coalesce(F.concat(F.lit("A"), F.col("aspect_dominant")), F.lit("N")))
     if text_col:
-        labelled = F.col("sentiment_label").isin(*W.SENTIMENTS)
-        words = F.when(labelled, F.filter(tokens(text_col), lambda t: basic_token_filter(t))).otherwise(none)
-    kinds = F.concat(F.array(F.struct(F.lit("post").alias("kind"), F.lit("").alias("key")),
-                             F.struct(F.lit("aspect").alias("kind"), F.col("aspect_dominant").alias("key"))),
-                     F.transform(words, lambda t: F.struct(F.lit("token").alias("kind"), t.alias("key"))))
-    facts = posts.select(key.alias("_key"), F.inline(kinds))
-    g = facts.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), *label_counts(F.col("_key")))
+        facts = F.concat(facts, F.when(F.col("sentiment_label").isin(*W.SENTIMENTS), split_tokens(text_col)).otherwise(F.array().cast("array<string>")))
+    fact = F.col("fact")
+    rows = posts.select(key.alias("_key"), F.explode(facts).alias("fact"))
+    rows = rows.where(((fact >= "A") & (fact < "Z")) | basic_token_filter(fact)) if text_col else rows
+    g = rows.groupBy("fact").agg(F.count(F.lit(1)).alias("n"), *label_counts(F.col("_key")))
+    kind = F.when(fact == "P", F.lit("post")).when(fact.startswith("A") | (fact == "N"), F.lit("aspect")).otherwise(F.lit("token"))
+    g = g.select(kind.alias("kind"), F.when(kind == "aspect", F.when(fact != "N", F.substring(fact, 2, 1 << 30))).otherwise(fact).alias("key"), "n", *W.SENTIMENTS)
     order = Window.partitionBy("kind").orderBy(F.col("n").desc(), F.col("key"))
     cut = F.when(F.col("kind") == "aspect", F.lit(top_aspects)).otherwise(F.lit(keywords))
     g = g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top_aspects, keywords)).where(F.col("rank") <= cut)

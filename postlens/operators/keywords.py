@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import wordlists as W
-from postlens.functions.text import is_noise, normalize_text, tokens
+from postlens.functions.text import is_noise, split_tokens
 from postlens.session import cut_lineage
 
 # Unicode words of two or more characters (the sklearn default token pattern)
@@ -42,12 +42,17 @@ def text_partitions(df: DataFrame, text_col: str) -> int:
 # ---------------------------------------------------------------------------
 def explode_tokens(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per whitespace token of the normalised text."""
-    return df.select(*keep, F.explode(tokens(text_col)).alias("token"))
+    return df.select(*keep, F.explode(split_tokens(text_col)).alias("token")).where(F.col("token") != "")
 
 
 def basic_token_filter(tok: Column, stopwords: Sequence[str] = W.SUMMARY_STOPWORDS) -> Column:
     """Length ≥ 3, not a stopword, not all digits."""
-    return (F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~tok.rlike(r"^[0-9]+$")
+    return (F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~_all_digits(tok)
+
+
+def _all_digits(tok: Column) -> Column:
+    """Whether a token is a number; the pattern is tried on those that don't begin with a letter."""
+    return (tok < "a") & tok.rlike(r"^[0-9]+$")
 
 
 def remove_stopwords(tokens_df: DataFrame, stopwords: DataFrame, token_col: str = "token",
@@ -84,7 +89,7 @@ def weighted_keywords(df: DataFrame, text_col: str = "text", k: int = 8,
     the default list when nothing survives.  → ``(rank, keyword)``."""
     tok = F.col("token")
     toks = explode_tokens(df, text_col).where(
-        (F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~tok.rlike(r"^[0-9]+$"))
+        (F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~_all_digits(tok))
     weighted = toks.groupBy("token").agg(
         F.sum(F.when(tok.isin(*business), F.lit(2)).otherwise(F.lit(1))).alias("weight"))
     # at most 5k candidates leave the aggregate (per-partition top-k + merge);
@@ -122,7 +127,7 @@ def weighted_keywords_per_group(df: DataFrame, group_col: str = "theme", text_co
     array of at most 5k, on which the rules of C6 work.  A group none of whose
     words survive gets the defaults, a null group is one of its own."""
     tok = F.col("token")
-    toks = explode_tokens(df, text_col, keep=[group_col]).where((F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~tok.rlike(r"^[0-9]+$"))
+    toks = explode_tokens(df, text_col, keep=[group_col]).where((F.length(tok) >= 3) & ~tok.isin(*stopwords) & ~_all_digits(tok))
     weighted = toks.groupBy(group_col, "token").agg(F.sum(F.when(tok.isin(*business), F.lit(2)).otherwise(F.lit(1))).alias("weight"))
     best = F.row_number().over(Window.partitionBy(group_col).orderBy(F.col("weight").desc(), "token"))
     cand = weighted.withColumn("pos", best).where(F.col("pos") <= 5 * k)
