@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlens.session import scratch_path
+
 #: Rows that are worked on at a time.
 SLICE = 1000
 #: A word: a run of anything but ASCII white space.
@@ -33,6 +35,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: unlike a checkpoint it is computed once, and what Spark has
+    inferred of its columns doesn't grow from round to round."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def release() -> None:
     """Give back the memory that a task's work has freed: a Python worker lives on beside its executor."""
     gc.collect()

@@ -37,8 +37,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import fresh
-from postlens.session import cut_lineage, scratch_path
+from postlens.llm.common import fresh, stored
+from postlens.session import cut_lineage
 
 #: Records in a bucket at least, and buckets for which the directory is laid out at most: more records make larger buckets.
 CAPACITY = 1000
@@ -65,13 +65,6 @@ def keyed(docs: DataFrame, bits: int = 64) -> DataFrame:
     return rows.withColumn("key", key if bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - bits), 64 - bits))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def grouped(rows: DataFrame) -> DataFrame:
     """One row for each distinct text: key, normal form, largest id and number of rows."""
     return rows.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

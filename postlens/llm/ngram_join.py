@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import fresh, tidy, words
+from postlens.llm.common import fresh, stored, tidy, words
 from postlens.session import cut_lineage
 
 N, SIMILARITY, RECALL, SPREAD = 5, 0.8, 0.9999, 2.0
@@ -368,18 +368,18 @@ def keyed(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """The least node of each node's connected part, from edges ``(a, b)``: rows ``(a, b)`` with b the least."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = cut_lineage(edges), None
+    edges, before = stored(edges, "edges"), None
     while True:
         # large star: a node's larger neighbours go to its least one
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "edges-low")
         total = low.agg(F.sum("n")).first()[0] or 0
-        large = cut_lineage(keyed(both, low, "a", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = stored(keyed(both, low, "a", total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges-large")
         # small star: a node and its smaller neighbours go to the least of these
-        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "edges-low")
         small = keyed(large, low, "a", total).select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut_lineage(small.where("a <> b").distinct())
+        edges = stored(small.where("a <> b").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges
