@@ -191,9 +191,11 @@ def title_prompt_terms(kws: Column | str) -> Column:
 
 
 def summary_terms(kws: Column | str, limit: int, defaults: Sequence[str]) -> Column:
-    """Of the first ``limit`` prompt keywords the business terms and words
-    longer than 5, or ``defaults``."""
-    kept = F.filter(prompt_keywords(kws, limit), lambda k: F.lower(k).isin(*W.SUMMARY_BUSINESS_TERMS) | (F.length(k) > 5))
+    """Of the first ``limit`` keywords that are not noise and longer than 3
+    the business terms and alphabetic words longer than 5, or ``defaults``.  A
+    phrase counts among the first ones, though it is never kept."""
+    first = F.slice(F.filter(_c(kws), lambda k: ~is_noise(k) & (F.length(k) > 3)), 1, limit)
+    kept = F.filter(first, lambda k: F.lower(k).isin(*W.SUMMARY_BUSINESS_TERMS) | ((F.length(k) > 5) & is_alpha(k)))
     return F.when(F.size(kept) > 0, kept).otherwise(_lits(defaults))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens.functions import wordlists as W
-from postlens.functions.text import (display_theme_name, prompt_keywords, with_fallback_title, with_generated_title,
-                                     with_sanitized_title, with_title_checks)
+from postlens.functions.text import prompt_keywords, with_fallback_title, with_generated_title
 from postlens.operators import scoring as S
 from postlens.operators import themes as J
 from postlens.operators.keywords import explode_tokens, basic_token_filter
@@ -348,16 +347,3 @@ def q_generated_themes(spark, d):
     t = posts(spark, d, with_text=False).groupBy(F.col("theme").alias("id")).agg(F.count("*").alias("tweet_count"))
     t = t.withColumn("keywords", F.element_at(kws, F.col("id") + 1)).withColumn("samples", F.array().cast("array<string>"))
     return J.with_names_and_summaries(t, stub_generator).select("id", "tweet_count", "name", "summary", "used_generator")
-
-
-@register("title_rules_conversations", "C9,C10,C11,C13,C15")
-def q_title_rules(spark, d):
-    """Every conversation turn treated as a candidate theme title: C9/C10
-    flags, C11 sanitised title, C13 clean-up as if it were generated text,
-    C15 display name."""
-    c = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
-    c = with_title_checks(c, "text", "t")
-    c = with_sanitized_title(c, "text", F.lit("Order Fulfillment Issues"), "sanitized")
-    c = with_generated_title(c, "text", "sanitized", "cleaned")
-    return c.select("conv_id", "turn", F.col("t_meaningless").alias("meaningless"), F.col("t_valid").alias("valid"),
-                    "sanitized", "cleaned", display_theme_name(F.col("text")).alias("display"))
