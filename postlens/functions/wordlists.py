@@ -305,3 +305,104 @@ weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn
 couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
 would
 """.split())
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — what a generator is asked for a theme (C17): instruction and request
+# ---------------------------------------------------------------------------
+TITLE_INSTRUCTION = (
+    "You are a professional retail insights analyst creating theme names for Walmart customer feedback analysis reports. "
+    "Your theme names will be used in executive presentations and stakeholder reports. "
+    "Generate ONLY professional, business-appropriate theme names that generalize customer concerns into meaningful business categories. "
+    "IGNORE specific brand names, usernames, or mentions - focus on the UNDERLYING BUSINESS THEME. "
+    "Use only the approved taxonomy terms when naming themes. "
+    "Approved taxonomy terms:\n" + "\n".join(f"- '{term}'" for term in THEME_TAXONOMY) + "\n"
+)
+TITLE_REQUEST = """\
+Based on customer feedback keywords and samples, create ONE professional theme name for a Walmart customer insights report.
+
+CRITICAL INSTRUCTIONS:
+1. IGNORE ALL usernames, mentions, profanity, and noise words (like 'sentomcotton', 'fuck', 'matt_vanswol', 'awsten', 'spencerhakimian')
+2. If you see profanity, usernames, or meaningless words in keywords, COMPLETELY IGNORE them
+3. Focus ONLY on the BUSINESS THEME or CUSTOMER CONCERN from the sample tweets
+4. NEVER create generic names like 'Target and Customer Experience', 'Prices and Pricing', 'New and Day', or 'Global and Debt'
+5. NEVER include usernames, profanity, or competitor names unless it's a legitimate business comparison
+6. Use DISTINCT business categories - avoid repeating the same category in different themes
+7. If keywords are all noise, infer the theme from sample tweets (e.g., if tweets mention delivery issues → 'Order Fulfillment and Delivery Challenges')
+
+REQUIRED FORMAT:
+'[Specific Business Category] and [Specific Customer Concern/Focus]'
+
+GOOD EXAMPLES (use these EXACT formats as your guide - these are the REQUIRED style):
+- 'Operational Issues and Multi-Aspect Feedback'
+- 'Customer Service Experience Concerns'
+- 'Shrimp Product Quality and Availability'
+- 'Shopping Experience and Store Visits'
+- 'Walmart Brand and Corporate Topics'
+- 'Pricing Concerns and Tariff Impact'
+- 'Order Fulfillment Issues'
+- 'American Product Availability Concerns'
+- 'Service Quality and Support'
+- 'Product Reviews and Recommendations'
+- 'Customer Appreciation and Feedback'
+- 'Employee Relations and Workplace Feedback'
+
+NOTE: Themes can be:
+- '[Business Category] and [Specific Focus]' (e.g., 'Order Fulfillment and Delivery Challenges')
+- '[Business Category] [Issue Type]' (e.g., 'Customer Service Experience Concerns', 'Order Fulfillment Issues')
+- '[Product Category] [Quality/Availability]' (e.g., 'Shrimp Product Quality and Availability')
+
+BAD EXAMPLES (DO NOT create these - these are REAL bad examples):
+- 'Would and Customer Experience' (generic auxiliary verb, meaningless)
+- 'Because and Customer Experience' (generic conjunction, meaningless)
+- 'Customer Service and Company' (too generic, 'company' adds no value)
+- 'Business and Customer Experience' (too generic, 'business' is too broad)
+- 'Themes and Customer Experience' (meta word 'themes', meaningless)
+- 'School and Customer Support' (unrelated topic 'school', not retail-relevant)
+- 'Sentomcotton and Customer Feedback' (contains username)
+- 'Fuck and Fucking' (contains profanity)
+- 'Target and Awsten' (contains username/competitor)
+- 'Their and Customer Service' (generic pronoun, meaningless)
+- 'About and Customer Experience' (generic word 'about', meaningless)
+- 'Customer Service and Never' (generic adverb 'never', meaningless)
+- 'Nctsmtown and Customer Experience' (brand/username, not business-relevant)
+- 'Target and Waterparks' (unrelated, not business-relevant)
+- 'Amazon and Customer Experience' (too generic, competitor name)
+- 'Prices and Tariffs' (redundant, both mean pricing)
+
+STRICT RULES:
+1. Must be 4-7 words total
+2. Use Title Case
+3. Use DISTINCT business categories - each theme should cover a different aspect
+4. Be SPECIFIC - 'Pricing Concerns and Tariff Impact' not 'Prices and Tariffs' (redundant)
+5. NEVER use: 'user', 'tweet', 'feedback', 'topics' as main terms
+6. NEVER use: generic words like 'their', 'there', 'they', 'about', 'never', 'always', 'would', 'because', 'should', 'company', 'business', 'themes', 'school'
+7. NEVER use: auxiliary verbs or conjunctions (like 'Would', 'Because', 'Should', 'Will', 'Can')
+8. NEVER use: brand names or usernames (like 'Nctsmtown', 'Target', 'Amazon' unless it's a legitimate business comparison)
+9. NEVER use: competitor names alone (like 'Target and Waterparks' or 'Amazon and Customer Experience')
+10. NEVER create: redundant combinations (e.g., 'Prices and Tariffs' - both mean pricing)
+11. NEVER use: generic adverbs, pronouns, or auxiliary verbs as theme parts
+12. NEVER use: meta words like 'themes', 'theme', or unrelated topics like 'school'
+13. NEVER use: overly broad words like 'company', 'business' as standalone theme parts
+14. Focus on: Service, Pricing, Products, Delivery, Experience, Quality, Availability, Staff, Returns, App, etc.
+15. Make each theme UNIQUE and MEANINGFUL for business decisions
+16. Each part of the theme (before and after 'and') must be a SPECIFIC business concept
+17. Both parts must be NOUNS or NOUN PHRASES describing business categories, NOT generic words, verbs, or adverbs
+18. Use SPECIFIC business terminology: 'Operational Issues', 'Service Quality', 'Product Availability', 'Pricing Concerns', etc.
+
+Keywords (filtered, ignore noise): {kws}
+
+Generate ONE professional, specific theme name. Return ONLY the name. No quotes, no explanations."""
+TITLE_SAMPLES_HEAD = "\n\nSample customer feedback:\n"
+TITLE_REQUEST_TAIL = "Return ONLY the theme name. No explanations, no quotes. IGNORE any specific usernames or brand mentions in the keywords."
+SUMMARY_INSTRUCTION = (
+    "You are a retail insights analyst. Write 3-4 lines describing the theme for a Walmart stakeholder. "
+    "Focus on what customers are discussing, not sentiment counts or action items. Be descriptive and informative. "
+    "IGNORE specific usernames, brand mentions, or noise words - focus on the business theme."
+)
+SUMMARY_REQUEST = """\
+Theme name: {title}
+Top keywords (filtered): {kws}
+Examples (up to 2): {examples}
+Output: 3-4 lines describing what customers are discussing in this theme. \
+Focus on the BUSINESS THEME (e.g., customer service, product quality, pricing, delivery, etc.). \
+Do NOT mention specific usernames, brand names, or noise words. Do not mention sentiment counts or suggest actions."""

@@ -316,23 +316,33 @@ def generate_text(df: DataFrame, prompt_col: str, generate_fn: Callable[[str], s
     return df.mapInPandas(run, schema)
 
 
+def _filled(request: str, **values: Column) -> Column:
+    """A request with columns in the places of their names, in the order they stand in."""
+    parts, rest = [], request
+    for name, value in values.items():
+        before, rest = rest.split("{" + name + "}", 1)
+        parts += [F.lit(before), value]
+    return F.concat(*parts, F.lit(rest))
+
+
 def title_prompt(keywords: Column | str, samples: Column | str) -> Column:
-    """C17: what a generator is asked for a theme's name: its business terms
-    and the first 150 characters of up to two of its posts."""
+    """C17: what a generator is asked for a theme's name: the instruction with
+    the taxonomy, the rules, the theme's business terms (C16) and the first 150
+    characters of up to two of its posts.  Null posts are empty."""
     lines = F.transform(F.slice(F.col(samples) if isinstance(samples, str) else samples, 1, 2),
-                        lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(x, 1, 150)))
-    return F.concat(F.lit("Name this theme of customer posts in 4 to 7 words.\nKeywords: "),
-                    F.array_join(title_prompt_terms(keywords), ", "),
-                    F.when(F.size(lines) > 0, F.concat(F.lit("\nPosts:\n"), F.array_join(lines, "\n"))).otherwise(F.lit("")))
+                        lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(F.coalesce(x, F.lit("")), 1, 150), F.lit("...")))
+    listed = F.when(F.size(lines) > 0, F.concat(F.lit(W.TITLE_SAMPLES_HEAD), F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise(F.lit(""))
+    request = _filled(W.TITLE_REQUEST, kws=F.array_join(F.slice(title_prompt_terms(keywords), 1, 8), ", "))
+    return F.concat(F.lit(W.TITLE_INSTRUCTION + "\n"), request, listed, F.lit(W.TITLE_REQUEST_TAIL))
 
 
 def summary_prompt(title: str, keywords: Column | str, samples: Column | str) -> Column:
-    """C17: what a generator is asked for a theme's summary: its name, terms
-    and up to two whole posts."""
-    posts = F.slice(F.col(samples) if isinstance(samples, str) else samples, 1, 2)
-    return F.concat(F.lit("Describe this theme of customer posts in 3 to 4 lines.\nName: "), F.col(title), F.lit("\nKeywords: "),
-                    F.array_join(summary_terms(keywords, 6, W.SUMMARY_PROMPT_DEFAULT_TERMS), ", "),
-                    F.when(F.size(posts) > 0, F.concat(F.lit("\nPosts:\n"), F.array_join(posts, "\n"))).otherwise(F.lit("")))
+    """C17: what a generator is asked for a theme's summary: the instruction,
+    its name, terms (C16) and up to two whole posts as a JSON list."""
+    posts = F.transform(F.slice(F.col(samples) if isinstance(samples, str) else samples, 1, 2), lambda x: F.coalesce(x, F.lit("")))
+    request = _filled(W.SUMMARY_REQUEST, title=F.coalesce(F.col(title), F.lit("")),
+                      kws=F.array_join(summary_terms(keywords, 6, W.SUMMARY_PROMPT_DEFAULT_TERMS), ", "), examples=F.to_json(posts))
+    return F.concat(F.lit(W.SUMMARY_INSTRUCTION + "\n\n"), request)
 
 
 def with_names_and_summaries(t: DataFrame, generate_fn: Callable[[str], str] | None, keywords: str = "keywords",

@@ -161,6 +161,40 @@ def q_structured_brief(spark, d):
     return K.structured_brief(posts(spark, d, with_text=True), START, END, keyword="the", sample_size=50)
 
 
+def brief_writer(prompt: str) -> str:
+    """An answer that tells the length of a prompt with posts, in a fenced block between prose."""
+    posts = prompt.split("\n- ")[1:]
+    return 'Brief.\n```json\n{"executive_bullets": ["%d characters"], "themes": ["Pricing", "Delivery"], "risks": []}\n```\nEnd.' % len(prompt) if posts else ""
+
+
+def _structured_sql() -> str:
+    head, tail = K.BRIEF_PROMPT_HEAD.format(start=START, end=END, keyword="the", stats="%s").split("%s")
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return with_posts(f"""
+with w as (select * from posts where createdat >= timestamp '{START}' and createdat < timestamp '{END}' + interval 1 day and regexp_matches(coalesce(text, ''), '(?i)the')),
+n as (select count(*) as n from w),
+l as (select sentiment_label as key, count(*) as value from w group by 1),
+j as (select coalesce(string_agg(',{{"metric":"sentiment","rank":0,"key":"' || key || '","value":' || value || '}}', '' order by key), '') as listed from l),
+e as (select id, text from w where text is not null order by md5('42|' || cast(id as varchar)), id limit 50),
+x as (select string_agg(text, {_NL} || '- ' order by id) as listed from e),
+p as (select n, {text(head)} || '[{{"metric":"n_tweets","rank":0,"key":"","value":' || n || '}}' || j.listed || ']' || {text(tail)} || coalesce(x.listed, '')
+      || {text(K.BRIEF_PROMPT_TAIL)} as prompt from n, j, x)
+select false as generated, n as n_tweets, prompt, cast(null as varchar) as executive_text, '' as bullets, '' as themes, 0 as n_risks from p
+union all select true, n, prompt, 'Brief.' || {_NL} || '```json' || {_NL} || '{{"executive_bullets": ["' || length(prompt) || ' characters"], "themes": ["Pricing", "Delivery"], "risks": []}}'
+  || {_NL} || '```' || {_NL} || 'End.', length(prompt) || ' characters', 'Pricing,Delivery', 0 from p
+""", text=True)
+
+
+@register("structured_briefs", "K3,C17,D10,C14,H4,F15,E4", _structured_sql)
+def q_structured_briefs(spark, d):
+    """K3 of a window and a keyword, without a generator and with one."""
+    p = posts(spark, d, with_text=True)
+    made = [K.structured_brief(p, START, END, keyword="the", sample_size=50, generate_fn=g).withColumn("generated", F.lit(g is not None)) for g in (None, brief_writer)]
+    s = F.col("structured")
+    return made[0].unionByName(made[1]).select("generated", "n_tweets", "prompt", "executive_text", F.array_join(s["executive_bullets"], ",").alias("bullets"),
+                                               F.array_join(s["themes"], ",").alias("themes"), F.size(s["risks"]).alias("n_risks"))
+
+
 @register("extract_json_pages", "C14")
 def q_extract_json(spark, d):
     pages = read_table(spark, d, "pages")

@@ -241,3 +241,40 @@ def q_fallback_turns(spark, d):
     return t.select("conv_id", "turn", listed(F.col("kw")).alias("kw"), listed(prompt_keywords("kw")).alias("prompt_kws"),
                     listed(title_prompt_terms("kw")).alias("asked"), listed(summary_terms("kw", 6, W.SUMMARY_PROMPT_DEFAULT_TERMS)).alias("described"),
                     "title", J.template_summary("title", prompt_keywords("kw")).alias("summary"))
+
+
+# ---------------------------------------------------------------------------
+# C17 prompts of themes
+# ---------------------------------------------------------------------------
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompts_sql() -> str:
+    before, after = W.TITLE_REQUEST.split("{kws}")
+    request, rest = W.SUMMARY_REQUEST.split("{title}")
+    terms, rest = rest.split("{kws}")
+    examples, last = rest.split("{examples}")
+    clip = "coalesce(substr(coalesce(posts[{i}], ''), 1, 150), '')"
+    samples = f"case len(posts) when 0 then '' else {_quoted(W.TITLE_SAMPLES_HEAD)} || '1. ' || {clip.format(i=1)} || '...' " \
+              f"|| case when len(posts) > 1 then chr(10) || '2. ' || {clip.format(i=2)} || '...' else '' end || chr(10) || chr(10) end"
+    return f"""
+with f as ({_fallback_sql()}),
+p as (select conv_id, turn, list_filter([coalesce(text, ''), role], lambda x: x <> 'assistant') as posts from conversations),
+x as (select f.*, posts from f join p on f.conv_id = p.conv_id and f.turn = p.turn)
+select conv_id, turn, sha256({_quoted(W.TITLE_INSTRUCTION + chr(10) + before)} || array_to_string(string_split(asked, ',')[1:8], ', ') || {_quoted(after)} || {samples}
+    || {_quoted(W.TITLE_REQUEST_TAIL)}) as title_prompt_sha256,
+  {_quoted(W.SUMMARY_INSTRUCTION + chr(10) + chr(10) + request)} || title || {_quoted(terms)} || replace(described, ',', ', ') || {_quoted(examples)}
+    || cast(to_json(posts) as varchar) || {_quoted(last)} as summary_prompt
+from x
+"""
+
+
+@register("theme_prompts_turns", "C17,C16,C12", _prompts_sql)
+def q_theme_prompts(spark, d):
+    """Both prompts of a theme from each turn's keyword list, composed title, text and role (an assistant's role is no post)."""
+    posts = read_table(spark, d, "conversations").select("conv_id", "turn", F.filter(
+        F.array(F.coalesce("text", F.lit("")), F.col("role")), lambda x: x != "assistant").alias("posts"))
+    t = with_fallback_title(_keywords(spark, d).join(posts, ["conv_id", "turn"]), "kw", "title")
+    return t.select("conv_id", "turn", F.sha2(J.title_prompt("kw", "posts"), 256).alias("title_prompt_sha256"),
+                    J.summary_prompt("title", "kw", "posts").alias("summary_prompt"))
