@@ -10,6 +10,10 @@ known licence texts made the same way: ``KNOWN``, the short licences with their
 usual titles, and the files of ``license_texts`` with and without title and
 appendix.  Only entire units match, never parts.
 
+Most units need no canonical form: it begins with the unit's own first word,
+unless that word begins a spelling or is a version, so a unit whose first word
+is none of these and begins no known text can't be one.
+
 All is DataFrame functions; the table of known digests is fixed and small, so
 it is broadcast.  Matches are few and are joined back by id and text digest.
 
@@ -118,6 +122,9 @@ COPYRIGHT_LINE = r"^[^a-z0-9(©]*(copyright|\(c\)|©|all rights reserved).*$"
 TRUE_COPYRIGHT = (r"^[^A-Za-z0-9(©]*(([Cc]opyright|COPYRIGHT)([\s:,-]*(\([cC]\)|©|[0-9]{4}|[<\[{]|by\b|(?!(Licen[cs]e|Holder|Notice|Owner|Law)s?\b)[A-Z][a-z])|$)"
                   r"|\([cC]\)[^A-Za-z]*[0-9]{4}|\([cC]\) [Cc]opyright|©|[Aa][Ll][Ll] [Rr]ights [Rr]eserved\W*$)")
 BLANK = r"\n[^A-Za-z0-9\n]*\n"
+#: Lines whose canonical form is empty, before they are lower-cased; first words that are versions.
+EMPTY = r"^([^A-Za-z0-9]*$|[^A-Za-z0-9(©]*((?i:copyright|\(c\)|all rights reserved)|©).*$)"
+VERSION = r"^v(ersion)?([0-9]|$)"
 
 
 def canonical(line: Column) -> Column:
@@ -133,8 +140,8 @@ def canonical(line: Column) -> Column:
 
 
 def joined(lines: Column) -> Column:
-    """The canonical form of lines that are one text."""
-    return canonical(F.array_join(F.filter(lines, lambda c: ~F.rlike(F.trim(c), F.lit(TRUE_COPYRIGHT))), " "))
+    """Lines that are one text, as one line without copyright lines."""
+    return F.array_join(F.filter(lines, lambda c: ~F.rlike(F.trim(c), F.lit(TRUE_COPYRIGHT))), " ")
 
 
 def texts() -> list[tuple[str, str]]:
@@ -162,18 +169,37 @@ def known(spark) -> DataFrame:
     return rows.select(F.sha2(canonical(F.col("notice")).cast("binary"), 256).alias("digest"), "spdx").distinct()
 
 
+def opening_words(spark) -> list[str]:
+    """First words of the known texts' canonical forms, and of the spellings that are replaced."""
+    forms = spark.createDataFrame(texts(), "spdx string, notice string").select(canonical(F.col("notice")).alias("form"))
+    known_first = [r[0] for r in forms.select(F.substring_index("form", " ", 1)).distinct().collect()]  # of a fixed table
+    return sorted({*known_first, *(old.split()[0] for old, _ in SPELLINGS)})
+
+
+def possible(unit: Column, words: list[str]) -> Column:
+    """Whether the canonical form of a unit without copyright lines can be a known one, by its first word."""
+    first = F.replace(F.translate(F.regexp_extract(unit, "[A-Za-z0-9]+", 0), UPPER, LOWER), F.lit("licenc"), F.lit("licens"))
+    return first.isin(*words) | F.rlike(first, F.lit(VERSION))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, licenses, n_lines, whole`` of each document: the ids of the licences whose text is a line, a
     paragraph or the whole of it, in order and joined by commas, the number of such lines, and whether the whole document is one."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    lines = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("own"), F.transform(F.split("text", "\n"), canonical).alias("lines"),
-                        joined(F.split("text", "\n")).alias("all"),
-                        F.transform(F.filter(F.split("text", BLANK), lambda c: F.contains(F.trim(c), F.lit("\n"))), lambda c: joined(F.split(c, "\n"))).alias("paragraphs"))
-    whole = F.trim(F.array_join(F.filter("lines", lambda c: c != ""), " "))
+    words = opening_words(docs.sparkSession)
+    cut = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("own"), F.split("text", "\n").alias("lines"),
+                      F.filter(F.split("text", BLANK), lambda c: F.contains(F.trim(c), F.lit("\n"))).alias("paragraphs"))
+    raw = cut.select("doc_id", "own", "lines", joined(F.col("lines")).alias("all"), F.filter("lines", lambda c: ~F.rlike(c, F.lit(EMPTY))).alias("filled"),
+                     F.transform("paragraphs", lambda c: joined(F.split(c, "\n"))).alias("paragraphs"))
+    able = lambda c: possible(c, words)
+    by_line = F.array_join(F.filter(F.transform("filled", canonical), lambda c: c != ""), " ")
+    lines = raw.select("doc_id", "own", F.transform(F.filter("lines", able), canonical).alias("lines"), F.transform(F.filter("paragraphs", able), canonical).alias("paragraphs"),
+                       F.when(able(F.col("all")), canonical(F.col("all"))).alias("all"),
+                       F.when(able(F.try_element_at("filled", F.lit(1))), by_line).alias("whole"))
     unit = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("form"))
     units = lines.select("doc_id", "own", F.explode(F.concat(
-        F.transform(F.array(whole, "all"), unit("whole")), F.transform("paragraphs", unit("paragraph")), F.transform("lines", unit("line")))).alias("u"))
+        F.transform(F.filter(F.array("whole", "all"), F.isnotnull), unit("whole")), F.transform("paragraphs", unit("paragraph")), F.transform("lines", unit("line")))).alias("u"))
     hits = units.select("doc_id", "own", "u.kind", F.sha2(F.col("u.form").cast("binary"), 256).alias("digest")) \
         .join(F.broadcast(known(docs.sparkSession)), "digest")
     # rows with the same id and text have the same hits, as often as there are such rows

@@ -270,6 +270,19 @@ def test_licence_forms(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_first_words_lose_no_licence(spark):
+    """A unit that is passed over by its first word has no known canonical form."""
+    rnd = random.Random(8)
+    pieces = [w for old, new in licenses.SPELLINGS for w in (old, new)] + [w for w in ("v2", "Version 2", "version", "v", "3", "the", "MIT", "Licence", "é", "#", "(c)", "copyright")]
+    units = [rnd.choice(["", " ", "* "]) + " ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 3))) + " " + rnd.choice(notices)
+             for notices in [[t[:60] for _, t in licenses.texts()]] for _ in range(3000)]
+    words = licenses.opening_words(spark)
+    rows = spark.createDataFrame([(u,) for u in units], "unit string").select(
+        licenses.possible(F.col("unit"), words).alias("able"), licenses.canonical(F.col("unit")).alias("form"), F.rlike("unit", F.lit(licenses.EMPTY)).alias("empty")).collect()
+    assert all(r["able"] or r["form"].split(" ")[0] not in words for r in rows)
+    assert all((r["form"] == "") == r["empty"] for r in rows) and 0 < sum(r["able"] for r in rows) < len(rows)
+
+
 def test_whole_licences_and_wrapped_notices(spark):
     import textwrap
 
