@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import metrics as M
 from postlens.operators import paging, rollups, search_index
+from postlens.operators.keywords import text_partitions
 from postlens.plans.q_metrics import _SPLIT_BUCKET, _VOCAB
 from postlens.plans.registry import register
 from postlens.plans.sqlbits import aspect_split_sql
@@ -48,9 +49,11 @@ def q_posts_page(spark, d):
 
 
 def _indexed(spark, d) -> tuple[str, str]:
-    """The documents as a table of several files, each of neighbouring ids, and its index."""
+    """The documents as a table of several files, each of neighbouring ids, and its index.  Files hold some
+    ``TEXT_BYTES`` of text, so that filters stay sparse and tasks small however many documents there are."""
     table, index = scratch_path(spark, "documents"), scratch_path(spark, "trigrams")
-    read_table(spark, d, "documents").select("doc_id", "text").repartitionByRange(16, "doc_id").write.parquet(table)
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs.repartitionByRange(max(16, text_partitions(docs, "text")), "doc_id").write.parquet(table)
     search_index.build(spark, table, index, ["text"])
     return table, index
 

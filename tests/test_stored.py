@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,21 @@ def test_index_of_a_partitioned_table_and_of_none(spark, tmp_path):
     spark.createDataFrame([], "id long, text string").write.parquet(str(tmp_path / "none"))
     search_index.build(spark, str(tmp_path / "none"), str(tmp_path / "ni"), ["text"])
     assert search_index.search(spark, str(tmp_path / "none"), str(tmp_path / "ni"), "alpha", ["text"]).collect() == []
+
+
+def test_index_of_long_texts_and_of_short_words_of_many_bytes(spark, tmp_path):
+    """Each trigram of a long text was a substring counted from its beginning, which took quadratic time."""
+    words = ["lorem%d" % (i * 7919 % 10007) for i in range(150_000)]
+    rows = [(0, " ".join(words)), (1, "東京 station"), (2, "x" * 40_000 + "Needle"), (3, None)]
+    table, index = str(tmp_path / "t"), str(tmp_path / "i")
+    spark.createDataFrame(rows, "id long, text string").repartitionByRange(4, "id").write.parquet(table)
+    begun = time.monotonic()
+    search_index.build(spark, table, index, ["text"])
+    assert time.monotonic() - begun < 60
+    for q, want in (("東京", [1]), ("needle", [2]), ("lorem9999 ", [0]), ("xn", [2]), ("nostation", [])):
+        assert [r["id"] for r in search_index.search(spark, table, index, q, ["text"]).collect()] == want, q
+    assert len(search_index.files(spark, index, "東京")[0]) == 1
+    # no trigram spans two texts
+    batch = pa.array([b"ab", b"cd", None, b"", b"wxyz", b"e"] * 20_000, pa.binary())
+    grams = {int(g) for part in search_index._grams(batch.slice(1)) for g in part}
+    assert grams == {int.from_bytes(b"wxy", "big"), int.from_bytes(b"xyz", "big")}
